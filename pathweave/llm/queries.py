@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from .gif import op7_gif_columns
+from .language import op4_language_id
+from .toxicity import op5_toxicity
 
 QUERIES = {
+    "op5_toxicity": op5_toxicity,
+    "op4_language_id": op4_language_id,
     "op7_gif_columns": op7_gif_columns,
 }
 
