@@ -156,7 +156,7 @@ class Classifier:
 NOTHING = Classifier(np.zeros(0, U), np.zeros(0), -30.0)
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500, max_voters: int = 600, min_rows: int = 6, min_odds: float = 2.0) -> Classifier:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500, max_voters: int = 600, min_rows: int = 6, min_odds: float = 3.0) -> Classifier:
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     rows = id_and_text(docs).where(fold("doc_id", 5) != 0).join(marks, "doc_id").select("doc_id", "text", "toxic")
     schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("h", pa.binary())])
