@@ -5,8 +5,10 @@ from __future__ import annotations
 from .gif import op7_gif_columns
 from .language import op4_language_id
 from .toxicity import op5_toxicity
+from .packing import op1_best_fit_packing
 
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op5_toxicity": op5_toxicity,
     "op4_language_id": op4_language_id,
     "op7_gif_columns": op7_gif_columns,
