@@ -6,8 +6,10 @@ from .gif import op7_gif_columns
 from .language import op4_language_id
 from .toxicity import op5_toxicity
 from .packing import op1_best_fit_packing
+from .pii import op6_personal_data
 
 QUERIES = {
+    "op6_personal_data": op6_personal_data,
     "op1_best_fit_packing": op1_best_fit_packing,
     "op5_toxicity": op5_toxicity,
     "op4_language_id": op4_language_id,
