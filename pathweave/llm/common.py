@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 U = np.uint64
 _MULT = 0x9E3779B97F4A7C15
-_MULT_INV = pow(_MULT, -1, 1 << 64)
 _TABLE = np.random.Generator(np.random.PCG64(20240501)).integers(0, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 
 
@@ -90,32 +89,35 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class Powers:
-    """Powers of the multiplier and of its inverse modulo 2^64, grown as texts need them."""
+    """Powers of an odd multiplier and of its inverse modulo 2^64, grown as texts need them."""
 
-    def __init__(self) -> None:
+    def __init__(self, multiplier: int = _MULT) -> None:
+        self.multiplier, self.inverse = multiplier, pow(multiplier, -1, 1 << 64)
         self.up = self.down = np.ones(1, U)
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             size = 1 << max(10, int(n - 1).bit_length())
-            self.up, self.down = (np.multiply.accumulate(np.concatenate([np.ones(1, U), np.full(size, m, U)])) for m in (_MULT, _MULT_INV))
+            self.up, self.down = (np.multiply.accumulate(np.concatenate([np.ones(1, U), np.full(size, m, U)])) for m in (self.multiplier, self.inverse))
         return self.up, self.down
 
 
 POWERS = Powers()
+#: A second, independent family for verification.
+CHECKS = Powers(0xD6E8FEB86659FD93)
 
 
-def prefix_sums(values: np.ndarray) -> np.ndarray:
+def prefix_sums(values: np.ndarray, powers: Powers = POWERS) -> np.ndarray:
     """S[i] = sum of values[j] * m^j below i, modulo 2^64; any run's hash follows from two of them."""
-    up, _ = POWERS.get(len(values) + 1)
+    up, _ = powers.get(len(values) + 1)
     out = np.zeros(len(values) + 1, U)
     np.cumsum(values * up[: len(values)], out=out[1:])
     return out
 
 
-def run_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def run_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: Powers = POWERS) -> np.ndarray:
     """64-bit hashes of values[start:end] from ``prefix_sums``."""
-    _, down = POWERS.get(len(sums))
+    _, down = powers.get(len(sums))
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U))
 
 

@@ -7,8 +7,10 @@ from .language import op4_language_id
 from .toxicity import op5_toxicity
 from .packing import op1_best_fit_packing
 from .pii import op6_personal_data
+from .substring_index import op8_substring_index
 
 QUERIES = {
+    "op8_substring_index": op8_substring_index,
     "op6_personal_data": op6_personal_data,
     "op1_best_fit_packing": op1_best_fit_packing,
     "op5_toxicity": op5_toxicity,
