@@ -158,7 +158,6 @@ NOTHING = Classifier(np.zeros(0, U), np.zeros(0), -30.0)
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500, max_voters: int = 600, min_rows: int = 6, min_odds: float = 3.0) -> Classifier:
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    rows = id_and_text(docs).where(fold("doc_id", 5) != 0).join(marks, "doc_id").select("doc_id", "text", "toxic")
     schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("h", pa.binary())])
 
     def hashed(batches):
@@ -166,7 +165,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500, max_voters:
             yield record({"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "h": [features(t.encode()).tobytes() for t in batch.column("text").to_pylist()]}, schema)
 
     # the bounded sample, as hashes; rows in id order, so that the fit does not depend on partitions
-    got = sample_by_hash(marks.where(fold("doc_id", 5) != 0), "toxic", per_class, "toxic").join(rows.select("doc_id", "text"), "doc_id").mapInArrow(hashed, "doc_id long, toxic int, h binary").toArrow().sort_by("doc_id")
+    # (the sample holds at most twice per_class ids of each label, so it may be broadcast at any size of input)
+    sample = sample_by_hash(marks.where(fold("doc_id", 5) != 0), "toxic", per_class, "toxic")
+    got = id_and_text(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text").mapInArrow(hashed, "doc_id long, toxic int, h binary").toArrow().sort_by("doc_id")
     y = np.array(got["toxic"].to_pylist(), np.int64)
     x = [np.frombuffer(b, U) for b in got["h"].to_pylist()]
     if not len(y) or y.min() == y.max():
