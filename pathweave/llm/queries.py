@@ -8,8 +8,10 @@ from .toxicity import op5_toxicity
 from .packing import op1_best_fit_packing
 from .pii import op6_personal_data
 from .substring_index import op8_substring_index
+from .suffix_dedup import op2_suffix_dedup
 
 QUERIES = {
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op8_substring_index": op8_substring_index,
     "op6_personal_data": op6_personal_data,
     "op1_best_fit_packing": op1_best_fit_packing,

@@ -31,6 +31,21 @@ def anchor_runs(values: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np
     return least[lo], lo, np.diff(np.append(lo, len(least)))
 
 
+def periodic_runs(values: np.ndarray, k: int, window: int) -> np.ndarray:
+    """The anchors of runs that hold their anchor more than once, so that windows of one run may be equal.
+
+    The first and the last place of a window's least gram differ there; places go into the low 16 bits of the hash.
+    """
+    if len(values) < window:
+        return np.zeros(0, np.uint64)
+    grams, width = gram_hashes(values, k), window - k + 1
+    place, low = np.arange(len(grams), dtype=np.uint64) & np.uint64(0xFFFF), np.uint64(0xFFFF)
+    high = grams & ~low
+    first, last = sliding_min(high | place, width), sliding_min(high | (low - place), width)
+    twice = (first & low) != low - (last & low)
+    return np.unique(sliding_min(grams, width)[twice]) if twice.any() else np.zeros(0, np.uint64)
+
+
 def content_hashes(values: np.ndarray, lo: np.ndarray, n: np.ndarray, window: int) -> np.ndarray:
     """Second hash of each run's whole content, independent of the anchors."""
     return run_hashes(prefix_sums(values, CHECKS), lo, lo + n - 1 + window, CHECKS)
