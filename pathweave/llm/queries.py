@@ -9,8 +9,10 @@ from .packing import op1_best_fit_packing
 from .pii import op6_personal_data
 from .substring_index import op8_substring_index
 from .suffix_dedup import op2_suffix_dedup
+from .jaccard import op3_jaccard_join
 
 QUERIES = {
+    "op3_jaccard_join": op3_jaccard_join,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op8_substring_index": op8_substring_index,
     "op6_personal_data": op6_personal_data,
