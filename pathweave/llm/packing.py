@@ -14,6 +14,7 @@ empty table has no pieces.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import defaultdict
 from itertools import chain
 
@@ -28,27 +29,73 @@ from .common import crc, id_and_text, materialise, pieces, read_table, record
 
 CAPACITY = 2048
 END_ID = 0
-#: Entries of the cache of word encodings in one worker: some 60 MB.
-CACHE = 300_000
+#: Entries of the cache of word encodings in one worker: some 100 MB.
+CACHE = 600_000
 _UNSAFE = re.compile(r" \s")
 
 
+#: Fixed value: the pre-token pattern of byte-level BPE, as published with the vocabulary files.
+PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def rank_encoder(path: str):
+    """The tokenizer file's own vocabulary as ranks for tiktoken, which encodes single words several times faster.
+
+    Only where that must give the same ids: byte-level BPE without normaliser or prefix space whose ids rise with the merges.
+    Returns the encoder and the added tokens' strings, or None.
+    """
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, before = spec["model"], spec["pre_tokenizer"] or {}
+    plain = model.get("type") == "BPE" and not spec["normalizer"] and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+    if not plain or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return None
+    vocab, added = model["vocab"], [a["content"] for a in spec["added_tokens"]]
+    merged = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    if any(x >= y for x, y in zip(merged[:-1], merged[1:], strict=True)):
+        return None
+    visible = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    hidden = [b for b in range(256) if b not in set(visible)]
+    byte_of = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if token not in added}
+    if len(ranks) + len(set(added) & set(vocab)) != len(vocab) or any(bytes([b]) not in ranks for b in range(256)):
+        return None
+    import tiktoken
+
+    return tiktoken.Encoding("own", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={}), added
+
+
 class Encoder:
     """Token ids as little-endian 32-bit bytes, cached by space-separated part.
 
     A space before a character that is not white space always begins a pre-token of a byte-level BPE, so parts split there are
-    encoded apart with the same result. Texts with a space before white space are encoded whole.
+    encoded apart with the same result. Texts with a space before white space are encoded whole, and whatever holds the
+    string of an added token is left to the tokenizer itself.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, ranks: bool = True) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.ranks, self.added = (ranks and rank_encoder(path)) or (None, [])
         self.cache: dict[str, bytes] = {}
 
+    def _slowly(self, parts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _encode(self, parts: list[str]) -> dict[str, bytes]:
+        if self.ranks is None:
+            return dict(zip(parts, self._slowly(parts), strict=True))
+        encode = self.ranks.encode_ordinary
+        slow = [p for p in parts if any(a in p for a in self.added)]
+        out = {p: array("I", encode(p)).tobytes() for p in parts}
+        return out | dict(zip(slow, self._slowly(slow), strict=True)) if slow else out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.cache) > CACHE:
             self.cache.clear()
@@ -59,13 +106,11 @@ class Encoder:
             else:
                 first, *rest = t.split(" ")
                 split.append([first, *map(" ".__add__, rest)] if rest else [first])
-        new = list(set(chain.from_iterable(split)).difference(cache))
-        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        own = {k: np.array(e.ids, "<u4").tobytes() for k, e in zip(new, found, strict=True)}
+        own = self._encode(list(set(chain.from_iterable(split)).difference(cache)))
         cache.update((k, v) for k, v in own.items() if len(k) < 64)
         own = {k: v for k, v in own.items() if len(k) >= 64}
         get = cache.get
-        return [b"".join([get(p) if (len(p) < 64) else own.get(p) for p in parts]) for parts in split]
+        return [b"".join([get(p) if len(p) < 64 else own[p] for p in parts]) for parts in split]
 
 
 _ENCODERS: dict[str, Encoder] = {}
