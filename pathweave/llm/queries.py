@@ -10,8 +10,10 @@ from .pii import op6_personal_data
 from .substring_index import op8_substring_index
 from .suffix_dedup import op2_suffix_dedup
 from .jaccard import op3_jaccard_join
+from .decontaminate import op10_decontamination
 
 QUERIES = {
+    "op10_decontamination": op10_decontamination,
     "op3_jaccard_join": op3_jaccard_join,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op8_substring_index": op8_substring_index,
