@@ -1,20 +1,21 @@
 """Personal data, with information-theoretic sanitisation of what surrounds it.
 
 Base detectors find e-mail addresses, IP addresses, payment cards and phone numbers. Their values are the protected
-entities. Terms near an entity disclose it where corpus co-occurrence says so: with p estimated over distinct texts,
+entities. Terms near an entity disclose it where corpus co-occurrence says so: with p estimated over all documents,
 PMI(term; entity) = log p(t, e) / (p(t) p(e)) reaches ``alpha`` times the entity's own information -log p(e), and both
-occur together in at least ``min_support`` distinct texts. Such terms become ``term`` spans; base spans always stay.
+occur together in at least ``min_support`` distinct texts, so that copies of one text prove nothing. Such terms become ``term`` spans; base spans always stay.
 ``sanitise`` replaces every span by a placeholder of its kind.
 
 Counts cover the whole corpus: words are counted where a fixed-size Bloom filter says that they may be candidates, and a
 join makes that exact. Edge cases: a null or empty text has no spans; a null id is kept; repeated rows get equal
-results and count as one text; an empty table gives an empty result.
+results; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -116,9 +117,9 @@ def nearby_terms(text: str, span: tuple[str, int, int], spans: list[tuple[str, i
     return found
 
 
-_NEAR = pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
+_NEAR = pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("quick", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 _SCAN = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("base", pa.string()), ("counts", pa.list_(pa.int64())), ("near", pa.list_(_NEAR))])
-_SCAN_DDL = "doc_id long, text_key long, base string, counts array<long>, near array<struct<entity: long, term: long, start: long, end: long>>"
+_SCAN_DDL = "doc_id long, text_key long, base string, counts array<long>, near array<struct<entity: long, term: long, quick: long, start: long, end: long>>"
 
 
 def scan(docs: DataFrame, window: int = 8) -> DataFrame:
@@ -135,7 +136,7 @@ def scan(docs: DataFrame, window: int = 8) -> DataFrame:
                     for span in spans:
                         entity = _hash(_NOT_DIGIT.sub("", text[span[1] : span[2]]) if span[0] in ("card", "phone") else text[span[1] : span[2]].lower())
                         for term, a, b in nearby_terms(text, span, spans, window):
-                            near[entity, a] = {"entity": entity, "term": _hash(term), "start": a, "end": b}
+                            near[entity, a] = {"entity": entity, "term": _hash(term), "quick": int(quick_hashes(term.encode("utf-8", "surrogatepass"))[0]), "start": a, "end": b}
                     out["doc_id"].append(doc)
                     out["text_key"].append(_hash(text) if spans else 0)
                     out["base"].append(",".join(f"{k}:{a}:{b}" for k, a, b in spans))
@@ -155,7 +156,7 @@ def _bloom_slots(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def term_frequencies(docs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """term, n_term: in how many distinct texts each candidate term occurs as a word.
+    """term, n_term: in how many documents each candidate term occurs as a word.
 
     A fast hash of the word is tested first, against a filter of 2^23 bits whatever the number of candidates.
     """
@@ -175,28 +176,30 @@ def term_frequencies(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     if not bits.any():
         return candidates.select("term").limit(0).withColumn("n_term", F.lit(0).cast("long"))
     shared = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
-    schema = pa.schema([("quick", pa.int64()), ("text_key", pa.int64())])
+    schema = pa.schema([("quick", pa.int64()), ("n", pa.int64())])
 
     def count(batches):
         table = np.unpackbits(np.frombuffer(shared.value, np.uint8)).view(bool)
+        total: Counter[int] = Counter()
+
+        def sums():
+            keys = np.fromiter(total.keys(), np.int64, len(total))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.fromiter(total.values(), np.int64, len(total)))], schema=schema)
+            total.clear()
+
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for part in pieces([len(t) for t in texts], 1 << 20):
-                quick, keys = [], []
-                for t in texts[part]:
-                    raw = t.encode()
-                    h = np.unique(quick_hashes(raw))
-                    a, b = _bloom_slots(h)
-                    h = h[table[a] & table[b]]
-                    if len(h):
-                        quick.append(h)
-                        keys.append(np.full(len(h), _hash(t)))
-                if quick:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(quick)), pa.array(np.concatenate(keys))], schema=schema)
-
-    seen = id_and_text(docs).select("text").mapInArrow(count, "quick long, text_key long")
-    exact = seen.join(candidates.select("quick").distinct(), "quick", "left_semi").distinct().groupBy("quick").agg(F.count("*").alias("n_term"))
-    return candidates.join(exact, "quick").select("term", "n_term")
+                h = np.concatenate([np.unique(quick_hashes(t.encode())) for t in texts[part]])
+                a, b = _bloom_slots(h)
+                keys, n = np.unique(h[table[a] & table[b]], return_counts=True)
+                total.update(dict(zip(keys.tolist(), n.tolist(), strict=True)))
+                if len(total) > 500_000:
+                    yield from sums()
+        yield from sums()
+
+    seen = id_and_text(docs).select("text").mapInArrow(count, "quick long, n long").groupBy("quick").agg(F.sum("n").alias("n_term"))
+    return candidates.join(seen, "quick").select("term", "n_term")
 
 
 def quick_hashes(raw: bytes) -> np.ndarray:
@@ -208,12 +211,14 @@ def quick_hashes(raw: bytes) -> np.ndarray:
 
 def disclosures(docs: DataFrame, scanned: DataFrame, alpha: float = 0.8, min_support: int = 3) -> DataFrame:
     """entity, term pairs whose co-occurrence discloses the entity."""
-    near = scanned.where(F.size("near") > 0).select("text_key", F.explode("near").alias("x")).select("text_key", "x.entity", "x.term").distinct()
-    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("n_pair")).where(F.col("n_pair") >= min_support)
+    rows = scanned.where(F.size("near") > 0)
+    near = rows.select("text_key", F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("x"))
+    by_text = near.groupBy("x.entity", "x.term", "text_key").agg(F.count("*").alias("n"))
+    pairs = by_text.groupBy("entity", "term").agg(F.sum("n").alias("n_pair"), F.count("*").alias("support")).where(F.col("support") >= min_support).drop("support")
     pairs = materialise(pairs, "pii-pairs")
-    entities = near.select("entity", "text_key").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    entities = rows.select(F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     total = id_and_text(docs).agg(F.count("*").alias("n")).collect()[0]["n"]
-    terms = materialise(candidate_terms(docs, scanned, pairs), "pii-terms")
+    terms = materialise(candidate_terms(scanned, pairs), "pii-terms")
     frequencies = term_frequencies(docs, terms)
     log = F.log
     p = lambda c: F.col(c) / F.lit(float(max(total, 1)))
@@ -221,24 +226,10 @@ def disclosures(docs: DataFrame, scanned: DataFrame, alpha: float = 0.8, min_sup
     return pairs.join(entities, "entity").join(frequencies, "term").where(pmi >= -alpha * log(p("n_entity"))).where(-log(p("n_entity")) > 0).select("entity", "term")
 
 
-def candidate_terms(docs: DataFrame, scanned: DataFrame, pairs: DataFrame) -> DataFrame:
-    """term, quick: the two hashes of each candidate; the second is what whole texts are counted by."""
-    schema = pa.schema([("term", pa.int64()), ("quick", pa.int64())])
-    wanted = scanned.where(F.size("near") > 0).select("doc_id", F.explode("near").alias("x")).join(pairs.select(F.col("term").alias("t")).distinct(), F.col("x.term") == F.col("t"), "left_semi")
-    one = wanted.groupBy("x.term").agg(F.min(F.struct("doc_id", "x.start", "x.end")).alias("at")).select("term", "at.doc_id", "at.start", "at.end").where(F.col("doc_id").isNotNull())
-
-    def hashes(batches):
-        for batch in batches:
-            term, quick = [], []
-            for k, t, a, b in zip(*(batch.column(c).to_pylist() for c in ("term", "text", "start", "end")), strict=True):
-                key = term_key(t[a:b])
-                h = quick_hashes(key.encode("utf-8", "surrogatepass"))
-                if len(h) == 1 and _hash(key) == k:
-                    term.append(k)
-                    quick.append(int(h[0]))
-            yield record({"term": term, "quick": quick}, schema)
-
-    return one.join(id_and_text(docs), "doc_id").mapInArrow(hashes, "term long, quick long").distinct()
+def candidate_terms(scanned: DataFrame, pairs: DataFrame) -> DataFrame:
+    """term, quick: the two hashes of each candidate. Whole texts are counted by the second, a term with inner punctuation by its first part."""
+    near = scanned.where(F.size("near") > 0).select(F.explode("near").alias("x")).select("x.term", "x.quick")
+    return near.join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.min("quick").alias("quick"))
 
 
 def detect(docs: DataFrame, alpha: float = 0.8, min_support: int = 3, window: int = 8) -> DataFrame:
@@ -263,12 +254,12 @@ def sanitise(docs: DataFrame, alpha: float = 0.8, min_support: int = 3, window:
     spans = found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.transform("terms", lambda s: F.concat_ws(":", F.lit("term"), s["start"].cast("string"), s["end"].cast("string")))).alias("_spans")).dropDuplicates(["_id", "_key"])
 
     @F.pandas_udf("string")
-    def replaced(text, keys, span_lists):
+    def replaced(text, span_lists):
         import pandas as pd
 
         out = []
-        for t, key, s in zip(text, keys, span_lists, strict=True):
-            if t is not None and s and key == _hash(t):
+        for t, s in zip(text, span_lists, strict=True):
+            if t is not None and s:
                 t = replace_spans(t, [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in s.split(","))])
             out.append(t)
         return pd.Series(out, dtype=object)
@@ -282,7 +273,7 @@ def sanitise(docs: DataFrame, alpha: float = 0.8, min_support: int = 3, window:
         return text.map(lambda t: None if t is None else str(_hash(t)))
 
     key = F.when(F.col("_by_key").isNotNull(), own_key("text"))
-    return joined.withColumn("_k", key).withColumn("_s", F.col("_by_key")[F.col("_k")]).withColumn("text", F.when(F.col("_s").isNotNull(), replaced("text", F.col("_k").cast("long"), "_s")).otherwise(F.col("text"))).select(*docs.columns)
+    return joined.withColumn("_k", key).withColumn("_s", F.col("_by_key")[F.col("_k")]).withColumn("text", F.when(F.col("_s").isNotNull(), replaced("text", "_s")).otherwise(F.col("text"))).select(*docs.columns)
 
 
 def replace_spans(text: str, spans: list[tuple[str, int, int]]) -> str:
