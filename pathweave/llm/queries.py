@@ -11,8 +11,10 @@ from .substring_index import op8_substring_index
 from .suffix_dedup import op2_suffix_dedup
 from .jaccard import op3_jaccard_join
 from .decontaminate import op10_decontamination
+from .pitman_yor import op9_pitman_yor
 
 QUERIES = {
+    "op9_pitman_yor": op9_pitman_yor,
     "op10_decontamination": op10_decontamination,
     "op3_jaccard_join": op3_jaccard_join,
     "op2_suffix_dedup": op2_suffix_dedup,
