@@ -12,11 +12,13 @@ it with score 1; repeated rows and ids get equal results.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold, id_and_text, pieces, read_table, record
@@ -147,6 +149,21 @@ def identify(docs: DataFrame, model: Model | None, ambiguous_within: float = 0.2
     )
 
 
+def predicted(model: Model | None, text) -> Column:
+    """The predicted language as a column over a text column; without a model every text with a letter is ``unknown``."""
+
+    @F.pandas_udf("string")
+    def label(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            raw, out = [t.encode() for t in texts], []
+            for part in pieces([len(t) for t in raw], 1 << 19):
+                out += [model.languages[b] for b in model.decode(gram_features(raw[part]))[0]] if model else ["unknown"] * len(raw[part])
+            yield pd.Series(out, dtype=object)
+
+    text = F.coalesce(text, F.lit(""))
+    return F.when(text.rlike(HAS_LETTER), label(text)).otherwise("und")
+
+
 def op4_language_id(spark, sf_dir: str) -> DataFrame:
     """The language of every text of ``documents``."""
     docs = read_table(spark, sf_dir, "documents")
