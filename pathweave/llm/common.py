@@ -57,7 +57,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     schema = df.schema
     del df
     gc.collect()
@@ -65,6 +65,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Deletes what ``materialise`` wrote, once all that was made of it has been written too."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def pieces(sizes: list[int], limit: int) -> Iterator[slice]:
     """Consecutive slices whose sizes sum to about ``limit``; at least one element each."""
     start, total = 0, 0

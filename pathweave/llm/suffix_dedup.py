@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, gram_hashes, id_and_text, materialise, pieces, read_table, record
+from .common import byte_values, gram_hashes, id_and_text, materialise, pieces, read_table, record, release
 from .windows import anchor_runs, cover, expand, maximal, periodic_runs, text_tag
 
 WINDOW, GRAM = 100, 24
@@ -293,12 +293,16 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     repeated = materialise(anchor_counts(docs).where("total > 1"), "suffix-anchors")
     wanted = materialise(anchors(docs).join(repeated.select("anchor", (F.col("total") > HOT).alias("hot")), "anchor"), "suffix-wanted")
     ranges = max(256, wanted.count() // RANGE_ITEMS)
+    release(repeated)
     sent = materialise(suffix_runs(docs, wanted, ranges), "suffix-runs")
+    release(wanted)
     merged = sent.where("range >= 0").select("range", *[f.name for f in _BLOB][6:]).groupBy("range").applyInArrow(merge_range, "doc_id long, tag int, lo int, n int")
     hot = sent.where("range = -1").select("digest", "doc_id", "tag", "lo", "n")
     first = hot.groupBy("digest").agg(F.min(F.struct("doc_id", "lo")).alias("first"))
     later = hot.join(first, "digest").where(F.struct("doc_id", "lo") > F.col("first")).select("doc_id", "tag", "lo", "n")
-    return merged.unionByName(later).unionByName(sent.where("range = -2").select("doc_id", "tag", "lo", "n"))
+    found = materialise(merged.unionByName(later).unionByName(sent.where("range = -2").select("doc_id", "tag", "lo", "n")), "suffix-repeats")
+    release(sent)
+    return found
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
@@ -306,8 +310,7 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed",
 
 def remove_repeats(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the bytes that stay."""
-    found = materialise(repeated_windows(docs), "suffix-repeats")
-    marks = found.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("lo", "n")).alias("runs")).groupBy("doc_id").agg(F.collect_list(F.struct("tag", "runs")).alias("by_tag"))
+    marks = repeated_windows(docs).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("lo", "n")).alias("runs")).groupBy("doc_id").agg(F.collect_list(F.struct("tag", "runs")).alias("by_tag"))
 
     def apply(batches):
         for batch in batches:
