@@ -1,6 +1,11 @@
-"""Every registered query with its SQL."""
+"""Every registered query of the graph engine with its SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import graph_queries, profile_queries
+from ..streaming import queries as streaming
+
+QUERIES: dict = graph_queries.QUERIES | streaming.QUERIES
+ORACLE_SQL: dict[str, str] = graph_queries.ORACLE | streaming.ORACLE
+
+__all__ = ["ORACLE_SQL", "QUERIES", "profile_queries"]
