@@ -7,7 +7,8 @@ the symmetric difference from below, and the exact sets verify what is left.
 
 Work on crowded shingles is saved by components, not by dropping: in a first round the members of a group, and the
 groups under a crowded shingle, meet only one representative; in a second round every candidate pair that lies in different
-components so far is verified. Two documents in one component need no further test, so no link is lost.
+components so far is tested, in blocks of bounded size whose bitmaps meet as matrices, so that only pairs that may link
+become rows. Two documents in one component need no further test, so no link is lost.
 
 Edge cases: null and empty texts have no shingles and link with nothing; a text of fewer words than a shingle is one shingle;
 a row with a null id has a null component and links with nothing; rows that share an id count with their own texts; an
@@ -29,6 +30,8 @@ from .common import U, gram_hashes, id_and_text, materialise, pieces, read_table
 COMMON_FROM, COMMON_KEPT = 48, 200_000
 #: Groups under one shingle that meet pair by pair in the first round.
 CROWD = 24
+#: Nodes in a block of a crowd.
+BLOCK = 1500
 
 
 def shingle_set(text: bytes, words: int) -> np.ndarray:
@@ -49,6 +52,11 @@ def parity_bits(s: np.ndarray) -> bytes:
     return np.packbits(np.bincount(slots, minlength=size) & 1).tobytes()
 
 
+def folded(bits: np.ndarray) -> np.ndarray:
+    """Packed parity bits at half their number of slots. Slots are leading bits of the hash, so neighbours meet."""
+    return np.packbits(np.bitwise_xor.reduce(np.unpackbits(bits).reshape(-1, 2), axis=1))
+
+
 def difference_bound(a: bytes, b: bytes) -> int:
     """At most the size of the symmetric difference of two sets, from their parity bits; the longer is folded."""
     x, y = (np.unpackbits(np.frombuffer(v, np.uint8)) for v in (a, b))
@@ -110,31 +118,29 @@ def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return id_and_text(docs).mapInArrow(sign, "doc_id long, n int, digest binary, prefix binary, bits binary")
 
 
-_TOKENS = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("tokens", "groups", "sizes", "components"))])
+_TOKENS = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("tokens", "groups", "sizes"))])
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def group_pairs(groups: DataFrame, buckets: int, percent: int, every: bool) -> DataFrame:
-    """a < b: groups (gid, n, prefix, component) that share a prefix shingle and have compatible sizes. Without ``every``, groups
-    under a crowded shingle meet the smallest of their neighbours in size only; with it, pairs within a component are left out."""
+def dealt(groups: DataFrame, buckets: int) -> DataFrame:
+    """The prefix shingles of groups (gid, n, prefix) by bucket of the shingle, packed."""
 
     def deal(batches):
         held: list[tuple] = []
 
         def flush():
-            token, gid, size, component = (np.concatenate([h[i] for h in held]) for i in range(4))
+            token, gid, size = (np.concatenate([h[i] for h in held]) for i in range(3))
             bucket = (token >> U(33)).astype(np.int64) % buckets
             order = np.argsort(bucket, kind="stable")
-            cut = np.flatnonzero(np.diff(bucket[order])) + 1
-            parts = np.split(order, cut) if len(order) else []
+            parts = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []
             held.clear()
-            yield pa.RecordBatch.from_pylist([{"bucket": int(bucket[p[0]]), "tokens": token[p].tobytes(), "groups": gid[p].tobytes(), "sizes": size[p].tobytes(), "components": component[p].tobytes()} for p in parts], schema=_TOKENS)
+            yield pa.RecordBatch.from_pylist([{"bucket": int(bucket[p[0]]), "tokens": token[p].tobytes(), "groups": gid[p].tobytes(), "sizes": size[p].tobytes()} for p in parts], schema=_TOKENS)
 
         rows = 0
         for batch in batches:
-            for gid, n, prefix, component in zip(*(batch.column(c).to_pylist() for c in ("gid", "n", "prefix", "component")), strict=True):
+            for gid, n, prefix in zip(*(batch.column(c).to_pylist() for c in ("gid", "n", "prefix")), strict=True):
                 t = np.frombuffer(prefix, U)
-                held.append((t, np.full(len(t), gid), np.full(len(t), n, np.int32), np.full(len(t), component)))
+                held.append((t, np.full(len(t), gid), np.full(len(t), n, np.int32)))
                 rows += len(t)
             if rows > 3_000_000:
                 yield from flush()
@@ -142,48 +148,96 @@ def group_pairs(groups: DataFrame, buckets: int, percent: int, every: bool) -> D
         if held:
             yield from flush()
 
+    return groups.select("gid", "n", "prefix").mapInArrow(deal, "bucket int, tokens binary, groups binary, sizes binary")
+
+
+def _sorted_tokens(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """token, group, size in order of token and size; where each token starts and how many groups hold it."""
+    token, gid, size = (np.concatenate([np.frombuffer(b, t) for b in table[c].to_pylist()]) for c, t in (("tokens", U), ("groups", np.int64), ("sizes", np.int32)))
+    order = np.lexsort((gid, size, token))
+    token, gid, size = token[order], gid[order], size[order]
+    start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
+    return token, gid, size.astype(np.int64), start, np.diff(np.append(start, len(token)))
+
+
+def group_pairs(tokens: DataFrame, percent: int) -> DataFrame:
+    """a < b: groups that share a prefix shingle and have compatible sizes; under a crowded shingle each meets the smallest only."""
+
     def meet(table: pa.Table) -> pa.Table:
-        token, gid, size, component = (np.concatenate([np.frombuffer(b, t) for b in table[c].to_pylist()]) for c, t in (("tokens", U), ("groups", np.int64), ("sizes", np.int32), ("components", np.int64)))
-        order = np.lexsort((gid, size, token))
-        token, gid, size, component = token[order], gid[order], size[order], component[order]
-        start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
-        length = np.diff(np.append(start, len(token)))
+        token, gid, size, start, length = _sorted_tokens(table)
+        where, first, held_by = np.arange(len(token)), np.repeat(start, length), np.repeat(length, length)
         left, right = [], []
-        crowded = np.flatnonzero(length > CROWD)
-        first = np.repeat(start, length)
-        size_of = np.repeat(length, length)
-        where = np.arange(len(token))
         for step in range(1, CROWD):
-            # the pairs at one distance in all uncrowded groups at once
-            i = where[(where - first >= step) & (size_of <= CROWD)]
+            # the pairs at one distance in all uncrowded shingles at once
+            i = where[(where - first >= step) & (held_by <= CROWD)]
             if not len(i):
                 break
             left.append(i - step)
             right.append(i)
-        for c in crowded.tolist():
+        for c in np.flatnonzero(length > CROWD).tolist():
             b, e = int(start[c]), int(start[c] + length[c])
-            if every:
-                for i in range(b, e):
-                    far = int(np.searchsorted(size[b:e], size[i] * 100 // percent, side="right")) + b
-                    j = np.arange(i + 1, far)
-                    j = j[(component[j] != component[i]) | (component[j] < 0)]
-                    left.append(np.full(len(j), i))
-                    right.append(j)
-            else:
-                lowest = b + np.searchsorted(size[b:e], -(-size[b:e].astype(np.int64) * percent // 100))
-                i = np.arange(b, e)
-                left.append(lowest[lowest < i])
-                right.append(i[lowest < i])
+            lowest, i = b + np.searchsorted(size[b:e], -(-size[b:e] * percent // 100)), np.arange(b, e)
+            left.append(lowest[lowest < i])
+            right.append(i[lowest < i])
         i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-        fits = (gid[i] != gid[j]) & (100 * np.minimum(size[i], size[j]).astype(np.int64) >= percent * np.maximum(size[i], size[j]).astype(np.int64))
-        if every:
-            fits &= (component[i] != component[j]) | (component[i] < 0)
-        i, j = i[fits], j[fits]
-        pairs = np.unique(np.stack([np.minimum(gid[i], gid[j]), np.maximum(gid[i], gid[j])], axis=1), axis=0)
+        fits = (gid[i] != gid[j]) & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j]))
+        pairs = np.unique(np.stack([np.minimum(gid[i], gid[j]), np.maximum(gid[i], gid[j])], axis=1)[fits], axis=0)
         return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=_PAIR)
 
-    dealt = groups.select("gid", "n", "prefix", "component").mapInArrow(deal, "bucket int, tokens binary, groups binary, sizes binary, components binary")
-    return dealt.groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
+    return tokens.groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
+
+
+def crowds(tokens: DataFrame) -> DataFrame:
+    """crowd, gid: the groups under each crowded shingle."""
+    schema = pa.schema([("crowd", pa.int64()), ("gid", pa.int64())])
+
+    def pick(table: pa.Table) -> pa.Table:
+        token, gid, _, _, length = _sorted_tokens(table)
+        on = np.repeat(length > CROWD, length)
+        return pa.Table.from_arrays([pa.array(token[on].view(np.int64)), pa.array(gid[on])], schema=schema)
+
+    return tokens.groupBy("bucket").applyInArrow(pick, "crowd long, gid long")
+
+
+def crowd_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """a < b: nodes of one crowd in different components whose sizes and bitmaps let them link. members: (crowd, node, component, n,
+    bits). A crowd is cut into blocks by a hash of the node, and every two blocks meet in a task of their own."""
+    blocks = members.groupBy("crowd").agg(F.countDistinct("component").alias("components"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("components > 1")
+    own = members.join(blocks.drop("components"), "crowd").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("crowd", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "component", "n", "bits")
+
+    def meet(table: pa.Table) -> pa.Table:
+        node, component, n, own, low, high = (table[c].to_numpy() for c in ("node", "component", "n", "own", "low", "high"))
+        order = np.lexsort((node, n))
+        bits = table["bits"].to_pylist()
+        node, component, n, own = node[order], component[order], n[order].astype(np.int64), own[order]
+        raw = [np.frombuffer(bits[i], np.uint8) for i in order]
+        size = np.array([len(r) for r in raw])
+        # each node's bitmap at its own size and folded once: sizes that may link differ by one doubling at most
+        at: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for z in np.unique(size).tolist():
+            same, twice = np.flatnonzero(size == z), np.flatnonzero(size == 2 * z)
+            rows = [raw[i] for i in same] + [folded(raw[i]) for i in twice]
+            place = np.full(len(raw), -1)
+            place[np.concatenate([same, twice])] = np.arange(len(rows))
+            at[z] = (place, np.stack(rows))
+        one = bool(low[0] == high[0])
+        far = np.searchsorted(n, n * 100 // percent, side="right")
+        left, right = [], []
+        for i in range(len(node)):
+            j = np.arange(i + 1, far[i])
+            j = j[(component[j] != component[i]) & ((own[j] != own[i]) | one)]
+            for z in np.unique(np.minimum(size[j], size[i])).tolist():
+                k = j[np.minimum(size[j], size[i]) == z]
+                place, matrix = at[z]
+                apart = np.bitwise_count(matrix[place[k]] ^ matrix[place[i]]).sum(axis=1, dtype=np.int64)
+                k = k[100 * (n[i] + n[k] - apart) >= percent * (n[i] + n[k] + apart)]
+                left.append(np.full(len(k), i))
+                right.append(k)
+        i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
+        return pa.Table.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], schema=_PAIR)
+
+    return met.groupBy("crowd", "low", "high").applyInArrow(meet, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -249,26 +303,27 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     distinct = signed.where(F.col("doc_id").isNotNull() & (F.col("n") > 0)).groupBy("digest").agg(F.min(F.struct("doc_id", "n", "prefix", "bits")).alias("x"))
     nodes = materialise(distinct.select(F.monotonically_increasing_id().alias("node"), "digest", "x.*", F.md5("x.prefix").alias("key")), "jaccard-nodes")
     grouped = nodes.groupBy("n", "key").agg(F.min("node").alias("gid"), F.count("*").alias("members"))
-    crowds = materialise(grouped.where("members > 1"), "jaccard-groups")
-    members = materialise(nodes.select("node", "n", "key").join(crowds.select("n", "key", "gid"), ["n", "key"], "left").select("node", F.coalesce("gid", "node").alias("gid")), "jaccard-members")
+    crowded = materialise(grouped.where("members > 1"), "jaccard-groups")
+    members = materialise(nodes.select("node", "n", "key").join(crowded.select("n", "key", "gid"), ["n", "key"], "left").select("node", F.coalesce("gid", "node").alias("gid")), "jaccard-members")
     heads = nodes.join(members.where("gid = node").select("node"), "node", "left_semi").select(F.col("node").alias("gid"), "n", "prefix")
     size = heads.agg(F.sum(F.octet_length("prefix")).alias("b")).collect()[0]["b"] or 0
-    buckets = max(64, size // 8 // 250_000)
+    tokens = dealt(heads, max(64, size // 8 // 250_000))
     # first round: representatives
-    pairs = group_pairs(heads.withColumn("component", F.lit(-1).cast("long")), buckets, percent, False)
+    met = materialise(group_pairs(tokens, percent), "jaccard-met")
     inside = members.where("gid <> node").select(F.col("gid").alias("a"), F.col("node").alias("b"))
-    tried = materialise(pairs.union(inside), "jaccard-tried")
+    tried = materialise(met.union(inside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "jaccard-tried")
     links = materialise(verified(tried, nodes, docs, words, percent), "jaccard-links")
     found = materialise(components(links), "jaccard-found")
-    # second round: what is still in different components
-    labelled = materialise(members.join(found, "node", "left").select("node", "gid", F.coalesce("component", "node").alias("component")), "jaccard-labelled")
-    state = labelled.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    uniform = state.select("gid", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.lit(-1).cast("long")).alias("component"))
-    more = group_pairs(heads.join(uniform, "gid"), buckets, percent, True)
-    split = state.where("low <> high").select(F.col("gid").alias("a"), F.col("gid").alias("b"))
+    # second round: what is still in different components, under crowded shingles, within groups, and between members of groups that met
+    labelled = members.join(found, "node", "left").join(nodes.select("node", "n", "bits"), "node").select("node", "gid", F.coalesce("component", "node").alias("component"), "n", "bits")
+    labelled = materialise(labelled, "jaccard-labelled")
+    under = crowds(tokens).join(labelled, "gid").select("crowd", "node", "component", "n", "bits")
+    grown = crowded.select("gid")
+    within = labelled.join(grown, "gid", "left_semi").select((-1 - F.col("gid")).alias("crowd"), "node", "component", "n", "bits")
+    pairs = met.join(grown.withColumnRenamed("gid", "a").withColumn("x", F.lit(1)), "a", "left").join(grown.withColumnRenamed("gid", "b").withColumn("y", F.lit(1)), "b", "left").where("x = 1 OR y = 1").select("a", "b")
     x, y = (labelled.select(F.col("gid").alias(g), F.col("node").alias(f"node_{g}"), F.col("component").alias(f"c_{g}")) for g in ("a", "b"))
-    rest = more.union(split).join(x, "a").join(y, "b").where("c_a <> c_b").select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-    rest = rest.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    between = pairs.join(x, "a").join(y, "b").where("c_a <> c_b").select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+    rest = crowd_pairs(under, percent).union(crowd_pairs(within, percent)).union(between).distinct().join(tried, ["a", "b"], "left_anti")
     late = verified(rest, nodes, docs, words, percent)
     final = materialise(components(links.union(late)), "jaccard-final")
     known = nodes.select("node", "digest", F.col("doc_id").alias("first")).join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
