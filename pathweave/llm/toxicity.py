@@ -178,8 +178,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500, max_voters:
     pos = np.bincount(inverse, weights=label == 1, minlength=len(names))
     neg = np.bincount(inverse, weights=label != 1, minlength=len(names))
     odds = np.log((pos + 0.5) / ((y == 1).sum() + 1)) - np.log((neg + 0.5) / ((y != 1).sum() + 1))
-    # a lower bound of the odds, so that rare words need more rows
-    good = np.flatnonzero((pos >= min_rows) & (odds - 1.64 * np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5)) >= min_odds))
+    # a lower bound of the odds, so that rare words need more rows; half of it is enough for words that no clean row has
+    bound = odds - 1.64 * np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
+    good = np.flatnonzero((pos >= min_rows) & ((bound >= min_odds) | ((neg == 0) & (bound >= min_odds / 2))))
     good = good[np.lexsort((names[good], -pos[good]))][: 4 * max_voters]
     if not len(good):
         return NOTHING
