@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, fold, id_and_text, materialise, read_table, word_hashes
+from .common import U, fold, id_and_text, materialise, read_table, release, word_hashes
 
 END = 10
 CHUNK_BYTES = 4 << 20
@@ -286,6 +286,7 @@ def score(docs: DataFrame, train_when) -> DataFrame:
         return pa.Table.from_arrays([table["range"], table["chunk"], pa.array([np.append(count[i], 0).astype(np.uint32).tobytes() for i in place], pa.binary()), pa.array([np.append(log[i], log[-1]).tobytes() for i in place], pa.binary())], schema=_TOLD)
 
     told = materialise(words.groupBy("range").cogroup(spelled.groupBy("word_range")).applyInArrow(tell_words, _TOLD_DDL), "pitman-yor-told")
+    release(words, contexts)
     out = pa.schema([("doc_id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
     rest = np.log10(n + 0.1 * (v + 1))
     # the end of a text where a chunk has no word at all: from any answer, or the uniform model
