@@ -3,7 +3,7 @@
 Texts are compared as words joined by one space, with A-Z lowered. Windows of an item's size are laid where a document
 shares a distinctive word or word pair with the item, so that both begin alike. The CGK random walk reads a string with a
 pointer that moves on or stays by a random bit for each step and symbol; strings at a small edit distance then agree in most
-places. Each of several tables samples some places; a window stays if it agrees with the item in all places of one table.
+places. Each of several tables samples some places; a window stays if it agrees with the item in all places of ``AGREE`` tables.
 The number of tables is set from trials, item texts with random edits at the threshold, so that a window is kept with
 ``recall`` at least. What stays is verified: the least edit distance of the item to any substring around the window
 (bit-parallel, exact) must be at most ``max_edit`` of the item's length.
@@ -16,16 +16,21 @@ doc_id or item_id is left out; repeated rows give equal results; empty tables gi
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, byte_values, gram_hashes, id_and_text, mix, pieces, prefix_sums, read_table, record, run_hashes, word_bounds
+from .common import id_and_text, pieces, read_table, record
 
 WORD_BYTES, PAIR_BYTES = 7, 9
-STEPS = 3
+#: Length of the embedding in lengths of the string: about as many steps as the pointer needs, as what follows its end agrees
+#: in all texts and tells nothing.
+STEPS = 2
+#: Tables that must agree: one agrees by chance too often, and each needless verification costs more than some tables.
+AGREE = 3
 BLOCK_BYTES = 8 << 20
 
 
@@ -33,13 +38,6 @@ def normal(text: bytes) -> bytes:
     return b" ".join(text.lower().split())
 
 
-def word_keys(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words, hashes of words, hashes of pairs."""
-    starts, ends = word_bounds(text)
-    words = run_hashes(prefix_sums(byte_values(text)), starts, ends) if len(starts) else np.zeros(0, U)
-    return starts, ends, words, mix(gram_hashes(words, 2) ^ U(2))
-
-
 def least_distance(item: bytes, text: bytes) -> tuple[int, int]:
     """(least edit distance of the item to any substring of the text, where that substring ends): Myers' bit vectors."""
     m = len(item)
@@ -96,16 +94,16 @@ class Items:
     ids: np.ndarray
     texts: list[bytes]
     bounds: np.ndarray
-    keys: np.ndarray
-    entries: np.ndarray
-    offsets: np.ndarray
+    words: dict[bytes, list[tuple[int, int]]]
+    pairs: dict[tuple[bytes, bytes], list[tuple[int, int]]]
+    openers: frozenset[bytes]
     walks: Walks
     places: list[tuple[int, np.ndarray]]
     signatures: list[np.ndarray]
 
     def filter(self, item: np.ndarray, windows: list[bytes]) -> np.ndarray:
-        """Which windows agree with their items in all sampled places of a table."""
-        ok = np.zeros(len(windows), bool)
+        """Which windows agree with their items in all sampled places of ``AGREE`` tables."""
+        votes = np.zeros(len(windows), np.int32)
         for i in range(0, len(windows), 4096):
             part, own = windows[i : i + 4096], item[i : i + 4096]
             steps = max(STEPS * len(self.texts[j]) for j in np.unique(own))
@@ -114,8 +112,8 @@ class Items:
                 for (w, share), mine in zip(self.places, self.signatures, strict=True):
                     if w == walk:
                         at = (share[:, None] * (STEPS * self.bounds[own])[None, :]).astype(np.int64)
-                        ok[i : i + 4096] |= (seen[at, np.arange(len(part))[None, :]] == mine[:, own]).all(axis=0)
-        return ok
+                        votes[i : i + 4096] += (seen[at, np.arange(len(part))[None, :]] == mine[:, own]).all(axis=0)
+        return votes >= AGREE
 
 
 def edited(text: bytes, edits: int, rng: np.random.Generator) -> bytes:
@@ -133,7 +131,7 @@ def edited(text: bytes, edits: int, rng: np.random.Generator) -> bytes:
     return bytes(out)
 
 
-def prepare(rows: list[tuple[int, str]], max_edit: float, recall: float, walks: int = 4, places: int = 7, trials: int = 160) -> Items | None:
+def prepare(rows: list[tuple[int, str]], max_edit: float, recall: float, walks: int = 4, places: int = 3, trials: int = 160) -> Items | None:
     """Tables for a block of items; their number follows from how often a sampled table survives edits at the threshold."""
     kept = [(i, t) for i, t in ((i, normal((t or "").encode())) for i, t in rows) if i is not None and t]
     if not kept:
@@ -146,53 +144,43 @@ def prepare(rows: list[tuple[int, str]], max_edit: float, recall: float, walks:
     pairs = [(t, edited(t, int(max_edit * len(t)), rng)[: len(t)]) for t in chosen]
     lengths = np.array([len(t) for t, _ in pairs])
     agreement = [random.embed([a for a, _ in pairs], w, STEPS * longest) == random.embed([b for _, b in pairs], w, STEPS * longest) for w in range(walks)]
-    tables, missed = [], np.ones(len(pairs), bool)
+    tables, votes = [], np.zeros(len(pairs), np.int32)
     for k in range(400):
         w, share = k % walks, rng.random(places)
         at = (share[:, None] * (STEPS * lengths)[None, :]).astype(np.int64)
         tables.append((w, share))
-        missed &= ~agreement[w][at, np.arange(len(pairs))[None, :]].all(axis=0)
-        if k >= 7 and missed.mean() <= 1 - recall:
+        votes += agreement[w][at, np.arange(len(pairs))[None, :]].all(axis=0)
+        if k >= 7 and (votes < AGREE).mean() <= 1 - recall:
             break
     bounds = np.array([len(t) for t in texts])
     shown = [random.embed(texts, w, STEPS * longest) for w in range(walks)]
     signatures = [shown[w][(share[:, None] * (STEPS * bounds)[None, :]).astype(np.int64), np.arange(len(texts))[None, :]] for w, share in tables]
-    key, item, word = [], [], []
+    single: dict[bytes, list[tuple[int, int]]] = {}
+    double: dict[tuple[bytes, bytes], list[tuple[int, int]]] = {}
     for j, t in enumerate(texts):
-        starts, ends, words, twos = word_keys(t)
-        single = np.flatnonzero(ends - starts >= WORD_BYTES)
-        double = np.flatnonzero(ends[1:] - starts[:-1] >= PAIR_BYTES)
-        if not len(single) and not len(double):
-            single = np.arange(len(words))
-        for h, at in ((words[single], single), (twos[double], double)):
-            key.append(h)
-            item.append(np.full(len(h), j))
-            word.append(at)
-    key, item, word = (np.concatenate(x) for x in (key, item, word))
-    order = np.argsort(key, kind="stable")
-    unique, begin = np.unique(key[order], return_index=True)
-    return Items(ids, texts, bounds, unique, np.stack([item[order], word[order]], axis=1), np.append(begin, len(order)), random, tables, signatures)
-
-
-def laid(items: Items, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        w = t.split(b" ")
+        long = [i for i, x in enumerate(w) if len(x) >= WORD_BYTES]
+        two = [i for i in range(len(w) - 1) if len(w[i]) + len(w[i + 1]) + 1 >= PAIR_BYTES]
+        for i in long or ([] if two else range(len(w))):
+            single.setdefault(w[i], []).append((j, i))
+        for i in two:
+            double.setdefault((w[i], w[i + 1]), []).append((j, i))
+    return Items(ids, texts, bounds, single, double, frozenset(a for a, _ in double), random, tables, signatures)
+
+
+def laid(items: Items, text: bytes) -> list[tuple[int, int]]:
     """(item, byte offset) of the windows that shared words and pairs suggest; each once."""
-    starts, ends, words, twos = word_keys(text)
-    if not len(words):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    out = []
-    for keys in (words, twos):
-        at = np.minimum(np.searchsorted(items.keys, keys), len(items.keys) - 1)
-        here = np.flatnonzero(items.keys[at] == keys)
-        if len(here):
-            low, high = items.offsets[at[here]], items.offsets[at[here] + 1]
-            n = high - low
-            row = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            entry = items.entries[row]
-            out.append(np.stack([entry[:, 0], np.maximum(0, np.repeat(here, n) - entry[:, 1])], axis=1))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    both = np.unique(np.concatenate(out), axis=0)
-    return both[:, 0], starts[both[:, 1]]
+    w = text.split(b" ")
+    found = {(j, max(0, i - k)) for i, x in enumerate(w) if x in items.words for j, k in items.words[x]}
+    openers, pairs = items.openers, items.pairs
+    for i in [i for i, x in enumerate(w[:-1]) if x in openers]:
+        x = w[i]
+        if (x, w[i + 1]) in pairs:
+            found.update((j, max(0, i - k)) for j, k in pairs[x, w[i + 1]])
+    if not found:
+        return []
+    starts = [0, *accumulate(len(x) + 1 for x in w)]
+    return [(j, starts[i]) for j, i in sorted(found)]
 
 
 _MATCH = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("edit_distance", pa.int64()), ("item_bytes", pa.int64()), ("end_byte", pa.int64())])
@@ -218,16 +206,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, max_edit: float = 0.2, recall
                 ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
                 for part in pieces([len(t) for t in texts], 1 << 21):
                     own = [normal(t.encode()) for t in texts[part]]
-                    doc, item, start = [], [], []
-                    for d, t in enumerate(own):
-                        i, s = laid(block, t)
-                        doc.append(np.full(len(i), d))
-                        item.append(i)
-                        start.append(s)
-                    doc, item, start = (np.concatenate(x) for x in (doc, item, start))
-                    ok = block.filter(item, [own[d][s : s + block.bounds[i]] for d, i, s in zip(doc.tolist(), item.tolist(), start.tolist(), strict=True)])
+                    windows = [(d, i, s) for d, t in enumerate(own) for i, s in laid(block, t)]
+                    ok = block.filter(np.array([i for _, i, _ in windows], np.int64), [own[d][s : s + len(block.texts[i])] for d, i, s in windows])
                     best: dict[tuple[int, int], tuple[int, int]] = {}
-                    for d, i, s in zip(doc[ok].tolist(), item[ok].tolist(), start[ok].tolist(), strict=True):
+                    for d, i, s in (windows[k] for k in np.flatnonzero(ok)):
                         most = int(max_edit * len(block.texts[i]))
                         if best.get((d, i), (1,))[0] == 0:
                             continue

@@ -80,13 +80,14 @@ def fit_bits(x: np.ndarray, y: np.ndarray, languages: list[str], ridge: float =
     """Ridge classifiers of all bits in one dual solve; classes weigh the same whatever their number of rows."""
     codes = codewords(len(languages))
     target = codes[y]
-    share = np.sqrt(len(y) / (len(languages) * np.bincount(y, minlength=len(languages))))[y][:, None]
-    xs, ts = np.hstack([x, np.ones((len(x), 1), np.float32)]) * share, target * share
-    alpha = np.linalg.solve(xs @ xs.T + ridge * np.eye(len(x), dtype=np.float32), ts)
-    w = (xs.T @ alpha).astype(np.float32)
-    right = (np.sign(x @ w[:-1] + w[-1]) == target).mean(axis=0)
+    share = np.sqrt(len(y) / (len(languages) * np.bincount(y, minlength=len(languages))))[y].astype(np.float32)
+    kernel = (x @ x.T + 1) * np.outer(share, share)
+    kernel[np.diag_indices(len(x))] += ridge
+    alpha = np.linalg.solve(kernel, target * share[:, None]).astype(np.float32) * share[:, None]
+    weights, intercepts = x.T @ alpha, alpha.sum(axis=0)
+    right = (np.sign(x @ weights + intercepts) == target).mean(axis=0)
     trust = np.maximum(0.05, 2 * right - 1)
-    return Model(languages, codes, w[:-1], w[-1], (trust / trust.mean()).astype(np.float32))
+    return Model(languages, codes, weights, intercepts, (trust / trust.mean()).astype(np.float32))
 
 
 def sample_by_hash(rows: DataFrame, key: str, per_key: int, salt: str, max_keys: int = 256) -> DataFrame:
@@ -101,7 +102,7 @@ def sample_by_hash(rows: DataFrame, key: str, per_key: int, salt: str, max_keys:
     return rows.where(draw < share[F.col(key)]).limit(2 * per_key * len(counts))
 
 
-def train(docs: DataFrame, per_language: int = 600) -> Model | None:
+def train(docs: DataFrame, per_language: int = 400) -> Model | None:
     """Learns from rows with a language and a letter whose fold is not 0."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(HAS_LETTER) & (fold("doc_id", 5) != 0)).select("doc_id", "lang", "text")
     schema = pa.schema([("lang", pa.string()), ("x", pa.binary())])
@@ -116,12 +117,16 @@ def train(docs: DataFrame, per_language: int = 600) -> Model | None:
     got = sample_by_hash(rows, "lang", per_language, "ecoc").mapInArrow(features, "lang string, x binary").toArrow()
     if not got.num_rows:
         return None
-    names = sorted(set(got["lang"].to_pylist()))
-    at = {n: i for i, n in enumerate(names)}
-    x = np.stack([np.frombuffer(b, np.float16) for b in got["x"].to_pylist()]).astype(np.float32)
-    y = np.array([at[n] for n in got["lang"].to_pylist()])
-    order = np.lexsort((x[:, 97], x[:, 101], y))
-    return fit_bits(x[order], y[order], names)
+    langs, blobs = got["lang"].to_pylist(), got["x"].to_pylist()
+    del got
+    names = sorted(set(langs))
+    # in an order of their own, so that the fit does not depend on partitions
+    order = sorted(range(len(langs)), key=lambda i: (langs[i], blobs[i]))
+    x = np.empty((len(order), DIMS), np.float32)
+    for row, i in enumerate(order):
+        x[row] = np.frombuffer(blobs[i], np.float16)
+    del blobs
+    return fit_bits(x, np.array([names.index(langs[i]) for i in order]), names)
 
 
 def identify(docs: DataFrame, model: Model | None, ambiguous_within: float = 0.2) -> DataFrame:
