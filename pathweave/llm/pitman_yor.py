@@ -1,15 +1,20 @@
 """LM scoring by a nested hierarchical Pitman-Yor model, beside a unigram score.
 
-Words are dishes of one restaurant whose parent is a model of spellings: each byte given the three before it within the word, the
+The restaurant of a preceding word (or of the start of a text) has the words that follow it as dishes; its parent is the
+restaurant of all words, whose parent is a model of spellings: each byte given the three before it within the word, the
 empty spelling being the end of a text. Every byte context is a Chinese restaurant whose parent is the context without
-its earliest byte: a new table there is a customer of the parent. Seatings of the byte restaurants are sampled by blocked
+its earliest byte. At every level a new table is a customer of the parent. Seatings are sampled by blocked
 Gibbs sweeps, all dishes of a level at a time given the parent's predictive probabilities and the restaurant's tables of the
 sweep before (customers one by one up to 64 of a dish, then by Poisson steps), and predictive probabilities are averaged
-over the sweeps after burn-in. In the word restaurant a dish has one table, which keeps its probabilities summing to one.
+over the sweeps after burn-in. Levels follow one another: pairs are first seated under the shares of words in their own range, their
+tables seat the words, whose tables seat the spellings; then probabilities come down again and each level is sampled anew under them.
 
+Pairs are dealt by a hash of the preceding word; those of a preceding word with over 1/2048 of all tokens by a hash of both words, its
+totals being added up in the driver sweep by sweep (at most 2,049 words). The restaurant of all words is dealt by words in the same way.
 Byte restaurants of two and three bytes live where their last two bytes are dealt to; those of one byte and the root (at most
 65,536 dishes) live in the driver, which gets the sampled tables of their children. Texts are dealt to chunks by a hash; a
-chunk asks each range of words once for each distinct word, a range of words asks each range of contexts once for each
+chunk asks each range of words once for each distinct word and each range of pairs once for each distinct pair, a range of pairs asks each
+range of words once for each distinct word, a range of words asks each range of contexts once for each
 distinct 4-gram, and answers come back in the order of the questions. So no key, however frequent, is asked for more
 than once by a chunk, and nothing the size of the corpus is broadcast.
 
@@ -19,17 +24,24 @@ without training rows spellings are uniform; an empty table gives an empty resul
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, fold, id_and_text, materialise, read_table, release, word_hashes
+from .common import U, fold, id_and_text, materialise, mix, read_table, release, word_hashes
 
 END = 10
 CHUNK_BYTES = 4 << 20
 WORD_RANGES, CONTEXT_RANGES = 256, 256
 SWEEPS, BURN_IN, EXACT_SEATS = 6, 2, 64
+KEPT = SWEEPS - BURN_IN
+PAIR_RANGES = 256
+#: A preceding word with more than this share of the tokens has its followers dealt one by one.
+HOT_SHARE = 1 / 2048
+THETA = 1.0
 
 
 def grams(spelled: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -161,6 +173,7 @@ _ASK = pa.schema([("range", pa.int32()), ("chunk", pa.int64()), ("keys", pa.bina
 _ASK_DDL = "range int, chunk long, keys binary, counts binary, sizes binary, spelled binary"
 _TOLD = pa.schema([("range", pa.int32()), ("chunk", pa.int64()), ("counts", pa.binary()), ("told", pa.binary())])
 _TOLD_DDL = "range int, chunk long, counts binary, told binary"
+_LOW = U(0xFFFFFFFF)
 
 
 def _cuts(ranges: np.ndarray) -> list[tuple[int, int]]:
@@ -202,26 +215,150 @@ def _spellings(table: pa.Table, first: np.ndarray) -> list[bytes]:
     return [joined[e - n : e] for e, n in zip(ends[first].tolist(), sizes[first].tolist(), strict=True)]
 
 
-def _range_grams(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a range of words: keys as asked, distinct keys, counts; distinct grams in order of (context range, key), the place
+def _range_grams(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a range of words: distinct grams in order of (context range, key), the place
     of each gram of each word in them, grams in each word. The empty spelling comes last."""
-    keys, unique, count, first = _gathered(table, U)
-    each, sizes = grams([*_spellings(table, first), b""])
+    if table.num_rows:
+        _, _, _, first = _gathered(table, U)
+    each, sizes = grams([*(_spellings(table, first) if table.num_rows else []), b""])
     g, at = np.unique(each, return_inverse=True)
     order = np.argsort(context_range(g), kind="stable")
     place = np.empty(len(g), np.int64)
     place[order] = np.arange(len(g))
-    return keys, unique, count, g[order], place[at], sizes
+    return g[order], place[at], sizes
 
 
-def ask_grams(table: pa.Table) -> pa.Table:
-    """Customers of the spelling model: one for each distinct word of the training texts."""
-    _, _, count, g, at, sizes = _range_grams(table)
-    table_of = np.repeat(np.append(count > 0, False), sizes)
-    customers = np.bincount(at[table_of], minlength=len(g)).astype(np.uint32)
-    ranges = context_range(g)
-    rows = [{"range": int(ranges[a]), "chunk": table["range"][0].as_py(), "keys": g[a:b].tobytes(), "counts": customers[a:b].tobytes()} for a, b in _cuts(ranges)]
-    return pa.Table.from_pylist(rows, schema=_ASK)
+def _halves(table: pa.Table) -> tuple[pa.Table, pa.Table]:
+    """What chunks of texts ask a range of words, and what ranges of pairs ask it (their chunks are below 0)."""
+    mine = np.array(table["chunk"].to_pylist(), np.int64) >= 0
+    return table.filter(pa.array(mine)), table.filter(pa.array(~mine))
+
+
+def _customers(asked: pa.Table, offset: int, size: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The places in a range of words that each range of pairs asks for, and the customers of every word: tables of pairs."""
+    places = [np.frombuffer(b, np.uint32).astype(np.int64) - offset for b in asked["keys"].to_pylist()]
+    total = np.zeros(size, np.int64)
+    for at, b in zip(places, asked["counts"].to_pylist(), strict=True):
+        total[at] += np.frombuffer(b, np.uint32)
+    return places, total
+
+
+def seatings(count: np.ndarray, base: np.ndarray, restaurant: np.ndarray, size: int, discount: float, seed: list[int], fixed: np.ndarray | None = None):
+    """Sampled tables of every dish in each sweep after burn-in. ``fixed``: total tables of restaurants that are spread over ranges."""
+    rng = np.random.default_rng(seed)
+    total = np.bincount(restaurant, minlength=size).astype(float) if fixed is None else fixed
+    for sweep in range(SWEEPS):
+        t = seats(count, base, THETA + discount * total[restaurant], discount, rng)
+        if fixed is None:
+            total = np.bincount(restaurant, weights=t, minlength=size)
+        if sweep >= BURN_IN:
+            yield t
+
+
+def pair_range(key: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Which range holds a pair (preceding word << 32 | word); ``hot``: sorted preceding words whose followers are spread."""
+    before = key >> U(32)
+    spread = lookup(hot, before) >= 0
+    return (mix(np.where(spread, key, before) + U(1)) >> U(56)).astype(np.int64) * PAIR_RANGES >> 8
+
+
+def _pairs_of(table: pa.Table, ids: np.ndarray, end: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of a chunk in order of (range, pair), their ranges, the place of each token's pair in them, the text of each token,
+    the place of each word, words in each text. ``ids``: of the chunk's distinct words; ``end`` and ``end + 1`` are the end and start of a text."""
+    w, at, n, _ = _words_of([t.encode().lower() for t in table["text"].to_pylist()])
+    assert len(ids) == len(w)
+    stop = np.cumsum(n + 1) - 1
+    inner = np.ones(int((n + 1).sum()), bool)
+    inner[stop] = False
+    word = np.full(len(inner), end, U)
+    word[inner] = ids.astype(U)[at]
+    before = np.empty(len(inner), U)
+    before[1:] = word[:-1]
+    before[stop - n] = end + 1
+    key, place = np.unique(before << U(32) | word, return_inverse=True)
+    ranges = pair_range(key, hot)
+    order = np.argsort(ranges, kind="stable")
+    back = np.empty(len(key), np.int64)
+    back[order] = np.arange(len(key))
+    return key[order], ranges[order], back[place], np.repeat(np.arange(len(n)), n + 1), at, n
+
+
+def _gathered_pairs(table: pa.Table, only: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Pairs as asked, sorted distinct pairs, their summed counts. ``only``: preceding words to keep."""
+    keys, counts = [], []
+    for before, word, count in zip(table["keys"].to_pylist(), table["sizes"].to_pylist(), table["counts"].to_pylist(), strict=True):
+        key = np.cumsum(np.frombuffer(before, np.uint32).astype(U)) << U(32) | np.frombuffer(word, np.uint32).astype(U)
+        n = np.frombuffer(count, np.uint32)
+        keep = slice(None) if only is None else lookup(only, key >> U(32)) >= 0
+        keys.append(key[keep])
+        counts.append(n[keep])
+    unique, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return keys, unique, np.bincount(at, weights=np.concatenate(counts), minlength=len(unique)).astype(np.int64)
+
+
+def seat_pairs(key: np.ndarray, count: np.ndarray, hot: np.ndarray, seed: int) -> np.ndarray:
+    """First seating of one range of pairs: the parent is the share of each word among the range's tables."""
+    seen = np.flatnonzero(count > 0)
+    tables = np.zeros(len(key), np.int64)
+    if len(seen):
+        r, of = np.unique(key[seen] >> U(32), return_inverse=True)
+        _, dish = np.unique(key[seen] & _LOW, return_inverse=True)
+        spread = np.where(lookup(hot, r) >= 0, PAIR_RANGES, 1)
+        t, discount, rng = np.ones(len(seen)), discount_of(count[seen]), np.random.default_rng([seed, 3])
+        for _ in range(SWEEPS):
+            total = np.bincount(of, weights=t) * spread
+            share = np.bincount(dish, weights=t) / t.sum()
+            t = seats(count[seen], share[dish], THETA + discount * total[of], discount, rng)
+        tables[seen] = t
+    return tables
+
+
+class PairRange:
+    """Restaurants of the preceding words of one range, sampled given the probabilities of the words.
+
+    ``hot``: sorted preceding words that are spread over ranges, with their customers and their tables at the first seating.
+    """
+
+    def __init__(self, key: np.ndarray, count: np.ndarray, base: np.ndarray, discount: float, seed: int, hot: np.ndarray, hot_customers: np.ndarray, hot_tables: np.ndarray) -> None:
+        self.key, self.count, self.base, self.discount, self.seed = key, count, base, discount, seed
+        self.hot, self.hot_customers, self.hot_tables = hot, hot_customers, hot_tables
+        self.spread = lookup(hot, key >> U(32))
+
+    def hot_totals(self) -> np.ndarray:
+        """Tables here of each spread restaurant in each kept sweep."""
+        on = np.flatnonzero((self.spread >= 0) & (self.count > 0))
+        return np.array([np.bincount(self.spread[on], weights=t, minlength=len(self.hot)) for t in self._hot_seatings(on)])
+
+    def _hot_seatings(self, on: np.ndarray):
+        return seatings(self.count[on], self.base[on], self.spread[on], len(self.hot), self.discount, [self.seed, 4], self.hot_tables)
+
+    def predict(self, totals: np.ndarray) -> np.ndarray:
+        """Probabilities of all pairs, averaged. ``totals``: tables everywhere of each spread restaurant in each kept sweep."""
+        mean = np.zeros(len(self.key))
+        on = np.flatnonzero((self.spread >= 0) & (self.count > 0))
+        every = np.flatnonzero(self.spread >= 0)
+        for t, total in zip(self._hot_seatings(on), totals, strict=True):
+            own = self.count.astype(float)
+            own[on] -= self.discount * t
+            at = self.spread[every]
+            mean[every] += (own[every] + (THETA + self.discount * total[at]) * self.base[every]) / (THETA + self.hot_customers[at])
+        every = np.flatnonzero(self.spread < 0)
+        r, of_every = np.unique(self.key[every] >> U(32), return_inverse=True)
+        seen = self.count[every] > 0
+        on, of = every[seen], of_every[seen]
+        customers = np.bincount(of, weights=self.count[on], minlength=len(r))
+        for t in seatings(self.count[on], self.base[on], of, len(r), self.discount, [self.seed, 5]):
+            own = self.count.astype(float)
+            own[on] -= self.discount * t
+            strength = THETA + self.discount * np.bincount(of, weights=t, minlength=len(r))
+            mean[every] += (own[every] + strength[of_every] * self.base[every]) / (THETA + customers)[of_every]
+        return mean / KEPT
+
+
+def drop_shuffles(docs: DataFrame) -> None:
+    """Lets Spark delete the shuffle files of what has been collected."""
+    gc.collect()
+    docs.sparkSession.sparkContext._jvm.System.gc()
 
 
 def score(docs: DataFrame, train_when) -> DataFrame:
@@ -233,15 +370,92 @@ def score(docs: DataFrame, train_when) -> DataFrame:
     # equal ids may have different texts: both go into the hash
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
     words = materialise(dealt.groupBy("chunk").applyInArrow(ask_words, _ASK_DDL), "pitman-yor-words")
-    contexts = materialise(words.groupBy("range").applyInArrow(ask_grams, _ASK_DDL).drop("sizes", "spelled"), "pitman-yor-grams")
 
     def word_totals(table: pa.Table) -> pa.Table:
         _, _, total, _ = _gathered(table.select(["keys", "counts"]), U)
-        return pa.table({"v": pa.array([int((total > 0).sum())]), "n": pa.array([int(total.sum())]), "once": pa.array([int((total == 1).sum())]), "twice": pa.array([int((total == 2).sum())])})
+        return pa.table({"range": table["range"][:1], "size": pa.array([len(total)]), "v": pa.array([int((total > 0).sum())]), "n": pa.array([int(total.sum())]), "once": pa.array([int((total == 1).sum())]), "twice": pa.array([int((total == 2).sum())]), "at": pa.array([(at := np.flatnonzero(total > HOT_SHARE * total.sum())).tobytes()], pa.binary()), "counts": pa.array([total[at].tobytes()], pa.binary())})
 
-    sums = words.select("range", "keys", "counts").groupBy("range").applyInArrow(word_totals, "v long, n long, once long, twice long").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("v", "n", "once", "twice"))).collect()[0]
+    by_range = words.select("range", "keys", "counts").groupBy("range").applyInArrow(word_totals, "range int, size long, v long, n long, once long, twice long, at binary, counts binary").collect()  # at most 256 rows
+    sums = {c: sum(r[c] for r in by_range) for c in ("v", "n", "once", "twice")}
     n, v = sums["n"] + train_docs, sums["v"] + (train_docs > 0)
-    discount, theta = float(np.clip((sums["once"] + 0.5) / (sums["once"] + 2 * sums["twice"] + 1), 0.05, 0.95)), 1.0
+    discount = float(np.clip((sums["once"] + 0.5) / (sums["once"] + 2 * sums["twice"] + 1), 0.05, 0.95))
+    sizes_of = np.zeros(WORD_RANGES, np.int64)
+    for r in by_range:
+        sizes_of[r["range"]] = r["size"]
+    #: Words are numbered by range and hash; the end of a text is the last word of the last range.
+    offsets = np.cumsum(sizes_of) - sizes_of
+    end = int(sizes_of.sum())
+
+    def number(table: pa.Table) -> pa.Table:
+        keys, unique, count, _ = _gathered(table, U)
+        first = offsets[table["range"][0].as_py()]
+        place = [np.searchsorted(unique, k) for k in keys]
+        return pa.Table.from_arrays([table["range"], table["chunk"], pa.array([count[i].astype(np.uint32).tobytes() for i in place], pa.binary()), pa.array([(i + first).astype(np.uint32).tobytes() for i in place], pa.binary())], schema=_TOLD)
+
+    numbered = materialise(words.select("range", "chunk", "keys", "counts").groupBy("range").applyInArrow(number, _TOLD_DDL), "pitman-yor-numbers")
+    found = sorted((int(i + offsets[r["range"]]), int(c)) for r in by_range for i, c in zip(np.frombuffer(r["at"], np.int64), np.frombuffer(r["counts"], np.int64), strict=True) if c > HOT_SHARE * n)
+    hot = np.array([*(i for i, _ in found), end + 1], U)
+    hot_customers = np.array([*(c for _, c in found), train_docs], float)
+
+    def ids_of(answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and counts of a chunk's distinct words."""
+        by = sorted(zip(answers["range"].to_pylist(), answers["counts"].to_pylist(), answers["told"].to_pylist(), strict=True))
+        ids = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(b, np.uint32) for _, _, b in by)])
+        return ids, np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(b, np.uint32).astype(np.int64) for _, b, _ in by)])
+
+    def ask_pairs(mine: pa.Table, answers: pa.Table) -> pa.Table:
+        if not mine.num_rows:
+            return pa.Table.from_pylist([], schema=_ASK)
+        key, ranges, place, text, _, _ = _pairs_of(mine, ids_of(answers)[0], end, hot)
+        count = np.bincount(place[np.array(mine["train"].to_pylist(), bool)[text]], minlength=len(key)).astype(np.uint32)
+        before, word = (key >> U(32)).astype(np.uint32), (key & _LOW).astype(np.uint32)
+        rows = [{"range": int(ranges[a]), "chunk": mine["chunk"][0].as_py(), "keys": np.diff(before[a:b], prepend=np.uint32(0)).tobytes(), "counts": count[a:b].tobytes(), "sizes": word[a:b].tobytes()} for a, b in _cuts(ranges)]
+        return pa.Table.from_pylist(rows, schema=_ASK)
+
+    pairs = materialise(dealt.groupBy("chunk").cogroup(numbered.groupBy("chunk")).applyInArrow(ask_pairs, _ASK_DDL).drop("spelled"), "pitman-yor-pairs")
+
+    def first_seating(table: pa.Table) -> pa.Table:
+        mine = table["range"][0].as_py()
+        _, key, count = _gathered_pairs(table)
+        tables = seat_pairs(key, count, hot, mine)
+        word, at = np.unique(key & _LOW, return_inverse=True)
+        up = np.bincount(at, weights=tables, minlength=len(word)).astype(np.uint32)
+        spread = lookup(hot, key >> U(32))
+        hot_tables = np.bincount(spread[spread >= 0], weights=tables[spread >= 0], minlength=len(hot))
+        ranges = np.searchsorted(offsets, word.astype(np.int64), side="right") - 1
+        rows = [{"range": int(ranges[a]), "chunk": -1 - mine, "keys": word[a:b].astype(np.uint32).tobytes(), "counts": up[a:b].tobytes()} for a, b in _cuts(ranges)]
+        stats = np.array([(count == 1).sum(), (count == 2).sum(), tables.sum()], np.int64)
+        return pa.Table.from_pylist([*rows, {"range": -1, "chunk": -1 - mine, "keys": stats.tobytes(), "counts": hot_tables.tobytes()}], schema=_ASK)
+
+    seated = materialise(pairs.groupBy("range").applyInArrow(first_seating, _ASK_DDL), "pitman-yor-seated")
+    # a row from each of at most 256 ranges
+    told = seated.where("range = -1").select("keys", "counts").collect()
+    once, twice, word_customers = np.sum([np.frombuffer(r["keys"], np.int64) for r in told], axis=0) if told else (0, 0, 0)
+    pair_discount = float(np.clip((once + 0.5) / (once + 2 * twice + 1), 0.05, 0.95))
+    hot_tables = np.sum([np.frombuffer(r["counts"], float) for r in told], axis=0) if told else np.zeros(len(hot))
+    asked = words.unionByName(seated.where("range >= 0"))
+
+    def ask_grams(table: pa.Table) -> pa.Table:
+        """Customers of the spelling model: the tables of words, first seated under the range's own shares of bytes."""
+        mine, others = _halves(table)
+        g, at, sizes = _range_grams(mine)
+        _, count = _customers(others, int(offsets[table["range"][0].as_py()]), len(sizes))
+        of, seen = np.repeat(np.arange(len(sizes)), sizes), count > 0
+        byte = (g[at] & np.uint32(255)).astype(np.int64)
+        share = np.log(np.bincount(byte, minlength=256) + 1.0) - np.log(len(byte) + 256.0)
+        base = np.exp(np.bincount(of, weights=share[byte], minlength=len(sizes)))
+        tables = np.zeros(len(sizes))
+        for tables[seen] in seatings(count[seen], base[seen], np.zeros(int(seen.sum()), np.int64), 1, discount, [table["range"][0].as_py(), 6], np.array([float(v)])):
+            pass
+        customers = np.bincount(at, weights=tables[of], minlength=len(g)).astype(np.uint32)
+        ranges = context_range(g)
+        rows = [{"range": int(ranges[a]), "chunk": table["range"][0].as_py(), "keys": g[a:b].tobytes(), "counts": customers[a:b].tobytes()} for a, b in _cuts(ranges)]
+        # one more row: the tables themselves
+        return pa.Table.from_pylist([*rows, {"range": -1, "chunk": int(tables.sum()), "keys": b"", "counts": b""}], schema=_ASK)
+
+    grams_asked = materialise(asked.groupBy("range").applyInArrow(ask_grams, _ASK_DDL).drop("sizes", "spelled"), "pitman-yor-grams")
+    contexts = grams_asked.where("range >= 0")
+    word_tables = np.array([float(grams_asked.where("range = -1").agg(F.sum("chunk").alias("t")).collect()[0]["t"] or 0)])
 
     def first_tables(table: pa.Table) -> pa.Table:
         _, unique, count, _ = _gathered(table, np.uint32)
@@ -270,44 +484,96 @@ def score(docs: DataFrame, train_when) -> DataFrame:
         told = [p[np.searchsorted(unique, k)].astype(np.float32).tobytes() for k in keys]
         return pa.table({"word_range": table["chunk"].cast(pa.int32()), "range": table["range"], "told": pa.array(told, pa.binary())})
 
-    spelled = contexts.groupBy("range").applyInArrow(tell_grams, "word_range int, range int, told binary")
+    drop_shuffles(docs)
+    spelled = materialise(contexts.groupBy("range").applyInArrow(tell_grams, "word_range int, range int, told binary"), "pitman-yor-spelled")
 
-    def tell_words(table: pa.Table, answers: pa.Table) -> pa.Table:
-        keys, unique, count, g, at, sizes = _range_grams(table)
+    def spellings(table: pa.Table, answers: pa.Table) -> tuple[int, pa.Table, list[np.ndarray], np.ndarray, np.ndarray]:
+        """The range, what ranges of pairs ask it, at which places, customers and log10 probabilities of the spellings of its words."""
+        at_range = table["range"][0].as_py()
+        mine, others = _halves(table)
+        g, at, sizes = _range_grams(mine)
         logp = np.frombuffer(b"".join(b for _, b in sorted(zip(answers["range"].to_pylist(), answers["told"].to_pylist(), strict=True))), np.float32).astype(float)
         assert len(logp) == len(g)
-        spelling = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=logp[at], minlength=len(sizes))
-        own = np.append(count, train_docs)
-        # one table for each dish of the word restaurant
-        p = (np.where(own > 0, own - discount, 0.0) + (theta + discount * v) * 10.0**spelling) / (theta + n)
-        # beyond the range of doubles the spelling alone counts
-        log = np.where(p > 0, np.log10(np.maximum(p, 1e-300)), spelling + np.log10((theta + discount * v) / (theta + n)))
-        place = [np.searchsorted(unique, k) for k in keys]
-        return pa.Table.from_arrays([table["range"], table["chunk"], pa.array([np.append(count[i], 0).astype(np.uint32).tobytes() for i in place], pa.binary()), pa.array([np.append(log[i], log[-1]).tobytes() for i in place], pa.binary())], schema=_TOLD)
+        places, count = _customers(others, int(offsets[at_range]), len(sizes))
+        return at_range, others, places, count, np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=logp[at], minlength=len(sizes))
 
-    told = materialise(words.groupBy("range").cogroup(spelled.groupBy("word_range")).applyInArrow(tell_words, _TOLD_DDL), "pitman-yor-told")
-    release(words, contexts)
+    def word_seatings(at_range: int, count: np.ndarray, spelling: np.ndarray):
+        return seatings(count, 10.0**spelling, np.zeros(len(count), np.int64), 1, discount, [at_range, 7], word_tables)
+
+    def tables_of_words(table: pa.Table, answers: pa.Table) -> pa.Table:
+        at_range, _, _, count, spelling = spellings(table, answers)
+        seen = count > 0
+        return pa.table({"sweep": pa.array(range(KEPT), pa.int32()), "t": pa.array([float(t.sum()) for t in word_seatings(at_range, count[seen], spelling[seen])])})
+
+    both = asked.groupBy("range").cogroup(spelled.groupBy("word_range"))
+    kept = {r["sweep"]: r["t"] for r in both.applyInArrow(tables_of_words, "sweep int, t double").groupBy("sweep").agg(F.sum("t").alias("t")).collect()}
+    word_totals_kept = [kept.get(k, 0.0) for k in range(KEPT)]
+
+    def tell_words(table: pa.Table, answers: pa.Table) -> pa.Table:
+        """log10 probabilities of words, to the ranges of pairs."""
+        at_range, others, places, count, spelling = spellings(table, answers)
+        seen, mean, base = count > 0, np.zeros(len(count)), 10.0**spelling
+        for t, total in zip(word_seatings(at_range, count[seen], spelling[seen]), word_totals_kept, strict=True):
+            own = count.astype(float)
+            own[seen] -= discount * t
+            mean += (own + (THETA + discount * total) * base) / (THETA + word_customers)
+        # beyond the range of doubles the spelling alone counts
+        back = np.log10((THETA + discount * np.mean(word_totals_kept)) / (THETA + word_customers))
+        log = np.where(mean > 0, np.log10(np.maximum(mean / KEPT, 1e-300)), spelling + back)
+        return pa.Table.from_arrays([others["range"], pa.array([-1 - c for c in others["chunk"].to_pylist()], pa.int64()), pa.array([b""] * others.num_rows, pa.binary()), pa.array([log[i].astype(np.float32).tobytes() for i in places], pa.binary())], schema=_TOLD)
+
+    drop_shuffles(docs)
+    told_words = materialise(both.applyInArrow(tell_words, _TOLD_DDL), "pitman-yor-told")
+    release(words, seated, grams_asked, spelled)
+
+    def pairs_given(table: pa.Table, answers: pa.Table, only: np.ndarray | None) -> tuple[list[np.ndarray], np.ndarray, PairRange]:
+        """Pairs as asked, log10 probabilities of the words of all distinct pairs, and the pairs' restaurants."""
+        keys, key, count = _gathered_pairs(table, only)
+        logp = np.concatenate([np.frombuffer(b, np.float32) for _, b in sorted(zip(answers["range"].to_pylist(), answers["told"].to_pylist(), strict=True))]).astype(float)
+        word = np.unique(np.concatenate([np.frombuffer(b, np.uint32) for b in table["sizes"].to_pylist()]))
+        assert len(word) == len(logp)
+        log = logp[np.searchsorted(word, (key & _LOW).astype(np.uint32))]
+        return keys, log, PairRange(key, count, 10.0**log, pair_discount, table["range"][0].as_py(), hot, hot_customers, hot_tables)
+
+    def tables_of_hot(table: pa.Table, answers: pa.Table) -> pa.Table:
+        return pa.table({"t": pa.array([pairs_given(table, answers, hot)[2].hot_totals().tobytes()], pa.binary())})
+
+    both_pairs = pairs.withColumnRenamed("chunk", "asker").groupBy("range").cogroup(told_words.groupBy(F.col("chunk").cast("int")))
+    # 4 numbers for each hot word from each of at most 256 ranges, added up as they come
+    hot_kept = np.zeros((KEPT, len(hot)))
+    for r in both_pairs.applyInArrow(tables_of_hot, "t binary").toLocalIterator():
+        hot_kept += np.frombuffer(r["t"], float).reshape(KEPT, len(hot))
+
+    drop_shuffles(docs)
+
+    def tell_pairs(table: pa.Table, answers: pa.Table) -> pa.Table:
+        keys, log, restaurants = pairs_given(table, answers, None)
+        p = restaurants.predict(hot_kept)
+        # beyond the range of doubles the parent alone counts
+        out = np.where(p > 0, np.log10(np.maximum(p, 1e-300)), log).astype(np.float32)
+        told = [out[np.searchsorted(restaurants.key, k)].tobytes() for k in keys]
+        return pa.Table.from_arrays([pa.array([WORD_RANGES + r for r in table["range"].to_pylist()], pa.int32()), table["asker"], pa.array([b""] * table.num_rows, pa.binary()), pa.array(told, pa.binary())], schema=_TOLD)
+
+    told_pairs = materialise(both_pairs.applyInArrow(tell_pairs, _TOLD_DDL), "pitman-yor-told-pairs")
+    release(pairs, told_words)
     out = pa.schema([("doc_id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
     rest = np.log10(n + 0.1 * (v + 1))
-    # the end of a text where a chunk has no word at all: from any answer, or the uniform model
-    sample = told.select("told").limit(1).collect()
-    p_end = (max(train_docs - discount, 0.0) + (theta + discount * v) / 256) / (theta + n)
-    log_end = float(np.frombuffer(sample[0]["told"], float)[-1]) if sample else float(np.log10(p_end))
 
     def add_up(mine: pa.Table, answers: pa.Table) -> pa.Table:
         if not mine.num_rows:
             return pa.Table.from_pylist([], schema=out)
-        w, at, n_w, _ = _words_of([t.encode().lower() for t in mine["text"].to_pylist()])
-        by = sorted(zip(answers["range"].to_pylist(), answers["counts"].to_pylist(), answers["told"].to_pylist(), strict=True))
-        count = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(b, np.uint32)[:-1].astype(np.int64) for _, b, _ in by)])
-        logp = np.concatenate([np.zeros(0), *(np.frombuffer(b, float)[:-1] for _, _, b in by)])
-        assert len(count) == len(w) == len(logp)
+        from_words = np.array(answers["range"].to_pylist(), np.int64) < WORD_RANGES
+        ids, count = ids_of(answers.filter(pa.array(from_words)))
+        key, _, place, text, at, n_w = _pairs_of(mine, ids, end, hot)
+        of_pairs = answers.filter(pa.array(~from_words))
+        logp = np.concatenate([np.frombuffer(b, np.float32) for _, b in sorted(zip(of_pairs["range"].to_pylist(), of_pairs["told"].to_pylist(), strict=True))]).astype(float)
+        assert len(logp) == len(key)
         doc, size = np.repeat(np.arange(len(n_w)), n_w), len(n_w)
         base = np.bincount(doc, weights=np.log10(count[at] + 0.1), minlength=size) + np.log10(train_docs + 0.1) - (n_w + 1) * rest
         known = np.bincount(doc, weights=count[at] > 0, minlength=size).astype(np.int64) + (train_docs > 0)
-        return pa.Table.from_arrays([mine["doc_id"], mine["train"], pa.array(n_w + 1), pa.array(known), pa.array(np.full(size, n)), pa.array(base), pa.array(np.bincount(doc, weights=logp[at], minlength=size) + log_end)], schema=out)
+        return pa.Table.from_arrays([mine["doc_id"], mine["train"], pa.array(n_w + 1), pa.array(known), pa.array(np.full(size, n)), pa.array(base), pa.array(np.bincount(text, weights=logp[place], minlength=size))], schema=out)
 
-    return dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(add_up, "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return dealt.groupBy("chunk").cogroup(numbered.unionByName(told_pairs).groupBy("chunk")).applyInArrow(add_up, "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op9_pitman_yor(spark, sf_dir: str) -> DataFrame:

@@ -346,3 +346,39 @@ def test_pipeline_keeps_clean_rows_and_drops_the_rest(spark, tmp_path):
     assert seen == [clean | {100, 103, 104}, clean | {103, 104}, clean | {104}, clean | {104}]
     assert docs.where("doc_id = 104").collect()[0]["text"].endswith("<EMAIL>")
     assert {r["doc_id"] for r in C.run(spark, str(tmp_path)).collect()} == clean | {104}
+
+
+def test_pitman_yor_knows_word_order(spark):
+    rng = random.Random(21)
+    names = [f"{a}{i}" for i in range(40) for a in ("ka", "lo")]
+    follow = {w: rng.sample(names, 2) for w in names}
+
+    def chain(n):
+        out = [rng.choice(names)]
+        while len(out) < n:
+            out.append(rng.choice(follow[out[-1]]))
+        return out
+
+    texts = [chain(60) for _ in range(300)]
+    shuffled = [rng.sample(t, len(t)) for t in texts[250:]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts + shuffled)]
+    frame = spark.createDataFrame([*rows, (900, None)], "doc_id long, text string").repartition(3)
+    from pyspark.sql import functions as F
+
+    got = by_id(pitman_yor.score(frame, F.col("doc_id") < 250))
+    for i in range(250, 300):
+        assert got[i]["base_score"] == pytest.approx(got[i + 50]["base_score"]) and got[i]["score"] > got[i + 50]["score"] + 20
+        assert got[i]["score"] > got[i]["base_score"] + 20
+    assert got[900]["n_tokens"] == 1 and got[900]["score"] < 0
+
+
+def test_pair_restaurants_sum_to_one():
+    rng = np.random.default_rng(5)
+    base = rng.dirichlet(np.ones(50))
+    key = (np.repeat(np.arange(6), 50) << 32 | np.tile(np.arange(50), 6)).astype(np.uint64)
+    count = rng.poisson(1.0, len(key)).astype(np.int64)
+    hot = np.array([2, 5], np.uint64)
+    held = np.array([count[100:150].sum(), count[250:].sum()], float)
+    model = pitman_yor.PairRange(key, count, np.tile(base, 6), 0.6, 1, hot, held, np.array([40.0, 45.0]))
+    p = model.predict(model.hot_totals())
+    assert np.allclose(p.reshape(6, 50).sum(axis=1), 1)
