@@ -1,11 +1,13 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit verification.
 
-Texts are compared as words joined by one space, with A-Z lowered. Windows of an item's size are laid where a document
-shares a distinctive word or word pair with the item, so that both begin alike. The CGK random walk reads a string with a
+Texts are compared as words joined by one space, with A-Z lowered. Windows of an item's size are laid at any byte: every run of ``GRAM``
+bytes of the document is looked up among those of the items, and a window is laid where enough of them stand within
+the diagonals that ``max_edit`` can reach; how many are enough is set from the trials below (items under ``SHORT`` bytes: one run so short that
+some copy of it outlives any edits). The CGK random walk reads a string with a
 pointer that moves on or stays by a random bit for each step and symbol; strings at a small edit distance then agree in most
 places. Each of several tables samples some places; a window stays if it agrees with the item in all places of ``AGREE`` tables.
-The number of tables is set from trials, item texts with random edits at the threshold, so that a window is kept with
-``recall`` at least. What stays is verified: the least edit distance of the item to any substring around the window
+The numbers of runs and of tables are set from trials, item texts with random edits at the threshold inside other text, so that a passage
+passes the whole search with ``recall`` at least; tables that must agree go down from ``AGREE`` where 400 are not enough. What stays is verified: the least edit distance of the item to any substring around the window
 (bit-parallel, exact) must be at most ``max_edit`` of the item's length.
 
 Benchmark items come in blocks of bounded size, each broadcast and held against all documents. Edge cases: null, empty and
@@ -16,7 +18,6 @@ doc_id or item_id is left out; repeated rows give equal results; empty tables gi
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import id_and_text, pieces, read_table, record
 
-WORD_BYTES, PAIR_BYTES = 7, 9
+GRAM, SHORT = 6, 60
+#: Texts are searched in stretches of so many bytes, with overlaps that hold any window.
+STRETCH = 1 << 16
 #: Length of the embedding in lengths of the string: about as many steps as the pointer needs, as what follows its end agrees
 #: in all texts and tells nothing.
 STEPS = 2
@@ -87,6 +90,47 @@ class Walks:
         return out
 
 
+def packed(text: bytes, q: int) -> np.ndarray:
+    """All runs of q <= 8 bytes as numbers."""
+    v = np.frombuffer(text, np.uint8).astype(np.uint64)
+    n = len(v) - q + 1
+    out = np.zeros(max(n, 0), np.uint64)
+    for i in range(q if n > 0 else 0):
+        out = out << np.uint64(8) | v[i : n + i]
+    return out
+
+
+class Seeds:
+    """Runs of q bytes of some items: where each stands."""
+
+    BITS = 20
+
+    def __init__(self, texts: list[bytes], members: list[int], q: int) -> None:
+        self.q = q
+        grams = [packed(texts[j], q) for j in members]
+        every = np.concatenate(grams)
+        order = np.argsort(every, kind="stable")
+        self.item = np.repeat(np.array(members), [len(g) for g in grams])[order]
+        self.offset = np.concatenate([np.arange(len(g)) for g in grams])[order]
+        self.grams, self.first, self.count = np.unique(every[order], return_index=True, return_counts=True)
+        self.present = np.zeros(1 << self.BITS, bool)
+        self.present[self._slot(self.grams)] = True
+
+    def _slot(self, grams: np.ndarray) -> np.ndarray:
+        return (grams * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def hits(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """item, its offset, byte of the text of every shared run."""
+        g = packed(text, self.q)
+        pos = np.flatnonzero(self.present[self._slot(g)])
+        at = np.minimum(np.searchsorted(self.grams, g[pos]), len(self.grams) - 1)
+        same = self.grams[at] == g[pos]
+        pos, at = pos[same], at[same]
+        n = self.count[at]
+        index = np.arange(int(n.sum())) + np.repeat(self.first[at] - (np.cumsum(n) - n), n)
+        return self.item[index], self.offset[index], np.repeat(pos, n)
+
+
 @dataclass
 class Items:
     """A block of benchmark items prepared for matching."""
@@ -94,15 +138,16 @@ class Items:
     ids: np.ndarray
     texts: list[bytes]
     bounds: np.ndarray
-    words: dict[bytes, list[tuple[int, int]]]
-    pairs: dict[tuple[bytes, bytes], list[tuple[int, int]]]
-    openers: frozenset[bytes]
+    seeds: list[Seeds]
+    need: np.ndarray
+    reach: np.ndarray
     walks: Walks
     places: list[tuple[int, np.ndarray]]
     signatures: list[np.ndarray]
+    agree: int = AGREE
 
-    def filter(self, item: np.ndarray, windows: list[bytes]) -> np.ndarray:
-        """Which windows agree with their items in all sampled places of ``AGREE`` tables."""
+    def votes(self, item: np.ndarray, windows: list[bytes]) -> np.ndarray:
+        """In how many tables windows agree with their items in all sampled places."""
         votes = np.zeros(len(windows), np.int32)
         for i in range(0, len(windows), 4096):
             part, own = windows[i : i + 4096], item[i : i + 4096]
@@ -113,7 +158,10 @@ class Items:
                     if w == walk:
                         at = (share[:, None] * (STEPS * self.bounds[own])[None, :]).astype(np.int64)
                         votes[i : i + 4096] += (seen[at, np.arange(len(part))[None, :]] == mine[:, own]).all(axis=0)
-        return votes >= AGREE
+        return votes
+
+    def filter(self, item: np.ndarray, windows: list[bytes]) -> np.ndarray:
+        return self.votes(item, windows) >= self.agree
 
 
 def edited(text: bytes, edits: int, rng: np.random.Generator) -> bytes:
@@ -131,56 +179,89 @@ def edited(text: bytes, edits: int, rng: np.random.Generator) -> bytes:
     return bytes(out)
 
 
-def prepare(rows: list[tuple[int, str]], max_edit: float, recall: float, walks: int = 4, places: int = 3, trials: int = 160) -> Items | None:
-    """Tables for a block of items; their number follows from how often a sampled table survives edits at the threshold."""
+def prepare(rows: list[tuple[int, str]], max_edit: float, recall: float, walks: int = 4, places: int = 3, trials: int = 400) -> Items | None:
+    """Seeds and tables for a block of items; how many must agree follows from how often they survive edits at the threshold."""
     kept = [(i, t) for i, t in ((i, normal((t or "").encode())) for i, t in rows) if i is not None and t]
     if not kept:
         return None
     ids, texts = np.array([i for i, _ in kept], np.int64), [t for _, t in kept]
-    longest = max(map(len, texts))
-    rng = np.random.default_rng(5)
-    random = Walks(walks, STEPS * longest)
-    chosen = [texts[i] for i in rng.integers(0, len(texts), min(trials, 4 * len(texts)))]
-    pairs = [(t, edited(t, int(max_edit * len(t)), rng)[: len(t)]) for t in chosen]
-    lengths = np.array([len(t) for t, _ in pairs])
-    agreement = [random.embed([a for a, _ in pairs], w, STEPS * longest) == random.embed([b for _, b in pairs], w, STEPS * longest) for w in range(walks)]
-    tables, votes = [], np.zeros(len(pairs), np.int32)
-    for k in range(400):
-        w, share = k % walks, rng.random(places)
-        at = (share[:, None] * (STEPS * lengths)[None, :]).astype(np.int64)
-        tables.append((w, share))
-        votes += agreement[w][at, np.arange(len(pairs))[None, :]].all(axis=0)
-        if k >= 7 and (votes < AGREE).mean() <= 1 - recall:
-            break
     bounds = np.array([len(t) for t in texts])
+    longest = int(bounds.max())
+    most = (max_edit * bounds).astype(np.int64)
+    # of k + 1 equal pieces, k edits leave one whole
+    grams = np.where(bounds >= SHORT, GRAM, np.minimum(GRAM, np.maximum(1, bounds // (most + 1))))
+    seeds = [Seeds(texts, np.flatnonzero(grams == q).tolist(), int(q)) for q in np.unique(grams)]
+    random = Walks(walks, STEPS * longest)
+    items = Items(ids, texts, bounds, seeds, np.ones(len(texts), np.int64), np.maximum(most, 1), random, [], [])
+    rng = np.random.default_rng(5)
+    chosen = rng.integers(0, len(texts), trials)
+    around = [texts[i] for i in rng.integers(0, len(texts), 2 * trials)]
+    tried = [b" ".join((around[2 * i], edited(texts[j], int(most[j]), rng), around[2 * i + 1])) for i, j in enumerate(chosen)]
+    # shared runs of random edits: their share, less what all but an eighth of the allowed misses stay above
+    share, spread = (1 - max_edit) ** GRAM, np.sqrt(np.maximum(bounds - GRAM + 1, 1))
+    seen = np.array([max((n for i, _, n in laid(items, t) if i == j), default=0) for j, t in zip(chosen, tried, strict=True)])
+    long = bounds[chosen] >= SHORT
+    if long.any():
+        runs = spread[chosen] ** 2
+        low = np.quantile(((seen - share * runs) / spread[chosen])[long], (1 - recall) / 8, method="lower")
+        items.need = np.where(bounds >= SHORT, np.maximum(1, np.floor(share * spread**2 + low * spread)), 1).astype(np.int64)
+    found = [(k, s) for k, (j, t) in enumerate(zip(chosen, tried, strict=True)) for i, s, _ in laid(items, t) if i == j]
+    of, own = np.array([k for k, _ in found], np.int64), chosen[[k for k, _ in found]]
+    windows = [tried[k][s : s + int(bounds[chosen[k]])] for k, s in found]
     shown = [random.embed(texts, w, STEPS * longest) for w in range(walks)]
-    signatures = [shown[w][(share[:, None] * (STEPS * bounds)[None, :]).astype(np.int64), np.arange(len(texts))[None, :]] for w, share in tables]
-    single: dict[bytes, list[tuple[int, int]]] = {}
-    double: dict[tuple[bytes, bytes], list[tuple[int, int]]] = {}
-    for j, t in enumerate(texts):
-        w = t.split(b" ")
-        long = [i for i, x in enumerate(w) if len(x) >= WORD_BYTES]
-        two = [i for i in range(len(w) - 1) if len(w[i]) + len(w[i + 1]) + 1 >= PAIR_BYTES]
-        for i in long or ([] if two else range(len(w))):
-            single.setdefault(w[i], []).append((j, i))
-        for i in two:
-            double.setdefault((w[i], w[i + 1]), []).append((j, i))
-    return Items(ids, texts, bounds, single, double, frozenset(a for a, _ in double), random, tables, signatures)
-
-
-def laid(items: Items, text: bytes) -> list[tuple[int, int]]:
-    """(item, byte offset) of the windows that shared words and pairs suggest; each once."""
-    w = text.split(b" ")
-    found = {(j, max(0, i - k)) for i, x in enumerate(w) if x in items.words for j, k in items.words[x]}
-    openers, pairs = items.openers, items.pairs
-    for i in [i for i, x in enumerate(w[:-1]) if x in openers]:
-        x = w[i]
-        if (x, w[i + 1]) in pairs:
-            found.update((j, max(0, i - k)) for j, k in pairs[x, w[i + 1]])
-    if not found:
-        return []
-    starts = [0, *accumulate(len(x) + 1 for x in w)]
-    return [(j, starts[i]) for j, i in sorted(found)]
+    width = np.arange(len(windows))[None, :]
+    agreement = [random.embed(windows, w, STEPS * longest) == shown[w][:, own] for w in range(walks)] if windows else []
+    votes = np.zeros(len(windows), np.int32)
+    for k in range(400 if windows else 0):
+        w, part = k % walks, rng.random(places)
+        at = (part[:, None] * (STEPS * bounds)[None, :]).astype(np.int64)
+        items.places.append((w, part))
+        items.signatures.append(shown[w][at, np.arange(len(texts))[None, :]])
+        votes += agreement[w][at[:, own], width].all(axis=0)
+        best = np.zeros(trials, np.int32)
+        np.maximum.at(best, of, votes)
+        if k >= 7 and (best < AGREE).mean() <= (1 - recall) / 2:  # half, as trials vary
+            break
+    best = np.zeros(trials, np.int32)
+    np.maximum.at(best, of, votes)
+    items.agree = next((a for a in range(AGREE, 0, -1) if (best < a).mean() <= (1 - recall) / 2), 0)
+    return items
+
+
+def laid(items: Items, text: bytes) -> list[tuple[int, int, int]]:
+    """(item, byte offset, shared runs) of the windows that shared runs suggest. A window's runs lie in two neighbouring bands of diagonals,
+    each as wide as the edits allow, so no alignment within the bound falls between; it starts where its earliest run puts the item."""
+    overlap = 2 * int(items.bounds.max()) + 2 * int(items.reach.max())
+    out: dict[tuple[int, int], int] = {}
+    for start in range(0, max(1, len(text) - overlap), STRETCH):
+        stretch = text[start : start + STRETCH + overlap]
+        for seeds in items.seeds:
+            item, offset, pos = seeds.hits(stretch)
+            if not len(item):
+                continue
+            bands = pos - offset + 2 * overlap
+            bands //= items.reach[item]
+            key = item << 40 | bands
+            ordered = np.sort(key)
+            first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+            u, n = ordered[first], np.diff(np.append(first, len(ordered)))
+            both = n.copy()
+            both[:-1] += np.where(u[1:] == u[:-1] + 1, n[1:], 0)
+            good = both >= items.need[u >> 40]
+            # of overlapping windows the one with more runs
+            before = np.concatenate([[False], (u[1:] == u[:-1] + 1) & (both[:-1] >= both[1:])])
+            after = np.concatenate([(u[1:] == u[:-1] + 1) & (both[1:] > both[:-1]), [False]])
+            good &= ~(before | after)
+            u, both = u[good], both[good]
+            if not len(u):
+                continue
+            at = np.searchsorted(u, key, side="right") - 1
+            mine = np.flatnonzero((at >= 0) & (key - u[np.maximum(at, 0)] <= 1))
+            mine = mine[np.lexsort((offset[mine], at[mine]))]
+            lead = mine[np.concatenate([[True], at[mine][1:] != at[mine][:-1]])]
+            for j, s, c in zip(item[lead].tolist(), np.maximum(pos[lead] - offset[lead], 0).tolist(), both.tolist(), strict=True):
+                out[j, start + s] = max(c, out.get((j, start + s), 0))
+    return [(j, s, c) for (j, s), c in sorted(out.items())]
 
 
 _MATCH = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("edit_distance", pa.int64()), ("item_bytes", pa.int64()), ("end_byte", pa.int64())])
@@ -206,15 +287,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, max_edit: float = 0.2, recall
                 ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
                 for part in pieces([len(t) for t in texts], 1 << 21):
                     own = [normal(t.encode()) for t in texts[part]]
-                    windows = [(d, i, s) for d, t in enumerate(own) for i, s in laid(block, t)]
+                    windows = [(d, i, s) for d, t in enumerate(own) for i, s, _ in laid(block, t)]
                     ok = block.filter(np.array([i for _, i, _ in windows], np.int64), [own[d][s : s + len(block.texts[i])] for d, i, s in windows])
                     best: dict[tuple[int, int], tuple[int, int]] = {}
                     for d, i, s in (windows[k] for k in np.flatnonzero(ok)):
                         most = int(max_edit * len(block.texts[i]))
                         if best.get((d, i), (1,))[0] == 0:
                             continue
-                        low = max(0, s - most)
-                        distance, end = least_distance(block.texts[i], own[d][low : s + len(block.texts[i]) + most])
+                        low = max(0, s - 2 * most)
+                        distance, end = least_distance(block.texts[i], own[d][low : s + len(block.texts[i]) + 2 * most])
                         if distance <= most and (distance, low + end) < best.get((d, i), (most + 1, 0)):
                             best[d, i] = (distance, low + end)
                     keys = sorted(best)

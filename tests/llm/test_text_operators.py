@@ -382,3 +382,22 @@ def test_pair_restaurants_sum_to_one():
     model = pitman_yor.PairRange(key, count, np.tile(base, 6), 0.6, 1, hot, held, np.array([40.0, 45.0]))
     p = model.predict(model.hot_totals())
     assert np.allclose(p.reshape(6, 50).sum(axis=1), 1)
+
+
+def test_decontamination_recall_at_the_threshold(spark):
+    rng, draw = random.Random(31), np.random.default_rng(9)
+    items = [(i, " ".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 7))) for _ in range(rng.randint(20, 60)))) for i in range(60)]
+    docs, exact = [], []
+    for share in (0.15, 0.2):
+        for i, t in items:
+            docs.append((len(docs), words(rng, 30) + " " + decontaminate.edited(t.encode(), int(share * len(t)), draw).decode("latin1") + " " + words(rng, 30), i))
+    # without spaces, inside running text, and with spaces moved
+    han = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(40))
+    around = ["".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(60)) for _ in range(2)]
+    exact += [(900, around[0] + han + around[1], 100), (901, words(rng, 20) + items[1][1].replace(" ", "", 5) + words(rng, 20), 1)]
+    frame = spark.createDataFrame([(d, t) for d, t, _ in docs + exact], "doc_id long, text string")
+    bench = spark.createDataFrame([*items, (100, han), (101, "abcd")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(frame, bench).collect()}
+    assert {(d, i) for d, _, i in exact} <= got
+    for part in (docs[:60], docs[60:]):
+        assert sum((d, i) in got for d, _, i in part) >= 0.95 * len(part)
