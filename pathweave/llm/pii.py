@@ -35,7 +35,7 @@ _NOT_DIGIT = re.compile(r"[^0-9]+")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SPACES = " \t\n\x0b\x0c\r"
 _EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-_EDGE_TABLE = bytes(32 if chr(i) in _EDGE else i for i in range(256))
+_INNER = np.array([chr(i) not in _EDGE and chr(i) not in _SPACES for i in range(256)])
 
 
 def luhn(digits: str) -> bool:
@@ -202,10 +202,19 @@ def term_frequencies(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     return candidates.join(seen, "quick").select("term", "n_term")
 
 
-def quick_hashes(raw: bytes) -> np.ndarray:
-    """Hashes of the parts of words between ASCII punctuation, lower-cased."""
-    raw = raw.lower().translate(_EDGE_TABLE)
+def term_places(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Byte offsets at which words start and end without ASCII punctuation at their ends; words of punctuation only are left out."""
     starts, ends = word_bounds(raw)
+    inner = np.flatnonzero(_INNER[np.frombuffer(raw, np.uint8)])
+    first, last = np.searchsorted(inner, starts), np.searchsorted(inner, ends) - 1
+    some = first <= last
+    return inner[first[some]], inner[last[some]] + 1
+
+
+def quick_hashes(raw: bytes) -> np.ndarray:
+    """Hashes of whole terms: words without ASCII punctuation at their ends, lower-cased."""
+    raw = raw.lower()
+    starts, ends = term_places(raw)
     return run_hashes(prefix_sums(byte_values(raw)), starts, ends).view(np.int64) if len(starts) else np.zeros(0, np.int64)
 
 
@@ -227,7 +236,7 @@ def disclosures(docs: DataFrame, scanned: DataFrame, alpha: float = 0.8, min_sup
 
 
 def candidate_terms(scanned: DataFrame, pairs: DataFrame) -> DataFrame:
-    """term, quick: the two hashes of each candidate. Whole texts are counted by the second, a term with inner punctuation by its first part."""
+    """term, quick: the two hashes of each candidate. Whole texts are counted by the second, which is of the whole term too."""
     near = scanned.where(F.size("near") > 0).select(F.explode("near").alias("x")).select("x.term", "x.quick")
     return near.join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.min("quick").alias("quick"))
 

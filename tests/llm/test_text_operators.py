@@ -401,3 +401,10 @@ def test_decontamination_recall_at_the_threshold(spark):
     assert {(d, i) for d, _, i in exact} <= got
     for part in (docs[:60], docs[60:]):
         assert sum((d, i) in got for d, _, i in part) >= 0.95 * len(part)
+
+
+def test_terms_with_inner_punctuation_are_counted_whole(spark):
+    rows = [(i, f"one{i} (Acct-4471), x@example.com two{i}") for i in range(3)] + [(10 + i, f"acct plain{i}") for i in range(300)] + [(500 + i, f"other{i}") for i in range(3000)]
+    out = by_id(pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [out[i]["text"] for i in range(3)] == [f"one{i} (<TERM>), <EMAIL> two{i}" for i in range(3)]
+    assert len(pii.quick_hashes(b"(O'Neil), -- a/b")) == 2 and pii.quick_hashes(b"(O'Neil),")[0] == pii.quick_hashes(b"o'neil")[0]
