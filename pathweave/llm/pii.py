@@ -1,9 +1,10 @@
 """Personal data, with information-theoretic sanitisation of what surrounds it.
 
 Base detectors find e-mail addresses, IP addresses, payment cards and phone numbers. Their values are the protected
-entities. Terms near an entity disclose it where corpus co-occurrence says so: with p estimated over all documents,
+entities. Terms of the documents that hold an entity disclose it where corpus co-occurrence says so: with p estimated over all documents,
 PMI(term; entity) = log p(t, e) / (p(t) p(e)) reaches ``alpha`` times the entity's own information -log p(e), and both
-occur together in at least ``min_support`` distinct texts, so that copies of one text prove nothing. Such terms become ``term`` spans; base spans always stay.
+occur together in at least ``min_support`` distinct texts, so that copies of one text prove nothing. Every occurrence of such a
+term in a document that holds the entity becomes a ``term`` span, unless a base span touches it; base spans always stay.
 ``sanitise`` replaces every span by a placeholder of its kind.
 
 Counts cover the whole corpus: words are counted where a fixed-size Bloom filter says that they may be candidates, and a
@@ -32,7 +33,6 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SPACES = " \t\n\x0b\x0c\r"
 _EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _INNER = np.array([chr(i) not in _EDGE and chr(i) not in _SPACES for i in range(256)])
@@ -79,51 +79,30 @@ def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def term_key(word: str) -> str:
-    """Lower-cased (A-Z), without ASCII punctuation at its ends; empty for short terms."""
-    w = word.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass").strip(_EDGE)
-    return w if len(w) >= 4 else ""
-
-
-def nearby_terms(text: str, span: tuple[str, int, int], spans: list[tuple[str, int, int]], words: int) -> list[tuple[str, int, int]]:
-    """(term, start, end) of up to ``words`` whole words on either side of a span that no base span touches."""
-    _, s, e = span
-    out = []
-    at = s
-    for _ in range(words + 1):
-        while at > 0 and text[at - 1] in _SPACES:
-            at -= 1
-        end = at
-        while at > 0 and text[at - 1] not in _SPACES:
-            at -= 1
-        if at == end:
-            break
-        out.append((at, end))
-    at = e
-    for _ in range(words + 1):
-        m = _WORD.search(text, at)
-        if not m:
-            break
-        out.append((m.start(), m.end()))
-        at = m.end()
-    found = []
-    for a, b in out:
-        if all(b <= x or a >= y for _, x, y in spans):
-            core = text[a:b]
-            lead = len(core) - len(core.lstrip(_EDGE))
-            key = term_key(core)
-            if key:
-                found.append((key, a + lead, a + lead + len(core.strip(_EDGE))))
-    return found
-
-
-_NEAR = pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("quick", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
-_SCAN = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("base", pa.string()), ("counts", pa.list_(pa.int64())), ("near", pa.list_(_NEAR))])
-_SCAN_DDL = "doc_id long, text_key long, base string, counts array<long>, near array<struct<entity: long, term: long, quick: long, start: long, end: long>>"
-
-
-def scan(docs: DataFrame, window: int = 8) -> DataFrame:
-    """Base spans of every text, and for each the terms around it."""
+def terms_outside(text: str, spans: list[tuple[str, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end (in characters) of every term whose word no base span touches."""
+    raw = text.encode("utf-8", "surrogatepass")
+    char = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
+    word_start, word_end = word_bounds(raw)
+    starts, ends = term_places(raw)
+    if not len(starts):
+        return np.zeros(0, np.int64), starts, ends
+    at = np.searchsorted(word_start, starts, side="right") - 1
+    free = np.ones(len(word_start), bool)
+    begin, stop = char[word_start], char[word_end]
+    for _, a, b in spans:
+        free[np.searchsorted(stop, a, side="right") : np.searchsorted(begin, b)] = False
+    hashes = quick_hashes(raw)
+    keep = free[at]
+    return hashes[keep], char[starts[keep]], char[ends[keep]]
+
+
+_SCAN = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("base", pa.string()), ("counts", pa.list_(pa.int64())), ("entities", pa.list_(pa.int64())), ("terms", pa.binary()), ("places", pa.binary())])
+_SCAN_DDL = "doc_id long, text_key long, base string, counts array<long>, entities array<long>, terms binary, places binary"
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """Base spans of every text; where there are any, its distinct entities, and hashes and places of all its terms."""
 
     def find(batches):
         for batch in batches:
@@ -132,16 +111,15 @@ def scan(docs: DataFrame, window: int = 8) -> DataFrame:
                 out = {f.name: [] for f in _SCAN}
                 for doc, text in zip(ids[part], texts[part], strict=True):
                     spans = base_spans(text)
-                    near = {}
-                    for span in spans:
-                        entity = _hash(_NOT_DIGIT.sub("", text[span[1] : span[2]]) if span[0] in ("card", "phone") else text[span[1] : span[2]].lower())
-                        for term, a, b in nearby_terms(text, span, spans, window):
-                            near[entity, a] = {"entity": entity, "term": _hash(term), "quick": int(quick_hashes(term.encode("utf-8", "surrogatepass"))[0]), "start": a, "end": b}
+                    entities = {_hash(_NOT_DIGIT.sub("", text[a:b]) if kind in ("card", "phone") else text[a:b].lower()) for kind, a, b in spans}
+                    terms, start, end = terms_outside(text, spans) if spans else (np.zeros(0, np.int64),) * 3
                     out["doc_id"].append(doc)
                     out["text_key"].append(_hash(text) if spans else 0)
                     out["base"].append(",".join(f"{k}:{a}:{b}" for k, a, b in spans))
                     out["counts"].append([sum(k == kind for k, _, _ in spans) for kind in KINDS])
-                    out["near"].append(list(near.values()))
+                    out["entities"].append(sorted(entities))
+                    out["terms"].append(terms.tobytes())
+                    out["places"].append(np.concatenate([start, end]).astype(np.int32).tobytes())
                 yield record(out, _SCAN)
 
     return id_and_text(docs).mapInArrow(find, _SCAN_DDL)
@@ -158,25 +136,25 @@ def _bloom_slots(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def term_frequencies(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     """term, n_term: in how many documents each candidate term occurs as a word.
 
-    A fast hash of the word is tested first, against a filter of 2^23 bits whatever the number of candidates.
+    The hash of the term is tested first, against a filter of 2^23 bits whatever the number of candidates.
     """
 
     def build(batches):
         bits = np.zeros(1 << BLOOM_BITS, bool)
         for batch in batches:
-            for s in _bloom_slots(batch.column("quick").to_numpy(zero_copy_only=False)):
+            for s in _bloom_slots(batch.column("term").to_numpy(zero_copy_only=False)):
                 bits[s] = True
         yield pa.RecordBatch.from_pydict({"bits": [np.packbits(bits).tobytes()]})
 
     # a megabyte from each of at most 8 tasks
-    parts = candidates.select("quick").repartition(8).mapInArrow(build, "bits binary").toArrow()["bits"].to_pylist()
+    parts = candidates.select("term").repartition(8).mapInArrow(build, "bits binary").toArrow()["bits"].to_pylist()
     bits = np.zeros(1 << (BLOOM_BITS - 3), np.uint8)
     for p in parts:
         bits |= np.frombuffer(p, np.uint8)
     if not bits.any():
         return candidates.select("term").limit(0).withColumn("n_term", F.lit(0).cast("long"))
     shared = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
-    schema = pa.schema([("quick", pa.int64()), ("n", pa.int64())])
+    schema = pa.schema([("term", pa.int64()), ("n", pa.int64())])
 
     def count(batches):
         table = np.unpackbits(np.frombuffer(shared.value, np.uint8)).view(bool)
@@ -198,8 +176,8 @@ def term_frequencies(docs: DataFrame, candidates: DataFrame) -> DataFrame:
                     yield from sums()
         yield from sums()
 
-    seen = id_and_text(docs).select("text").mapInArrow(count, "quick long, n long").groupBy("quick").agg(F.sum("n").alias("n_term"))
-    return candidates.join(seen, "quick").select("term", "n_term")
+    seen = id_and_text(docs).select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+    return candidates.join(seen, "term").select("term", "n_term")
 
 
 def term_places(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -219,47 +197,71 @@ def quick_hashes(raw: bytes) -> np.ndarray:
 
 
 def disclosures(docs: DataFrame, scanned: DataFrame, alpha: float = 0.8, min_support: int = 3) -> DataFrame:
-    """entity, term pairs whose co-occurrence discloses the entity."""
-    rows = scanned.where(F.size("near") > 0)
-    near = rows.select("text_key", F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("x"))
-    by_text = near.groupBy("x.entity", "x.term", "text_key").agg(F.count("*").alias("n"))
+    """entity, term pairs whose co-occurrence in documents discloses the entity."""
+    rows = scanned.where(F.size("entities") > 0)
+    each = rows.select("text_key", F.explode("entities").alias("entity"))
+    entities = each.groupBy("entity", "text_key").agg(F.count("*").alias("n")).groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("texts"))
+    # a pair has no more distinct texts than its entity
+    entities = materialise(entities.where(F.col("texts") >= min_support).drop("texts"), "pii-entities")
+
+    def unpack(batches):
+        schema = pa.schema([("entity", pa.int64()), ("text_key", pa.int64()), ("term", pa.int64())])
+        for batch in batches:
+            entity, key, held = batch.column("entity").to_pylist(), batch.column("text_key").to_pylist(), batch.column("terms").to_pylist()
+            for part in pieces([len(b) for b in held], 1 << 22):
+                terms = [np.unique(np.frombuffer(b, np.int64)) for b in held[part]]
+                n = [len(t) for t in terms]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(x, np.int64), n)) for x in (entity[part], key[part])] + [pa.array(np.concatenate(terms))], schema=schema)
+
+    held = rows.select("text_key", F.explode("entities").alias("entity"), "terms").join(entities.select("entity"), "entity", "left_semi").select("entity", "text_key", "terms")
+    by_text = held.mapInArrow(unpack, "entity long, text_key long, term long").groupBy("entity", "term", "text_key").agg(F.count("*").alias("n"))
     pairs = by_text.groupBy("entity", "term").agg(F.sum("n").alias("n_pair"), F.count("*").alias("support")).where(F.col("support") >= min_support).drop("support")
     pairs = materialise(pairs, "pii-pairs")
-    entities = rows.select(F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     total = id_and_text(docs).agg(F.count("*").alias("n")).collect()[0]["n"]
-    terms = materialise(candidate_terms(scanned, pairs), "pii-terms")
-    frequencies = term_frequencies(docs, terms)
+    frequencies = term_frequencies(docs, pairs.select("term").distinct())
     log = F.log
     p = lambda c: F.col(c) / F.lit(float(max(total, 1)))
     pmi = log(p("n_pair")) - log(p("n_term")) - log(p("n_entity"))
     return pairs.join(entities, "entity").join(frequencies, "term").where(pmi >= -alpha * log(p("n_entity"))).where(-log(p("n_entity")) > 0).select("entity", "term")
 
 
-def candidate_terms(scanned: DataFrame, pairs: DataFrame) -> DataFrame:
-    """term, quick: the two hashes of each candidate. Whole texts are counted by the second, which is of the whole term too."""
-    near = scanned.where(F.size("near") > 0).select(F.explode("near").alias("x")).select("x.term", "x.quick")
-    return near.join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.min("quick").alias("quick"))
-
-
-def detect(docs: DataFrame, alpha: float = 0.8, min_support: int = 3, window: int = 8) -> DataFrame:
+def detect(docs: DataFrame, alpha: float = 0.8, min_support: int = 3) -> DataFrame:
     """doc_id, text_key, base, counts, terms (array of start, end) of every document; term spans merge what several entities flag."""
-    scanned = materialise(scan(docs, window), "pii-scan")
-    pairs = disclosures(docs, scanned, alpha, min_support)
+    scanned = materialise(scan(docs), "pii-scan")
+    pairs = disclosures(docs, scanned, alpha, min_support).groupBy("entity").agg(F.collect_set("term").alias("disclosing"))
+    some = scanned.where(F.size("entities") > 0)
     flagged = (
-        scanned.where(F.size("near") > 0)
-        .select("doc_id", "text_key", F.explode("near").alias("x"))
-        .join(pairs, [F.col("x.entity") == pairs["entity"], F.col("x.term") == pairs["term"]], "left_semi")
+        some.select("doc_id", "text_key", F.explode("entities").alias("entity")).distinct()
+        .join(pairs, "entity")
         .groupBy("doc_id", "text_key")
-        .agg(F.array_sort(F.collect_set(F.struct(F.col("x.start").alias("start"), F.col("x.end").alias("end")))).alias("terms"))
-    )
-    some = scanned.where(F.size("near") > 0).drop("near").alias("s").join(flagged.alias("f"), (F.col("s.doc_id").eqNullSafe(F.col("f.doc_id"))) & (F.col("s.text_key") == F.col("f.text_key")), "left").select("s.*", "f.terms")
-    none = scanned.where(F.size("near") == 0).drop("near").withColumn("terms", F.lit(None).cast("array<struct<start: long, end: long>>"))
-    return some.unionByName(none)
+        .agg(F.array_distinct(F.flatten(F.collect_list("disclosing"))).alias("disclosing"))
+    )
+    spans = "array<struct<start: long, end: long>>"
+
+    @F.pandas_udf(spans)
+    def marked(disclosing, terms, places):
+        import pandas as pd
+
+        out = []
+        for d, t, p in zip(disclosing, terms, places, strict=True):
+            if d is None:
+                out.append(None)
+                continue
+            hit = np.isin(np.frombuffer(t, np.int64), np.asarray(d, np.int64))
+            start, end = np.frombuffer(p, np.int32).reshape(2, -1)
+            found = [{"start": a, "end": b} for a, b in zip(start[hit].tolist(), end[hit].tolist(), strict=True)]
+            out.append(found or None)
+        return pd.Series(out, dtype=object)
+
+    joined = some.alias("s").join(flagged.alias("f"), (F.col("s.doc_id").eqNullSafe(F.col("f.doc_id"))) & (F.col("s.text_key") == F.col("f.text_key")), "left")
+    kept = joined.select("s.doc_id", "s.text_key", "s.base", "s.counts", marked("f.disclosing", "s.terms", "s.places").alias("terms"))
+    none = scanned.where(F.size("entities") == 0).select("doc_id", "text_key", "base", "counts", F.lit(None).cast(spans).alias("terms"))
+    return kept.unionByName(none)
 
 
-def sanitise(docs: DataFrame, alpha: float = 0.8, min_support: int = 3, window: int = 8) -> DataFrame:
+def sanitise(docs: DataFrame, alpha: float = 0.8, min_support: int = 3) -> DataFrame:
     """The documents, all columns, with base values and disclosing terms replaced by ``<KIND>``. Null texts stay null."""
-    found = detect(docs, alpha, min_support, window).where((F.col("base") != "") | (F.size("terms") > 0))
+    found = detect(docs, alpha, min_support).where((F.col("base") != "") | (F.size("terms") > 0))
     spans = found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.transform("terms", lambda s: F.concat_ws(":", F.lit("term"), s["start"].cast("string"), s["end"].cast("string")))).alias("_spans")).dropDuplicates(["_id", "_key"])
 
     @F.pandas_udf("string")

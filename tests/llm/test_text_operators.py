@@ -408,3 +408,11 @@ def test_terms_with_inner_punctuation_are_counted_whole(spark):
     out = by_id(pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")))
     assert [out[i]["text"] for i in range(3)] == [f"one{i} (<TERM>), <EMAIL> two{i}" for i in range(3)]
     assert len(pii.quick_hashes(b"(O'Neil), -- a/b")) == 2 and pii.quick_hashes(b"(O'Neil),")[0] == pii.quick_hashes(b"o'neil")[0]
+
+
+def test_disclosing_terms_count_and_go_in_whole_documents(spark):
+    fill = lambda i, k: " ".join(f"f{i}x{k}x{j}" for j in range(30))
+    rows = [(i, f"Éric Bob, wrote {fill(i, 0)} mail bob@example.com {fill(i, 1)} signed Bob") for i in range(3)]
+    rows += [(10 + i, f"wrote mail signed number{i}") for i in range(300)]
+    out = by_id(pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [out[i]["text"] for i in range(3)] == [f"<TERM> <TERM>, wrote {fill(i, 0)} mail <EMAIL> {fill(i, 1)} signed <TERM>" for i in range(3)]
