@@ -27,3 +27,14 @@ def test_same_as_sql(spark, name):
     got, want = QUERIES[name](spark, SF).toPandas(), con.sql(ORACLE_SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_routing_covers_every_twentieth_vector(spark, tmp_path):
+    spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id < 200").write.parquet(f"{tmp_path}/embeddings.parquet")
+    bands = {r["vec_id"]: set(r["bands"]) for r in QUERIES["F8_simhash"](spark, str(tmp_path)).collect()}
+    v = {r["vec_id"]: r["embedding"] for r in spark.read.parquet(f"{tmp_path}/embeddings.parquet").collect()}
+    got = {(r["query_id"], r["vec_id"]): r["penalty"] for r in QUERIES["F12_routing"](spark, str(tmp_path)).collect()}
+    assert set(got) == {(q, x) for q in v if q % 20 == 0 for x in v if bands[q] & bands[x]}
+    assert all(abs(p - math.dist(v[q], v[x])) < 1e-6 for (q, x), p in got.items())
+    assert len({q for q, _ in got}) == 10
