@@ -4,10 +4,12 @@ Each language has a codeword of bits. One linear classifier over hashed byte n-g
 codeword of least loss, where a bit counts by how well its classifier did on the rows it learned from, and flags a text as
 ambiguous when the two nearest codewords are close.
 
-The classifiers are fitted on a bounded sample (``per_language`` rows of each language, chosen by a hash of the id);
-every text is predicted whole. Edge cases: a null, empty or letterless text is ``und`` with score 0; null or unknown
-languages teach nothing; with no labelled row at all every text is ``und``; with one language every text with a letter gets
-it with score 1; repeated rows and ids get equal results.
+The classifiers are fitted on a bounded sample: ``per_language`` rows of each language, or fewer where ``total`` rows would be
+passed, chosen by a hash of id and text; of over ``max_keys`` label values the most frequent are learned. Every text is
+predicted whole, at most 256 texts at a time, so that memory does not depend on how short texts are. Edge cases: a null, empty
+or letterless text is ``und`` with score 0; null languages teach nothing; with no labelled row at all every text is ``und``;
+with one language every text with a letter gets it with score 1; of equally near codewords the first language by name wins;
+repeated rows and ids get equal results; other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from .common import fold, id_and_text, pieces, read_table, record
 
@@ -28,6 +31,11 @@ DIMS = D1 + D2 + D3
 HAS_LETTER = r"\p{L}"
 
 
+def few(texts: list[bytes]) -> Iterator[slice]:
+    """Slices of at most 256 texts and about half a megabyte: what one call of ``gram_features`` takes."""
+    return pieces([len(t) + (1 << 11) for t in texts], 1 << 19)
+
+
 def gram_features(texts: list[bytes]) -> np.ndarray:
     """Unit vectors of the square roots of hashed byte 1-, 2- and 3-gram counts, one row for each text."""
     joined = b"\0\0".join(t.lower() for t in texts) + b"\0\0"
@@ -90,16 +98,21 @@ def fit_bits(x: np.ndarray, y: np.ndarray, languages: list[str], ridge: float =
     return Model(languages, codes, weights, intercepts, (trust / trust.mean()).astype(np.float32))
 
 
-def sample_by_hash(rows: DataFrame, key: str, per_key: int, salt: str, max_keys: int = 256) -> DataFrame:
-    """About ``per_key`` rows of each key, chosen by a hash of the id, and never over twice that. One small count first."""
-    counts = rows.groupBy(key).count().orderBy(F.desc("count"), key).limit(max_keys + 1).collect()
-    if len(counts) > max_keys:
-        raise ValueError(f"over {max_keys} values of {key}")
+def sample_by_hash(rows: DataFrame, key: str, per_key: int, salt: str, by: tuple[str, ...] = ("doc_id",), total: int = 4000, max_keys: int = 1000) -> DataFrame:
+    """At most ``per_key`` rows of each key and about ``total`` in all (one of each key at least), by a hash of the columns ``by``.
+
+    The same rows whatever the layout: ties are equal rows. One count by key first; of over ``max_keys`` keys the most frequent.
+    """
+    counts = rows.groupBy(key).count().orderBy(F.desc("count"), key).limit(max_keys).collect()
     if not counts:
         return rows.limit(0)
-    share = F.create_map(*[x for r in counts for x in (F.lit(r[0]), F.lit(min(1.0, per_key / r[1])))])
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 30)) / float(1 << 30)
-    return rows.where(draw < share[F.col(key)]).limit(2 * per_key * len(counts))
+    most = max(1, min(per_key, total // len(counts)))
+    # twice the share that is needed reaches the exact cut, which takes the least draws
+    share = F.create_map(*[x for r in counts for x in (F.lit(r[0]), F.lit(min(1.0, (2 * most + 20) / r[1])))])
+    draw = F.pmod(F.xxhash64(*by, F.lit(salt)), F.lit(1 << 30)) / float(1 << 30)
+    near = rows.withColumn("_draw", draw).where(F.col("_draw") < share[F.col(key)])
+    nth = F.row_number().over(Window.partitionBy(key).orderBy("_draw", *by))
+    return near.withColumn("_nth", nth).where(F.col("_nth") <= most).drop("_draw", "_nth")
 
 
 def train(docs: DataFrame, per_language: int = 400) -> Model | None:
@@ -110,11 +123,11 @@ def train(docs: DataFrame, per_language: int = 400) -> Model | None:
     def features(batches):
         for batch in batches:
             texts = [t.encode() for t in batch.column("text").to_pylist()]
-            for part in pieces([len(t) for t in texts], 1 << 19):
+            for part in few(texts):
                 x = gram_features(texts[part]).astype(np.float16)
                 yield record({"lang": batch.column("lang").to_pylist()[part], "x": [r.tobytes() for r in x]}, schema)
 
-    got = sample_by_hash(rows, "lang", per_language, "ecoc").mapInArrow(features, "lang string, x binary").toArrow()
+    got = sample_by_hash(rows, "lang", per_language, "ecoc", ("doc_id", "text")).mapInArrow(features, "lang string, x binary").toArrow()
     if not got.num_rows:
         return None
     langs, blobs = got["lang"].to_pylist(), got["x"].to_pylist()
@@ -137,7 +150,7 @@ def identify(docs: DataFrame, model: Model | None, ambiguous_within: float = 0.2
         for batch in batches:
             texts = [t.encode() for t in batch.column("text").to_pylist()]
             letter = batch.column("letter").to_pylist()
-            for part in pieces([len(t) for t in texts], 1 << 19):
+            for part in few(texts):
                 n = len(texts[part])
                 if model is None:
                     name, first, second = ["und"] * n, np.zeros(n), np.zeros(n)
@@ -161,7 +174,7 @@ def predicted(model: Model | None, text) -> Column:
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             raw, out = [t.encode() for t in texts], []
-            for part in pieces([len(t) for t in raw], 1 << 19):
+            for part in few(raw):
                 out += [model.languages[b] for b in model.decode(gram_features(raw[part]))[0]] if model else ["unknown"] * len(raw[part])
             yield pd.Series(out, dtype=object)
 

@@ -166,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500, max_voters:
 
     # the bounded sample, as hashes; rows in id order, so that the fit does not depend on partitions
     # (the sample holds at most twice per_class ids of each label, so it may be broadcast at any size of input)
-    sample = sample_by_hash(marks.where(fold("doc_id", 5) != 0), "toxic", per_class, "toxic")
+    sample = sample_by_hash(marks.where(fold("doc_id", 5) != 0), "toxic", per_class, "toxic", total=2 * per_class)
     got = id_and_text(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text").mapInArrow(hashed, "doc_id long, toxic int, h binary").toArrow().sort_by("doc_id")
     y = np.array(got["toxic"].to_pylist(), np.int64)
     x = [np.frombuffer(b, U) for b in got["h"].to_pylist()]
