@@ -1,9 +1,9 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit verification.
 
 Texts are compared as words joined by one space, with A-Z lowered. Windows of an item's size are laid at any byte: every run of ``GRAM``
-bytes of the document is looked up among those of the items, and a window is laid where enough of them stand within
-the diagonals that ``max_edit`` can reach; how many are enough is set from the trials below (items under ``SHORT`` bytes: one run so short that
-some copy of it outlives any edits). The CGK random walk reads a string with a
+bytes of the document is looked up among the rarer half of each item's runs (rare among items; an index need not hold every
+run), and a window is laid where enough of them stand within the diagonals that ``max_edit`` can reach; how many are enough is
+set from the trials below (items under ``SHORT`` bytes: all runs, and one is enough, so short that some copy of it outlives any edits). The CGK random walk reads a string with a
 pointer that moves on or stays by a random bit for each step and symbol; strings at a small edit distance then agree in most
 places. Each of several tables samples some places; a window stays if it agrees with the item in all places of ``AGREE`` tables.
 The numbers of runs and of tables are set from trials, item texts with random edits at the threshold inside other text, so that a passage
@@ -28,13 +28,15 @@ from .common import id_and_text, pieces, read_table, record
 
 GRAM, SHORT = 6, 60
 #: Texts are searched in stretches of so many bytes, with overlaps that hold any window.
-STRETCH = 1 << 16
+STRETCH = 1 << 13
 #: Length of the embedding in lengths of the string: about as many steps as the pointer needs, as what follows its end agrees
 #: in all texts and tells nothing.
 STEPS = 2
 #: Tables that must agree: one agrees by chance too often, and each needless verification costs more than some tables.
 AGREE = 3
 BLOCK_BYTES = 8 << 20
+#: Items up to so many bytes are verified many at a time.
+TOGETHER = 2048
 
 
 def normal(text: bytes) -> bytes:
@@ -66,6 +68,30 @@ def least_distance(item: bytes, text: bytes) -> tuple[int, int]:
     return best, end
 
 
+def least_distances(items: list[bytes], texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """``least_distance`` of each pair, a column of all their tables at a time."""
+    height, width = max(map(len, items)), max(map(len, texts))
+    item, text = np.zeros((len(items), height), np.uint8), np.zeros((len(items), width), np.uint8)
+    for k, (i, t) in enumerate(zip(items, texts, strict=True)):
+        item[k, : len(i)] = np.frombuffer(i, np.uint8)
+        text[k, : len(t)] = np.frombuffer(t, np.uint8)
+    down = np.arange(height + 1, dtype=np.int16)
+    row, last, size = np.arange(len(items)), np.array([len(i) for i in items]), np.array([len(t) for t in texts])
+    column = np.broadcast_to(down, (len(items), height + 1)).copy()
+    best, end = last.astype(np.int16), np.zeros(len(items), np.int64)
+    for j in range(width):
+        new = np.zeros_like(column)
+        np.minimum(column[:, :-1] + (item != text[:, j, None]), column[:, 1:] + np.int16(1), out=new[:, 1:])
+        # steps down add one each: a running minimum of what is left after taking them off
+        new -= down
+        np.minimum.accumulate(new, axis=1, out=new)
+        new += down
+        column, now = new, new[row, last]
+        less = (now < best) & (j < size)
+        best[less], end[less] = now[less], j + 1
+    return best.astype(np.int64), end
+
+
 class Walks:
     """Random walks over bytes: for each walk, step and symbol whether the pointer moves on."""
 
@@ -92,26 +118,38 @@ class Walks:
 
 def packed(text: bytes, q: int) -> np.ndarray:
     """All runs of q <= 8 bytes as numbers."""
-    v = np.frombuffer(text, np.uint8).astype(np.uint64)
-    n = len(v) - q + 1
-    out = np.zeros(max(n, 0), np.uint64)
-    for i in range(q if n > 0 else 0):
-        out = out << np.uint64(8) | v[i : n + i]
+    n = len(text) - q + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    have, out, at = {1: np.frombuffer(text, np.uint8).astype(np.uint64)}, np.zeros(n, np.uint64), 0
+    for k in (1, 2, 4):
+        have[2 * k] = have[k][:-k] << np.uint64(8 * k) | have[k][k:] if len(have[k]) > k else have[k][:0]
+    for k in (8, 4, 2, 1):
+        if q & k:
+            out = out << np.uint64(8 * k) | have[k][at : at + n]
+            at += k
     return out
 
 
 class Seeds:
-    """Runs of q bytes of some items: where each stands."""
+    """Runs of q bytes of some items: where each stands. ``rarer``: only the half of each item's runs that is rarest among items."""
 
     BITS = 20
 
-    def __init__(self, texts: list[bytes], members: list[int], q: int) -> None:
+    def __init__(self, texts: list[bytes], members: list[int], q: int, rarer: bool = False) -> None:
         self.q = q
         grams = [packed(texts[j], q) for j in members]
-        every = np.concatenate(grams)
+        every, sizes = np.concatenate(grams), np.array([len(g) for g in grams])
+        item, offset = np.repeat(np.array(members), sizes), np.concatenate([np.arange(n) for n in sizes])
+        if rarer:
+            _, at, count = np.unique(every, return_inverse=True, return_counts=True)
+            rank = np.lexsort((every * np.uint64(0x9E3779B97F4A7C15), count[at], item))
+            first = np.repeat(np.cumsum(sizes) - sizes, sizes)
+            kept = np.sort(rank[np.arange(len(rank)) - first < np.repeat((sizes + 1) // 2, sizes)])
+            every, item, offset = every[kept], item[kept], offset[kept]
         order = np.argsort(every, kind="stable")
-        self.item = np.repeat(np.array(members), [len(g) for g in grams])[order]
-        self.offset = np.concatenate([np.arange(len(g)) for g in grams])[order]
+        self.item, self.offset = item[order], offset[order]
+        self.runs = np.bincount(item, minlength=len(texts))
         self.grams, self.first, self.count = np.unique(every[order], return_index=True, return_counts=True)
         self.present = np.zeros(1 << self.BITS, bool)
         self.present[self._slot(self.grams)] = True
@@ -163,6 +201,23 @@ class Items:
     def filter(self, item: np.ndarray, windows: list[bytes]) -> np.ndarray:
         return self.votes(item, windows) >= self.agree
 
+    def distances(self, windows: list[tuple[int, int, int]], texts: list[bytes], max_edit: float):
+        """document, item, least edit distance around the window, where that ends; of windows (document, item, byte)."""
+        windows = sorted(windows, key=lambda w: len(self.texts[w[1]]))
+        for part in pieces([max(1, len(self.texts[i]) // 8) for _, i, _ in windows], 8192):
+            mine, around, low = [], [], []
+            for d, i, s in windows[part]:
+                most = int(max_edit * len(self.texts[i]))
+                low.append(max(0, s - 2 * most))
+                mine.append(self.texts[i])
+                around.append(texts[d][low[-1] : s + len(self.texts[i]) + 2 * most])
+            if len(mine[-1]) > TOGETHER:
+                found = [least_distance(i, t) for i, t in zip(mine, around, strict=True)]
+            else:
+                found = list(zip(*(x.tolist() for x in least_distances(mine, around)), strict=True))
+            for (d, i, _), (distance, end), start in zip(windows[part], found, low, strict=True):
+                yield d, i, distance, start + end
+
 
 def edited(text: bytes, edits: int, rng: np.random.Generator) -> bytes:
     """The text after so many random insertions, deletions and substitutions."""
@@ -190,7 +245,8 @@ def prepare(rows: list[tuple[int, str]], max_edit: float, recall: float, walks:
     most = (max_edit * bounds).astype(np.int64)
     # of k + 1 equal pieces, k edits leave one whole
     grams = np.where(bounds >= SHORT, GRAM, np.minimum(GRAM, np.maximum(1, bounds // (most + 1))))
-    seeds = [Seeds(texts, np.flatnonzero(grams == q).tolist(), int(q)) for q in np.unique(grams)]
+    kinds = sorted({(int(q), bool(n >= SHORT)) for q, n in zip(grams, bounds, strict=True)})
+    seeds = [Seeds(texts, np.flatnonzero((grams == q) & ((bounds >= SHORT) == long)).tolist(), q, long) for q, long in kinds]
     random = Walks(walks, STEPS * longest)
     items = Items(ids, texts, bounds, seeds, np.ones(len(texts), np.int64), np.maximum(most, 1), random, [], [])
     rng = np.random.default_rng(5)
@@ -198,7 +254,7 @@ def prepare(rows: list[tuple[int, str]], max_edit: float, recall: float, walks:
     around = [texts[i] for i in rng.integers(0, len(texts), 2 * trials)]
     tried = [b" ".join((around[2 * i], edited(texts[j], int(most[j]), rng), around[2 * i + 1])) for i, j in enumerate(chosen)]
     # shared runs of random edits: their share, less what all but an eighth of the allowed misses stay above
-    share, spread = (1 - max_edit) ** GRAM, np.sqrt(np.maximum(bounds - GRAM + 1, 1))
+    share, spread = (1 - max_edit) ** GRAM, np.sqrt(np.maximum(sum(x.runs for x in seeds), 1))
     seen = np.array([max((n for i, _, n in laid(items, t) if i == j), default=0) for j, t in zip(chosen, tried, strict=True)])
     long = bounds[chosen] >= SHORT
     if long.any():
@@ -237,6 +293,9 @@ def laid(items: Items, text: bytes) -> list[tuple[int, int, int]]:
         stretch = text[start : start + STRETCH + overlap]
         for seeds in items.seeds:
             item, offset, pos = seeds.hits(stretch)
+            # items with too few runs in the whole stretch have too few in any window of it
+            many = (np.bincount(item, minlength=len(items.texts)) >= items.need)[item]
+            item, offset, pos = item[many], offset[many], pos[many]
             if not len(item):
                 continue
             bands = pos - offset + 2 * overlap
@@ -290,14 +349,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, max_edit: float = 0.2, recall
                     windows = [(d, i, s) for d, t in enumerate(own) for i, s, _ in laid(block, t)]
                     ok = block.filter(np.array([i for _, i, _ in windows], np.int64), [own[d][s : s + len(block.texts[i])] for d, i, s in windows])
                     best: dict[tuple[int, int], tuple[int, int]] = {}
-                    for d, i, s in (windows[k] for k in np.flatnonzero(ok)):
-                        most = int(max_edit * len(block.texts[i]))
-                        if best.get((d, i), (1,))[0] == 0:
-                            continue
-                        low = max(0, s - 2 * most)
-                        distance, end = least_distance(block.texts[i], own[d][low : s + len(block.texts[i]) + 2 * most])
-                        if distance <= most and (distance, low + end) < best.get((d, i), (most + 1, 0)):
-                            best[d, i] = (distance, low + end)
+                    for d, i, distance, end in block.distances([windows[k] for k in np.flatnonzero(ok)], own, max_edit):
+                        if (distance, end) < best.get((d, i), (int(max_edit * len(block.texts[i])) + 1, 0)):
+                            best[d, i] = (distance, end)
                     keys = sorted(best)
                     yield record({"doc_id": [ids[part][d] for d, _ in keys], "item_id": [int(block.ids[i]) for _, i in keys], "edit_distance": [best[k][0] for k in keys], "item_bytes": [len(block.texts[i]) for _, i in keys], "end_byte": [best[k][1] for k in keys]}, _MATCH)
 
