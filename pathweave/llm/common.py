@@ -62,17 +62,69 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.written_to = path
+    return out
 
 
 def release(*tables: DataFrame) -> None:
     """Deletes what ``materialise`` wrote, once all that was made of it has been written too."""
     for df in tables:
-        jvm = df.sparkSession.sparkContext._jvm
-        conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class IdFilter:
+    """A Bloom filter of 64-bit ids, 2^26 bits whatever their number: tells which rows of a large table can have no partner in a join.
+
+    Rows that pass are joined as ever, so a filter that is too full costs time and never results.
+    """
+
+    BITS = 26
+
+    def __init__(self, ids: DataFrame) -> None:
+        """ids: one column of longs; nulls are left out."""
+        name = ids.columns[0]
+
+        def slots(batches):
+            found = [self._slots(b.column(0).drop_null().to_numpy(zero_copy_only=False)) for b in batches]
+            both = np.unique(np.concatenate([s.astype(np.uint32) for pair in found for s in pair])) if found else np.zeros(0, np.uint32)
+            dense = len(both) * 4 > 1 << (self.BITS - 3)
+            if dense:
+                bits = np.zeros(1 << self.BITS, bool)
+                bits[both] = True
+            yield pa.RecordBatch.from_pydict({"dense": [dense], "slots": [np.packbits(bits).tobytes() if dense else both.tobytes()]})
+
+        # at most 8 MB from each of 8 tasks
+        got = ids.select(F.col(name).cast("long").alias(name)).repartition(8).mapInArrow(slots, "dense boolean, slots binary").toArrow().to_pylist()
+        bits = np.zeros(1 << (self.BITS - 3), np.uint8)
+        for r in got:
+            if r["dense"]:
+                bits |= np.frombuffer(r["slots"], np.uint8)
+            else:
+                at = np.frombuffer(r["slots"], np.uint32)
+                np.bitwise_or.at(bits, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+        self.shared = ids.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+    @classmethod
+    def _slots(cls, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h = mix(ids.astype(np.int64).view(U))
+        return (h >> U(64 - cls.BITS)).astype(np.int64), (h & U((1 << cls.BITS) - 1)).astype(np.int64)
+
+    def rows(self, table: DataFrame, column: str, among: bool = True) -> DataFrame:
+        """Rows whose id may be among the filter's, or with ``among=False`` all others (null ids too)."""
+        shared, at = self.shared, table.columns.index(column)
+
+        def pick(batches):
+            bits = np.frombuffer(shared.value, np.uint8)
+            for batch in batches:
+                ids = batch.column(at)
+                a, b = IdFilter._slots(ids.fill_null(0).to_numpy(zero_copy_only=False))
+                hit = (bits[a >> 3] >> (7 - (a & 7)).astype(np.uint8) & bits[b >> 3] >> (7 - (b & 7)).astype(np.uint8) & 1).astype(bool)
+                yield batch.filter(pa.array((hit & ids.is_valid().to_numpy(zero_copy_only=False)) == among))
+
+        return table.mapInArrow(pick, table.schema)
 
 
 def pieces(sizes: list[int], limit: int) -> Iterator[slice]:

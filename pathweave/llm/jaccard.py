@@ -7,8 +7,10 @@ the symmetric difference from below, and the exact sets verify what is left.
 
 Work on crowded shingles is saved by components, not by dropping: in a first round the members of a group, and the
 groups under a crowded shingle, meet only one representative; in a second round every candidate pair that lies in different
-components so far is tested, in blocks of bounded size whose bitmaps meet as matrices, so that only pairs that may link
-become rows. Two documents in one component need no further test, so no link is lost.
+components so far is tested, in blocks of bounded size: bitmaps say which nodes of two blocks have a partner at all, those
+nodes come with their exact sets, and a block returns no more links than join its components. So pairs never become rows
+there. A pair under several crowded shingles is tested under the smallest of them only, and the largest component of a crowd is not
+held against itself. Two documents in one component need no further test, so no link is lost.
 
 Edge cases: null and empty texts have no shingles and link with nothing; a text of fewer words than a shingle is one shingle;
 a row with a null id has a null component and links with nothing; rows that share an id count with their own texts; an
@@ -24,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, gram_hashes, id_and_text, materialise, pieces, read_table, record, word_hashes
+from .common import IdFilter, U, gram_hashes, id_and_text, materialise, pieces, read_table, record, release, word_hashes
 
 #: A shingle counts as common from so many repeats on, and the most common so many are known to the tasks (16 bytes each).
 COMMON_FROM, COMMON_KEPT = 48, 200_000
 #: Groups under one shingle that meet pair by pair in the first round.
 CROWD = 24
-#: Nodes in a block of a crowd.
-BLOCK = 1500
+#: Nodes in a block of a crowd, and shingles of them.
+BLOCK, BLOCK_SHINGLES = 1500, 2_000_000
 
 
 def shingle_set(text: bytes, words: int) -> np.ndarray:
@@ -160,8 +162,10 @@ def _sorted_tokens(table: pa.Table) -> tuple[np.ndarray, ...]:
     return token, gid, size.astype(np.int64), start, np.diff(np.append(start, len(token)))
 
 
-def group_pairs(tokens: DataFrame, percent: int) -> DataFrame:
-    """a < b: groups that share a prefix shingle and have compatible sizes; under a crowded shingle each meets the smallest only."""
+def meetings(tokens: DataFrame, percent: int) -> DataFrame:
+    """(crowd, a, b): without a crowd, pairs a < b of groups that share a prefix shingle and have compatible sizes, where under a
+    crowded shingle each meets the smallest only; with one, the groups a under a crowded shingle."""
+    schema = pa.schema([(c, pa.int64()) for c in ("crowd", "a", "b")])
 
     def meet(table: pa.Table) -> pa.Table:
         token, gid, size, start, length = _sorted_tokens(table)
@@ -182,62 +186,168 @@ def group_pairs(tokens: DataFrame, percent: int) -> DataFrame:
         i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
         fits = (gid[i] != gid[j]) & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j]))
         pairs = np.unique(np.stack([np.minimum(gid[i], gid[j]), np.maximum(gid[i], gid[j])], axis=1)[fits], axis=0)
-        return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=_PAIR)
+        on = held_by > CROWD
+        none = pa.nulls(len(pairs), pa.int64())
+        return pa.concat_tables([pa.Table.from_arrays([none, pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema), pa.Table.from_arrays([pa.array(token[on].view(np.int64)), pa.array(gid[on]), pa.nulls(int(on.sum()), pa.int64())], schema=schema)])
 
-    return tokens.groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
+    return tokens.groupBy("bucket").applyInArrow(meet, "crowd long, a long, b long")
 
 
-def crowds(tokens: DataFrame) -> DataFrame:
-    """crowd, gid: the groups under each crowded shingle."""
-    schema = pa.schema([("crowd", pa.int64()), ("gid", pa.int64())])
+_NONE = np.iinfo(np.int64).max
 
-    def pick(table: pa.Table) -> pa.Table:
-        token, gid, _, _, length = _sorted_tokens(table)
-        on = np.repeat(length > CROWD, length)
-        return pa.Table.from_arrays([pa.array(token[on].view(np.int64)), pa.array(gid[on])], schema=schema)
 
-    return tokens.groupBy("bucket").applyInArrow(pick, "crowd long, gid long")
+class Block:
+    """Nodes of two blocks of a crowd in order of size: which may link, by size, component, crowd and bitmaps."""
 
-
-def crowd_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """a < b: nodes of one crowd in different components whose sizes and bitmaps let them link. members: (crowd, node, component, n,
-    bits). A crowd is cut into blocks by a hash of the node, and every two blocks meet in a task of their own."""
-    blocks = members.groupBy("crowd").agg(F.countDistinct("component").alias("components"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("components > 1")
-    own = members.join(blocks.drop("components"), "crowd").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("crowd", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "component", "n", "bits")
-
-    def meet(table: pa.Table) -> pa.Table:
-        node, component, n, own, low, high = (table[c].to_numpy() for c in ("node", "component", "n", "own", "low", "high"))
-        order = np.lexsort((node, n))
-        bits = table["bits"].to_pylist()
-        node, component, n, own = node[order], component[order], n[order].astype(np.int64), own[order]
-        raw = [np.frombuffer(bits[i], np.uint8) for i in order]
-        size = np.array([len(r) for r in raw])
+    def __init__(self, table: pa.Table, bits: list[bytes], percent: int) -> None:
+        column = lambda c: table[c].to_numpy()
+        self.order = np.lexsort((column("node"), column("n")))
+        self.node, self.component, self.n, self.own, self.core = (column(c)[self.order] for c in ("node", "component", "n", "own", "core"))
+        self.n, self.percent = self.n.astype(np.int64), percent
+        self.crowd, self.around, self.one = (table[c][0].as_py() for c in ("crowd", "around", "low"))
+        self.one = self.one == table["high"][0].as_py()
+        lists = table["crowds"].to_pylist()
+        #: The crowded shingles of each node in order, and one that is none, so that no list is empty.
+        self.crowds = [np.append(np.frombuffer(lists[i], np.int64), _NONE) for i in self.order]
+        raw = [np.frombuffer(bits[i], np.uint8) for i in self.order]
+        self.size = np.array([len(r) for r in raw])
         # each node's bitmap at its own size and folded once: sizes that may link differ by one doubling at most
-        at: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for z in np.unique(size).tolist():
-            same, twice = np.flatnonzero(size == z), np.flatnonzero(size == 2 * z)
-            rows = [raw[i] for i in same] + [folded(raw[i]) for i in twice]
+        self.at: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for z in np.unique(self.size).tolist():
+            same, twice = np.flatnonzero(self.size == z), np.flatnonzero(self.size == 2 * z)
             place = np.full(len(raw), -1)
-            place[np.concatenate([same, twice])] = np.arange(len(rows))
-            at[z] = (place, np.stack(rows))
-        one = bool(low[0] == high[0])
-        far = np.searchsorted(n, n * 100 // percent, side="right")
-        left, right = [], []
-        for i in range(len(node)):
+            place[np.concatenate([same, twice])] = np.arange(len(same) + len(twice))
+            self.at[z] = (place, np.stack([raw[i] for i in same] + [folded(raw[i]) for i in twice]))
+
+    def tested_here(self, i: int, j: np.ndarray) -> np.ndarray:
+        """Of the nodes that share several crowded shingles with i, those for which this crowd is the smallest of them; around a group, those that share none."""
+        lists = [self.crowds[k] for k in j.tolist()]
+        every = np.concatenate(lists)
+        start = np.cumsum([0, *(len(x) for x in lists[:-1])])
+        least = np.minimum.reduceat(np.where(np.isin(every, self.crowds[i]), every, _NONE), start)
+        return j[least == (_NONE if self.around else self.crowd)]
+
+    def pairs(self):
+        """i and the later nodes that may link with it."""
+        n, far = self.n, np.searchsorted(self.n, self.n * 100 // self.percent, side="right")
+        for i in range(len(n)):
             j = np.arange(i + 1, far[i])
-            j = j[(component[j] != component[i]) & ((own[j] != own[i]) | one)]
-            for z in np.unique(np.minimum(size[j], size[i])).tolist():
-                k = j[np.minimum(size[j], size[i]) == z]
-                place, matrix = at[z]
+            j = j[(self.component[j] != self.component[i]) & ((self.own[j] != self.own[i]) | self.one) & (self.core[j] | self.core[i])]
+            small, out = np.minimum(self.size[j], self.size[i]), []
+            for z in np.unique(small).tolist():
+                k = j[small == z]
+                place, matrix = self.at[z]
                 apart = np.bitwise_count(matrix[place[k]] ^ matrix[place[i]]).sum(axis=1, dtype=np.int64)
-                k = k[100 * (n[i] + n[k] - apart) >= percent * (n[i] + n[k] + apart)]
-                left.append(np.full(len(k), i))
-                right.append(k)
-        i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-        return pa.Table.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], schema=_PAIR)
+                out.append(k[100 * (n[i] + n[k] - apart) >= self.percent * (n[i] + n[k] + apart)])
+            j = np.sort(np.concatenate(out)) if out else j
+            j = self.tested_here(i, j) if len(j) else j
+            if len(j):
+                yield i, j
+
+
+def crowd_rows(met: DataFrame, pairs: DataFrame, grown: DataFrame, labelled: DataFrame) -> DataFrame:
+    """Nodes (crowd, around, core, node, component, n) that meet: those under a crowded shingle, and around each group of several members
+    these (core) and the members of the groups that it met."""
+    under = met.where("crowd IS NOT NULL").select("crowd", F.lit(False).alias("around"), F.lit(True).alias("core"), F.col("a").alias("gid"))
+    both = pairs.union(pairs.select("b", "a")).join(grown.withColumnRenamed("gid", "a"), "a", "left_semi")
+    around = both.select(F.col("a").alias("crowd"), F.lit(True).alias("around"), F.lit(False).alias("core"), F.col("b").alias("gid"))
+    own = grown.select(F.col("gid").alias("crowd"), F.lit(True).alias("around"), F.lit(True).alias("core"), "gid")
+    return under.union(around).union(own).join(labelled, "gid").select("crowd", "around", "core", "node", "component", "n")
+
+
+def placed_in_blocks(rows: DataFrame) -> DataFrame:
+    """Rows of crowds of several components, once for each two blocks that meet. The largest component of a crowd has blocks of its own, which do not meet each other."""
+    sums = rows.groupBy("crowd", "around", "component").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    crowds = sums.groupBy("crowd", "around").agg(F.max(F.struct("c", "component", "w")).alias("x"), F.count("*").alias("components"), F.sum("c").alias("c"), F.sum("w").alias("w")).where("components > 1")
+    blocks = lambda c, w: F.greatest(F.lit(1), F.ceil(c / BLOCK), F.ceil(w / BLOCK_SHINGLES)).cast("int")
+    crowds = crowds.select("crowd", "around", F.col("x.component").alias("main"), blocks(F.col("x.c"), F.col("x.w")).alias("mains"), blocks(F.col("c") - F.col("x.c"), F.col("w") - F.col("x.w")).alias("rests"))
+    is_main = F.col("component") == F.col("main")
+    own = F.when(is_main, F.pmod(F.xxhash64("node"), F.col("mains"))).otherwise(F.col("mains") + F.pmod(F.xxhash64("node"), F.col("rests"))).cast("int")
+    first = F.when(is_main, F.col("mains")).otherwise(F.lit(0))
+    other = F.explode(F.sequence(first, F.col("mains") + F.col("rests") - 1))
+    met = rows.join(crowds, ["crowd", "around"]).withColumn("own", own).withColumn("other", other)
+    return met.select("crowd", "around", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "core", "node", "component", "n")
+
+
+_TWO = ["crowd", "around", "low", "high"]
+
+
+def late_links(rows: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) that join the components of every two blocks that meet: at most one less than their components."""
+    placed = materialise(placed_in_blocks(rows), "jaccard-blocks")
+    shingles = placed.where("NOT around").select("node", "crowd").distinct().groupBy("node").agg(F.array_sort(F.collect_list("crowd")).alias("list"))
+    columns = [*placed.columns, "crowds"]
+    schema = pa.schema([("crowd", pa.int64()), ("around", pa.bool_()), ("low", pa.int32()), ("high", pa.int32()), ("own", pa.int32()), ("core", pa.bool_()), ("node", pa.int64()), ("component", pa.int64()), ("n", pa.int32()), ("crowds", pa.binary())])
+    ddl = "crowd long, around boolean, low int, high int, own int, core boolean, node long, component long, n int, crowds binary"
+
+    def packed(batches):
+        made = pa.schema([("node", pa.int64()), ("crowds", pa.binary())])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([np.array(x, np.int64).tobytes() for x in batch.column("list").to_pylist()], pa.binary())], schema=made)
+
+    def sift(table: pa.Table) -> pa.Table:
+        block = Block(table, table["bits"].to_pylist(), percent)
+        some = np.zeros(len(block.node), bool)
+        for i, j in block.pairs():
+            some[i] = True
+            some[j] = True
+        return table.select(columns).take(pa.array(np.sort(block.order[some]))).cast(schema)
+
+    known = nodes.select("node", "bits").join(shingles.mapInArrow(packed, "node long, crowds binary"), "node", "left").withColumn("crowds", F.coalesce("crowds", F.lit(b"")))
+    sifted = materialise(placed.join(known, "node").select(*columns, "bits").groupBy(*_TWO).applyInArrow(sift, ddl), "jaccard-sifted")
+    release(placed)
+    sets = shingle_sets(sifted.select("node").distinct(), nodes, docs, words)
+
+    def join_up(table: pa.Table) -> pa.Table:
+        members = [np.frombuffer(b, U) for b in table["members"].to_pylist()]
+        block = Block(table, [parity_bits(m) for m in members], percent)
+        members = [members[i] for i in block.order]
+        found = list(block.pairs())
+        i, j = np.repeat([x for x, _ in found], [len(y) for _, y in found]).astype(np.int64), np.concatenate([np.zeros(0, np.int64), *(y for _, y in found)])
+        left, right = np.concatenate([i, j]), np.concatenate([j, i])
+        order = np.argsort(left, kind="stable")
+        right, degree = right[order], np.bincount(left, minlength=len(members))
+        first, label, links = np.cumsum(degree) - degree, block.component.copy(), []
+        # those with the most partners first: what is near to many joins most components with the fewest tests
+        for h in np.argsort(-degree, kind="stable").tolist():
+            k = right[first[h] : first[h] + degree[h]]
+            k = k[label[k] != label[h]]
+            if not len(k):
+                continue
+            own, theirs = members[h], np.concatenate([members[x] for x in k])
+            n = block.n[k]
+            at = np.minimum(np.searchsorted(own, theirs), len(own) - 1)
+            common = np.add.reduceat((own[at] == theirs).astype(np.int64), np.cumsum(n) - n)
+            for x in k[100 * common >= percent * (len(own) + n - common)].tolist():
+                if label[x] != label[h]:
+                    links.append((min(block.node[h], block.node[x]), max(block.node[h], block.node[x])))
+                    label[label == label[x]] = label[h]
+        return pa.Table.from_arrays([pa.array([int(x[s]) for x in links], pa.int64()) for s in (0, 1)], schema=_PAIR)
+
+    late = materialise(sifted.join(sets, "node").select(*columns, "members").groupBy(*_TWO).applyInArrow(join_up, "a long, b long"), "jaccard-late")
+    release(sifted, sets)
+    return late
+
+
+def shingle_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """node, members (sorted hashes) of the wanted nodes, from the texts of their documents; other texts are not exchanged."""
+    used = materialise(wanted.join(nodes.select("node", "doc_id", "digest"), "node"), "jaccard-used")
+    built = pa.schema([("node", pa.int64()), ("members", pa.binary())])
 
-    return met.groupBy("crowd", "low", "high").applyInArrow(meet, "a long, b long").distinct()
+    def build(batches):
+        for batch in batches:
+            out = {"node": [], "members": []}
+            for node, text, digest in zip(*(batch.column(c).to_pylist() for c in ("node", "text", "digest")), strict=True):
+                s = shingle_set(text.encode(), words)
+                if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == digest:
+                    out["node"].append(node)
+                    out["members"].append(s.tobytes())
+            yield record(out, built)
+
+    texts = IdFilter(used.select("doc_id")).rows(id_and_text(docs), "doc_id")
+    sets = materialise(texts.join(used, "doc_id").select("node", "text", "digest").mapInArrow(build, "node long, members binary").dropDuplicates(["node"]), "jaccard-sets")
+    release(used)
+    return sets
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -251,20 +361,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, pe
 
     side = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}"))
     left = materialise(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(bound, "a long, b long"), "jaccard-candidates")
-    used = left.select(F.col("a").alias("node")).union(left.select("b")).distinct().join(nodes.select("node", "doc_id", "digest"), "node")
-    built = pa.schema([("node", pa.int64()), ("members", pa.binary())])
-
-    def build(batches):
-        for batch in batches:
-            out = {"node": [], "members": []}
-            for node, text, digest in zip(*(batch.column(c).to_pylist() for c in ("node", "text", "digest")), strict=True):
-                s = shingle_set(text.encode(), words)
-                if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == digest:
-                    out["node"].append(node)
-                    out["members"].append(s.tobytes())
-            yield record(out, built)
-
-    sets = materialise(id_and_text(docs).join(used, "doc_id").mapInArrow(build, "node long, members binary").dropDuplicates(["node"]), "jaccard-sets")
+    sets = shingle_sets(left.select(F.col("a").alias("node")).union(left.select("b")).distinct(), nodes, docs, words)
 
     def compare(batches):
         for batch in batches:
@@ -276,7 +373,9 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, pe
                     rows.append((a, b))
             yield record({"a": [r[0] for r in rows], "b": [r[1] for r in rows]}, schema)
 
-    return left.join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b").mapInArrow(compare, "a long, b long")
+    links = materialise(left.join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b").mapInArrow(compare, "a long, b long"), "jaccard-links")
+    release(left, sets)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -290,7 +389,8 @@ def components(links: DataFrame) -> DataFrame:
         low = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         minimum = low.groupBy("u").agg(F.min("v").alias("m"))
         small = low.join(minimum, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(minimum.select("u", F.col("m").alias("v"))).distinct()
-        edges = materialise(small, "components")
+        last, edges = edges, materialise(small, "components")
+        release(last)
         mark = edges.agg(F.count("*").alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("h")).collect()[0]
         if mark == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
@@ -302,35 +402,31 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     signed = materialise(signatures(docs, words, percent), "jaccard-signatures")
     distinct = signed.where(F.col("doc_id").isNotNull() & (F.col("n") > 0)).groupBy("digest").agg(F.min(F.struct("doc_id", "n", "prefix", "bits")).alias("x"))
     nodes = materialise(distinct.select(F.monotonically_increasing_id().alias("node"), "digest", "x.*", F.md5("x.prefix").alias("key")), "jaccard-nodes")
+    sizes = materialise(signed.select("doc_id", "n", "digest"), "jaccard-sizes")
+    release(signed)
     grouped = nodes.groupBy("n", "key").agg(F.min("node").alias("gid"), F.count("*").alias("members"))
     crowded = materialise(grouped.where("members > 1"), "jaccard-groups")
-    members = materialise(nodes.select("node", "n", "key").join(crowded.select("n", "key", "gid"), ["n", "key"], "left").select("node", F.coalesce("gid", "node").alias("gid")), "jaccard-members")
+    members = materialise(nodes.select("node", "n", "key").join(crowded.select("n", "key", "gid"), ["n", "key"], "left").select("node", "n", F.coalesce("gid", "node").alias("gid")), "jaccard-members")
     heads = nodes.join(members.where("gid = node").select("node"), "node", "left_semi").select(F.col("node").alias("gid"), "n", "prefix")
     size = heads.agg(F.sum(F.octet_length("prefix")).alias("b")).collect()[0]["b"] or 0
-    tokens = dealt(heads, max(64, size // 8 // 250_000))
+    met = materialise(meetings(dealt(heads, max(64, size // 8 // 250_000)), percent), "jaccard-met")
     # first round: representatives
-    met = materialise(group_pairs(tokens, percent), "jaccard-met")
+    pairs = met.where("crowd IS NULL").select("a", "b").distinct()
     inside = members.where("gid <> node").select(F.col("gid").alias("a"), F.col("node").alias("b"))
-    tried = materialise(met.union(inside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "jaccard-tried")
-    links = materialise(verified(tried, nodes, docs, words, percent), "jaccard-links")
+    links = verified(pairs.union(inside), nodes, docs, words, percent)
     found = materialise(components(links), "jaccard-found")
     # second round: what is still in different components, under crowded shingles, within groups, and between members of groups that met
-    labelled = members.join(found, "node", "left").join(nodes.select("node", "n", "bits"), "node").select("node", "gid", F.coalesce("component", "node").alias("component"), "n", "bits")
-    labelled = materialise(labelled, "jaccard-labelled")
-    under = crowds(tokens).join(labelled, "gid").select("crowd", "node", "component", "n", "bits")
-    grown = crowded.select("gid")
-    within = labelled.join(grown, "gid", "left_semi").select((-1 - F.col("gid")).alias("crowd"), "node", "component", "n", "bits")
-    pairs = met.join(grown.withColumnRenamed("gid", "a").withColumn("x", F.lit(1)), "a", "left").join(grown.withColumnRenamed("gid", "b").withColumn("y", F.lit(1)), "b", "left").where("x = 1 OR y = 1").select("a", "b")
-    x, y = (labelled.select(F.col("gid").alias(g), F.col("node").alias(f"node_{g}"), F.col("component").alias(f"c_{g}")) for g in ("a", "b"))
-    between = pairs.join(x, "a").join(y, "b").where("c_a <> c_b").select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
-    rest = crowd_pairs(under, percent).union(crowd_pairs(within, percent)).union(between).distinct().join(tried, ["a", "b"], "left_anti")
-    late = verified(rest, nodes, docs, words, percent)
+    labelled = materialise(members.join(found, "node", "left").select("node", "gid", F.coalesce("component", "node").alias("component"), "n"), "jaccard-labelled")
+    late = late_links(crowd_rows(met, pairs, crowded.select("gid"), labelled), nodes, docs, words, percent)
+    release(met, members, crowded, labelled, found)
     final = materialise(components(links.union(late)), "jaccard-final")
+    release(links, late)
     known = nodes.select("node", "digest", F.col("doc_id").alias("first")).join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = known.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = known.join(ids, "component").select("digest", "component_id")
-    out = signed.where(F.col("doc_id").isNotNull() & (F.col("n") > 0)).select("doc_id", "n", "digest").join(named, "digest", "left").select("doc_id", "n", "component_id")
-    alone = signed.where(F.col("doc_id").isNull() | (F.col("n") == 0)).select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    named = materialise(known.join(ids, "component").select("digest", "component_id"), "jaccard-named")
+    release(nodes, final)
+    out = sizes.where(F.col("doc_id").isNotNull() & (F.col("n") > 0)).join(named, "digest", "left").select("doc_id", "n", "component_id")
+    alone = sizes.where(F.col("doc_id").isNull() | (F.col("n") == 0)).select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return out.unionByName(alone).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
