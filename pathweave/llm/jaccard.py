@@ -144,7 +144,7 @@ def dealt(groups: DataFrame, buckets: int) -> DataFrame:
                 t = np.frombuffer(prefix, U)
                 held.append((t, np.full(len(t), gid), np.full(len(t), n, np.int32)))
                 rows += len(t)
-            if rows > 3_000_000:
+            if rows > 1_000_000:
                 yield from flush()
                 rows = 0
         if held:
