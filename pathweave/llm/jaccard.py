@@ -9,8 +9,9 @@ Work on crowded shingles is saved by components, not by dropping: in a first rou
 groups under a crowded shingle, meet only one representative; in a second round every candidate pair that lies in different
 components so far is tested, in blocks of bounded size: bitmaps say which nodes of two blocks have a partner at all, those
 nodes come with their exact sets, and a block returns no more links than join its components. So pairs never become rows
-there. A pair under several crowded shingles is tested under the smallest of them only, and the largest component of a crowd is not
-held against itself. Two documents in one component need no further test, so no link is lost.
+there. Crowds with the same largest component, as the many shingles of one cluster of copies have, are tested together, each node once
+with the list of its crowds; and a largest component is not held against itself. Two documents in one component need no further
+test, so no link is lost.
 
 Edge cases: null and empty texts have no shingles and link with nothing; a text of fewer words than a shingle is one shingle;
 a row with a null id has a null component and links with nothing; rows that share an id count with their own texts; an
@@ -193,22 +194,18 @@ def meetings(tokens: DataFrame, percent: int) -> DataFrame:
     return tokens.groupBy("bucket").applyInArrow(meet, "crowd long, a long, b long")
 
 
-_NONE = np.iinfo(np.int64).max
-
-
 class Block:
-    """Nodes of two blocks of a crowd in order of size: which may link, by size, component, crowd and bitmaps."""
+    """Nodes of two blocks that meet, in order of size: which may link, by size, component, crowds and bitmaps."""
 
     def __init__(self, table: pa.Table, bits: list[bytes], percent: int) -> None:
         column = lambda c: table[c].to_numpy()
         self.order = np.lexsort((column("node"), column("n")))
         self.node, self.component, self.n, self.own, self.core = (column(c)[self.order] for c in ("node", "component", "n", "own", "core"))
         self.n, self.percent = self.n.astype(np.int64), percent
-        self.crowd, self.around, self.one = (table[c][0].as_py() for c in ("crowd", "around", "low"))
-        self.one = self.one == table["high"][0].as_py()
+        self.one = table["low"][0].as_py() == table["high"][0].as_py()
         lists = table["crowds"].to_pylist()
-        #: The crowded shingles of each node in order, and one that is none, so that no list is empty.
-        self.crowds = [np.append(np.frombuffer(lists[i], np.int64), _NONE) for i in self.order]
+        #: Hashes of the crowds of each node, one at least; two that are equal by chance cost a test.
+        self.crowds = [np.array(lists[i], np.int32) for i in self.order]
         raw = [np.frombuffer(bits[i], np.uint8) for i in self.order]
         self.size = np.array([len(r) for r in raw])
         # each node's bitmap at its own size and folded once: sizes that may link differ by one doubling at most
@@ -219,13 +216,10 @@ class Block:
             place[np.concatenate([same, twice])] = np.arange(len(same) + len(twice))
             self.at[z] = (place, np.stack([raw[i] for i in same] + [folded(raw[i]) for i in twice]))
 
-    def tested_here(self, i: int, j: np.ndarray) -> np.ndarray:
-        """Of the nodes that share several crowded shingles with i, those for which this crowd is the smallest of them; around a group, those that share none."""
+    def in_one_crowd(self, i: int, j: np.ndarray) -> np.ndarray:
         lists = [self.crowds[k] for k in j.tolist()]
-        every = np.concatenate(lists)
         start = np.cumsum([0, *(len(x) for x in lists[:-1])])
-        least = np.minimum.reduceat(np.where(np.isin(every, self.crowds[i]), every, _NONE), start)
-        return j[least == (_NONE if self.around else self.crowd)]
+        return j[np.logical_or.reduceat(np.isin(np.concatenate(lists), self.crowds[i]), start)]
 
     def pairs(self):
         """i and the later nodes that may link with it."""
@@ -240,7 +234,7 @@ class Block:
                 apart = np.bitwise_count(matrix[place[k]] ^ matrix[place[i]]).sum(axis=1, dtype=np.int64)
                 out.append(k[100 * (n[i] + n[k] - apart) >= self.percent * (n[i] + n[k] + apart)])
             j = np.sort(np.concatenate(out)) if out else j
-            j = self.tested_here(i, j) if len(j) else j
+            j = self.in_one_crowd(i, j) if len(j) else j
             if len(j):
                 yield i, j
 
@@ -255,35 +249,34 @@ def crowd_rows(met: DataFrame, pairs: DataFrame, grown: DataFrame, labelled: Dat
     return under.union(around).union(own).join(labelled, "gid").select("crowd", "around", "core", "node", "component", "n")
 
 
-def placed_in_blocks(rows: DataFrame) -> DataFrame:
-    """Rows of crowds of several components, once for each two blocks that meet. The largest component of a crowd has blocks of its own, which do not meet each other."""
-    sums = rows.groupBy("crowd", "around", "component").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
-    crowds = sums.groupBy("crowd", "around").agg(F.max(F.struct("c", "component", "w")).alias("x"), F.count("*").alias("components"), F.sum("c").alias("c"), F.sum("w").alias("w")).where("components > 1")
-    blocks = lambda c, w: F.greatest(F.lit(1), F.ceil(c / BLOCK), F.ceil(w / BLOCK_SHINGLES)).cast("int")
-    crowds = crowds.select("crowd", "around", F.col("x.component").alias("main"), blocks(F.col("x.c"), F.col("x.w")).alias("mains"), blocks(F.col("c") - F.col("x.c"), F.col("w") - F.col("x.w")).alias("rests"))
+def placed_in_blocks(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of crowds of several components, once for each two blocks that meet, and the table that they come from. Crowded shingles with the same largest component
+    (``home``) come together, each node once with its crowds. The largest component has blocks of its own, which do not meet each other."""
+    sums = rows.groupBy("crowd", "around", "component").agg(F.count("*").alias("c"))
+    crowds = sums.groupBy("crowd", "around").agg(F.max(F.struct("c", "component")).alias("x"), F.count("*").alias("components")).where("components > 1")
+    crowds = crowds.select("crowd", "around", F.col("x.component").alias("main"), F.when(F.col("around"), F.col("crowd")).otherwise(F.col("x.component")).alias("home"))
+    kept = rows.join(crowds, ["crowd", "around"]).groupBy("home", "around", "main", "node", "component", "n").agg(F.max("core").alias("core"), F.collect_list(F.hash("crowd")).alias("crowds"))
+    kept = materialise(kept, "jaccard-crowds")
     is_main = F.col("component") == F.col("main")
+    count = lambda when, what: F.sum(F.when(when, what).otherwise(F.lit(0)))
+    blocks = lambda when: F.greatest(F.lit(1), F.ceil(count(when, F.lit(1)) / BLOCK), F.ceil(count(when, F.col("n")) / BLOCK_SHINGLES)).cast("int")
+    homes = kept.groupBy("home", "around").agg(blocks(is_main).alias("mains"), blocks(~is_main).alias("rests"))
     own = F.when(is_main, F.pmod(F.xxhash64("node"), F.col("mains"))).otherwise(F.col("mains") + F.pmod(F.xxhash64("node"), F.col("rests"))).cast("int")
     first = F.when(is_main, F.col("mains")).otherwise(F.lit(0))
     other = F.explode(F.sequence(first, F.col("mains") + F.col("rests") - 1))
-    met = rows.join(crowds, ["crowd", "around"]).withColumn("own", own).withColumn("other", other)
-    return met.select("crowd", "around", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "core", "node", "component", "n")
+    met = kept.join(homes, ["home", "around"]).withColumn("own", own).withColumn("other", other)
+    return met.select("home", "around", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "core", "node", "component", "n", "crowds"), kept
 
 
-_TWO = ["crowd", "around", "low", "high"]
+_TWO = ["home", "around", "low", "high"]
 
 
 def late_links(rows: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (a, b) that join the components of every two blocks that meet: at most one less than their components."""
-    placed = materialise(placed_in_blocks(rows), "jaccard-blocks")
-    shingles = placed.where("NOT around").select("node", "crowd").distinct().groupBy("node").agg(F.array_sort(F.collect_list("crowd")).alias("list"))
-    columns = [*placed.columns, "crowds"]
-    schema = pa.schema([("crowd", pa.int64()), ("around", pa.bool_()), ("low", pa.int32()), ("high", pa.int32()), ("own", pa.int32()), ("core", pa.bool_()), ("node", pa.int64()), ("component", pa.int64()), ("n", pa.int32()), ("crowds", pa.binary())])
-    ddl = "crowd long, around boolean, low int, high int, own int, core boolean, node long, component long, n int, crowds binary"
-
-    def packed(batches):
-        made = pa.schema([("node", pa.int64()), ("crowds", pa.binary())])
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([np.array(x, np.int64).tobytes() for x in batch.column("list").to_pylist()], pa.binary())], schema=made)
+    placed, kept = placed_in_blocks(rows)
+    columns = placed.columns
+    schema = pa.schema([("home", pa.int64()), ("around", pa.bool_()), ("low", pa.int32()), ("high", pa.int32()), ("own", pa.int32()), ("core", pa.bool_()), ("node", pa.int64()), ("component", pa.int64()), ("n", pa.int32()), ("crowds", pa.list_(pa.int32()))])
+    ddl = "home long, around boolean, low int, high int, own int, core boolean, node long, component long, n int, crowds array<int>"
 
     def sift(table: pa.Table) -> pa.Table:
         block = Block(table, table["bits"].to_pylist(), percent)
@@ -293,9 +286,8 @@ def late_links(rows: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, p
             some[j] = True
         return table.select(columns).take(pa.array(np.sort(block.order[some]))).cast(schema)
 
-    known = nodes.select("node", "bits").join(shingles.mapInArrow(packed, "node long, crowds binary"), "node", "left").withColumn("crowds", F.coalesce("crowds", F.lit(b"")))
-    sifted = materialise(placed.join(known, "node").select(*columns, "bits").groupBy(*_TWO).applyInArrow(sift, ddl), "jaccard-sifted")
-    release(placed)
+    sifted = materialise(placed.join(nodes.select("node", "bits"), "node").select(*columns, "bits").groupBy(*_TWO).applyInArrow(sift, ddl), "jaccard-sifted")
+    release(kept)
     sets = shingle_sets(sifted.select("node").distinct(), nodes, docs, words)
 
     def join_up(table: pa.Table) -> pa.Table:
