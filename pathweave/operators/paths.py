@@ -33,7 +33,7 @@ def chain_queries(edges: DataFrame, relation_1: str, relation_2: str) -> DataFra
 
 
 def fixed_chain(edges: DataFrame, relation_1: str, relation_2: str) -> DataFrame:
-    """The batch of all chains over two given relations: both filters reach the scans, and no query table is joined."""
+    """The batch of all chains over two given relations: both filters prune the edge table's branches, and no query table is joined."""
     a, b = hop(edges.where(F.col("relation") == relation_1), 1), hop(edges.where(F.col("relation") == relation_2), 2)
     both = a.join(b, F.col("target_1") == F.col("source_2"))
     return both.select(F.col("source_1").alias("query_id"), F.col("target_1").alias("mid"), F.col("target_2").alias("target"), F.col("evidence_1").alias("left_evidence"), F.col("evidence_2").alias("right_evidence"), "owner_1", "owner_2", (F.col("score_1").cast("long") + F.col("score_2")).alias("score"))
@@ -98,16 +98,27 @@ def frontier_join(edges: DataFrame, relation_1: str, relation_2: str, token: Col
     return a.join(b, "token").where("owner_1 <> owner_2").select("query_id", "token", "owner_1", "owner_2", "target")
 
 
+def orientation(at_source: Column, at_target: Column) -> Column:
+    """The relation as seen from one of an edge's ends: as it is, inverse, or null."""
+    from ..sources.graph import inverse_of
+
+    return F.when(at_source, F.col("relation")).when(at_target, inverse_of(F.col("relation")))
+
+
 def closure(pairs: DataFrame, child: str, parent: str, max_depth: int = 32) -> DataFrame:
-    """Reflexive transitive closure (node, ancestor); stops at the fixpoint, raises beyond max_depth."""
-    direct = pairs.select(F.col(child).alias("node"), F.col(parent).alias("ancestor")).distinct()
+    """Reflexive transitive closure (node, ancestor), found round by round: only the pairs that the last round added are
+    joined again. Each round is written to the shared folder, so a round's plan does not hold those before it; stops at the fixpoint, raises beyond max_depth."""
+    from ..streaming.store import shared
+
+    direct = shared(pairs.select(F.col(child).alias("node"), F.col(parent).alias("ancestor")).distinct(), "closure-direct")
     nodes = direct.select("node").union(direct.select("ancestor")).distinct()
-    out = nodes.select("node", F.col("node").alias("ancestor"))
-    grown, before = out, 0
+    fresh = shared(nodes.select("node", F.col("node").alias("ancestor")), "closure")
+    found = fresh
+    step = direct.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("next"))
     for _ in range(max_depth):
-        grown = out.join(direct.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("next")), "ancestor").select("node", F.col("next").alias("ancestor")).union(out).distinct()
-        n = grown.count()
-        if n == before:
-            return grown
-        out, before = grown, n
+        reached = fresh.join(step, "ancestor").select("node", F.col("next").alias("ancestor")).distinct()
+        fresh = shared(reached.join(found, ["node", "ancestor"], "left_anti"), "closure")
+        if fresh.isEmpty():
+            return found
+        found = found.unionByName(fresh)
     raise ValueError("the taxonomy is deeper than max_depth")

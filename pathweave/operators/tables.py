@@ -49,11 +49,15 @@ def page_amplification(edges: DataFrame, sizes: list[int]) -> DataFrame:
 
 
 def bounded_collect(edges: DataFrame, n: int) -> DataFrame:
-    """The first n distinct targets of each key in order, and how many did not fit. Only n + the count are kept per key."""
+    """The first n distinct targets of each key in order, and how many did not fit.
+
+    Each task keeps at most n targets of a key before the exchange (a window group limit); the rest of a key is only counted.
+    """
     t = edges.select("source", "relation", "target").distinct()
-    t = t.withColumn("r", F.row_number().over(W.partitionBy("source", "relation").orderBy("target")))
-    counts = t.groupBy("source", "relation").agg(F.count("*").alias("n"), F.collect_list(F.when(F.col("r") <= n, F.struct("r", "target"))).alias("kept"))
-    return counts.select("source", "relation", F.transform(F.array_sort("kept"), lambda x: x["target"]).alias("targets"), F.greatest(F.lit(0), F.col("n") - n).cast("long").alias("overflow"))
+    first = t.withColumn("r", F.row_number().over(W.partitionBy("source", "relation").orderBy("target"))).where(F.col("r") <= n)
+    kept = first.groupBy("source", "relation").agg(F.array_sort(F.collect_list("target")).alias("targets"))
+    counts = t.groupBy("source", "relation").agg(F.count("*").alias("n"))
+    return counts.join(kept, ["source", "relation"]).select("source", "relation", "targets", F.greatest(F.lit(0), F.col("n") - n).cast("long").alias("overflow"))
 
 
 def first_n(edges: DataFrame, n: int, order=("target",)) -> DataFrame:
@@ -62,26 +66,86 @@ def first_n(edges: DataFrame, n: int, order=("target",)) -> DataFrame:
     return edges.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n)
 
 
+def running_totals(rows: DataFrame, groups: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """Adds the sum of ``value`` over the rows before each row of its group, in a total order, without a group in one task.
+
+    Rows go into ranges of (groups, order); the sums of each (group, range) are added up by a window over that small table,
+    and within a range by a window of its own.
+    """
+    from ..streaming.store import shared
+
+    ranged = rows.withColumn("_v", value.cast("long")).repartitionByRange(*groups, *order).sortWithinPartitions(*groups, *order).withColumn("_p", F.spark_partition_id())
+    # the range of a row must be the same in both uses
+    ranged = shared(ranged, "ranges")
+    # one row for each range, and one more for each group that begins within one
+    sums = ranged.groupBy(*groups, "_p").agg(F.sum("_v").alias("_n"))
+    before = W.partitionBy(*groups).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sums.select(*groups, "_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    inside = W.partitionBy(*groups, "_p").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    local = ranged.withColumn("_l", F.coalesce(F.sum("_v").over(inside), F.lit(0)))
+    return local.join(offsets, [*groups, "_p"]).withColumn(name, F.col("_l") + F.col("_o")).drop("_p", "_v", "_l", "_o")
+
+
 def pages(edges: DataFrame, size: int) -> DataFrame:
     """Slots and pages in key order; bases are running sums of pages over keys within an owner, page 0 reserved."""
-    keys = edges.groupBy("owner", "source", "relation").agg(F.count("*").alias("n"))
-    w = W.partitionBy("owner").orderBy("source", "relation").rowsBetween(W.unboundedPreceding, -1)
-    return keys.select("owner", "source", "relation", F.ceil(F.col("n") / size).cast("long").alias("page_count"), (1 + F.coalesce(F.sum(F.ceil(F.col("n") / size)).over(w), F.lit(0))).cast("long").alias("page_base"))
+    keys = edges.groupBy("owner", "source", "relation").agg(F.ceil(F.count("*") / size).cast("long").alias("page_count"))
+    based = running_totals(keys, ["owner"], ["source", "relation"], F.col("page_count"), "before")
+    return based.select("owner", "source", "relation", "page_count", (1 + F.col("before")).alias("page_base"))
+
+
+def positional_scores(edges: DataFrame, cycle: int = 9) -> DataFrame:
+    """1 + position of the source among its owner's sources, modulo ``cycle``."""
+    places = running_totals(edges.select("owner", "source").distinct(), ["owner"], ["source"], F.lit(1), "place")
+    return edges.join(places, ["owner", "source"]).withColumn("positional", (1 + F.col("place") % cycle).cast("int")).drop("place")
 
 
 def contiguous_ids(rows: DataFrame, order: list[str], name: str = "id") -> DataFrame:
-    """1, 2, 3 ... in a total order without bringing all rows to one task: ranges, their counts, then offsets.
+    """1, 2, 3 ... in a total order without bringing all rows to one task: ranges, their counts, then offsets."""
+    return running_totals(rows.withColumn("_all", F.lit(0)), ["_all"], order, F.lit(1), name).withColumn(name, F.col(name) + 1).drop("_all")
 
-    The offsets are a table with one row for each range, summed by a window over that table only.
-    """
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    # the range of a row must be the same in both uses
-    from ..streaming.store import shared
 
-    ranged = shared(ranged, "ids")
-    offsets = ranged.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_o", F.sum("_n").over(W.orderBy("_p")) - F.col("_n")).drop("_n")
-    local = F.row_number().over(W.partitionBy("_p").orderBy(*order))
-    return ranged.withColumn("_r", local).join(F.broadcast(offsets), "_p").withColumn(name, (F.col("_r") + F.col("_o")).cast("long")).drop("_p", "_r", "_o")
+def coverage(rows: DataFrame) -> DataFrame:
+    """(id, answer, got, gold) -> how many ids have gold answers, how many got exactly these, and the mean share of gold answers got."""
+    each = rows.groupBy("id", "answer").agg(F.max("got").alias("got"), F.max("gold").alias("gold"))
+    count = lambda c: F.sum(c.cast("int"))
+    x = each.groupBy("id").agg(count(F.col("got")).alias("n_got"), count(F.col("gold")).alias("n_gold"), count(F.col("got") & F.col("gold")).alias("both")).where("n_gold > 0 AND n_got > 0")
+    exact = (F.col("n_got") == F.col("n_gold")) & (F.col("both") == F.col("n_gold"))
+    return x.agg(F.count("*").alias("n"), F.sum(exact.cast("int")).cast("long").alias("exact"), F.round(F.avg(F.col("both") / F.col("n_gold")), 9).alias("coverage"))
+
+
+def table_digest(rows: DataFrame, by: list[str]) -> DataFrame:
+    """for each group its rows and the sum, modulo 2^61 - 1, of the first 15 digits of the SHA-256 of each row as canonical JSON:
+    equal for equal rows in any order, and summed within tasks first."""
+    h = F.conv(F.substring(F.sha2(F.to_json(F.struct(*sorted(rows.columns))), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    prime = F.lit(str((1 << 61) - 1)).cast("decimal(20,0)")
+    return rows.select(*by, h.alias("_h")).groupBy(*by).agg(F.count("*").alias("n"), (F.sum("_h") % prime).cast("long").alias("digest"))
+
+
+def induced_subgraph(edges: DataFrame, nodes: int) -> DataFrame:
+    """The edges (source, relation, target) among ``nodes`` chosen nodes. Nodes are taken by falling number of edges, then by name,
+    each with all its neighbours, where these still fit; then by name alone.
+
+    The choice is sequential, so it runs in the driver, over neighbour lists no longer than ``nodes`` that come one by one; what is held is the chosen set.
+    """
+    ends = edges.select(F.col("source").alias("node"), F.col("target").alias("other")).union(edges.select("target", "source"))
+    degree = ends.groupBy("node").agg(F.count("*").alias("edges"))
+    near = ends.distinct().withColumn("r", F.row_number().over(W.partitionBy("node").orderBy("other"))).where(F.col("r") <= nodes + 1)
+    lists = near.groupBy("node").agg(F.collect_list("other").alias("near")).where(F.size("near") <= nodes)
+    chosen: set[str] = set()
+    for r in degree.join(lists, "node").orderBy(F.desc("edges"), "node").toLocalIterator():
+        new = {r["node"], *r["near"]} - chosen
+        if len(chosen) + len(new) <= nodes:
+            chosen |= new
+        if len(chosen) == nodes:
+            break
+    if len(chosen) < nodes:
+        for r in degree.select("node").orderBy("node").limit(2 * nodes).toLocalIterator():
+            if len(chosen) < nodes:
+                chosen.add(r["node"])
+    kept = edges.sparkSession.createDataFrame([(n,) for n in sorted(chosen)], "node string")
+    for c in ("source", "target"):
+        edges = edges.join(F.broadcast(kept), F.col(c) == F.col("node"), "left_semi")
+    return edges.select("source", "relation", "target")
 
 
 def low_score_topk(candidates: DataFrame, k: int) -> DataFrame:

@@ -135,13 +135,19 @@ def j12(s, d):
     return P.support(P.chain(e, ["placed_by", "in_nation", "in_region"], start)).withColumn("path", F.array_join("path", ">"))
 
 
-@query("J13_cycle_pattern", GRAPH + "SELECT o.source AS \"order\", c.source AS customer, s.source AS supplier, n.target AS region FROM edges o JOIN edges c ON o.target = c.source AND c.relation = 'in_nation' JOIN edges p ON o.source = p.source AND p.relation = 'supplied_by' JOIN edges s ON p.target = s.source AND s.relation = 'supplier_in_nation' AND s.target = c.target JOIN edges n ON c.target = n.source AND n.relation = 'in_region' WHERE o.relation = 'placed_by'")
+_J13 = """, bought AS MATERIALIZED (SELECT o.source AS "order", c.source AS customer, c.target AS nation FROM edges o JOIN edges c ON o.target = c.source WHERE o.relation = 'placed_by' AND c.relation = 'in_nation'),
+sold AS MATERIALIZED (SELECT p.source AS "order", s.source AS supplier, s.target AS nation FROM edges p JOIN edges s ON p.target = s.source WHERE p.relation = 'supplied_by' AND s.relation = 'supplier_in_nation'),
+closed AS MATERIALIZED (SELECT "order", customer, supplier, nation FROM bought JOIN sold USING ("order", nation))
+SELECT "order", customer, supplier, n.target AS region FROM closed JOIN edges n ON n.source = nation AND n.relation = 'in_region'"""
+
+
+@query("J13_cycle_pattern", GRAPH + _J13)
 def j13(s, d):
     """A pattern with a cycle: an order whose customer and supplier share a nation. The closing edge is one more equality."""
     e = G.edges(s, d)
     pick = lambda r, a, b: rel(e, r).select(F.col("source").alias(a), F.col("target").alias(b))
     out = pick("placed_by", "order", "customer").join(pick("in_nation", "customer", "nation"), "customer")
-    out = out.join(pick("supplied_by", "order", "supplier"), "order").join(pick("supplier_in_nation", "supplier", "nation"), ["supplier", "nation"])
+    out = out.join(pick("supplied_by", "order", "supplier").join(pick("supplier_in_nation", "supplier", "nation"), "supplier"), ["order", "nation"])
     return out.join(pick("in_region", "nation", "region"), "nation").select("order", "customer", "supplier", "region")
 
 
@@ -182,12 +188,15 @@ def j18(s, d):
     return p.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy("edges"))).where("r <= 5").select("query_id", "mid", "target", "edges")
 
 
-@query("J19_record_pairs", GRAPH + ", l AS (SELECT source, target, row_number() OVER (PARTITION BY source ORDER BY target) - 1 AS i FROM edges WHERE relation = 'in_region_inverse'), r AS (SELECT source, target, row_number() OVER (PARTITION BY source ORDER BY target) - 1 AS j FROM edges WHERE relation = 'supplier_in_nation_inverse') SELECT l.source, l.target AS mid, r.target, CAST(i * 64 + j AS BIGINT) AS slot FROM l JOIN r ON l.target = r.source WHERE i < 64 AND j < 64")
+@query("J19_record_pairs", GRAPH + ", l AS (SELECT source, target, row_number() OVER (PARTITION BY source ORDER BY target) - 1 AS i FROM edges WHERE relation = 'in_region_inverse'), r AS (SELECT source, target, row_number() OVER (PARTITION BY source ORDER BY target) - 1 AS j FROM edges WHERE relation = 'supplier_in_nation_inverse') SELECT l.source, l.target AS mid, r.target, CAST(i * 1048576 + j AS BIGINT) AS slot FROM l JOIN r ON l.target = r.source")
 def j19(s, d):
+    """Slots of record pairs: 2^20 for each left record. A key with more records fails instead of losing some."""
     e = G.edges(s, d)
-    slot = lambda r, n: rel(e, r).select("source", "target", (F.row_number().over(W.partitionBy("source").orderBy("target")) - 1).alias(n)).where(F.col(n) < 64)
+    place = F.row_number().over(W.partitionBy("source").orderBy("target")) - 1
+    whole = F.when(place < 1 << 20, place).otherwise(F.raise_error(F.lit("a key has over 2^20 records")).cast("int"))
+    slot = lambda r, n: rel(e, r).select("source", "target", whole.alias(n))
     a, b = slot("in_region_inverse", "i").alias("l"), slot("supplier_in_nation_inverse", "j").alias("r")
-    return a.join(b, F.col("l.target") == F.col("r.source")).select("l.source", F.col("l.target").alias("mid"), "r.target", (F.col("i") * 64 + F.col("j")).cast("long").alias("slot"))
+    return a.join(b, F.col("l.target") == F.col("r.source")).select("l.source", F.col("l.target").alias("mid"), "r.target", (F.col("i").cast("long") * (1 << 20) + F.col("j")).alias("slot"))
 
 
 @query("J20_gold_paths", GRAPH + ORDER_PATHS + ", answers AS (SELECT DISTINCT query_id, target FROM paths WHERE target IN ('nation:1', 'nation:2', 'nation:3')) SELECT query_id, min(mid) AS mid, min(p.target) AS answer FROM paths p JOIN answers USING (query_id, target) WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.source = p.query_id AND e.target = p.target) GROUP BY query_id")
@@ -242,6 +251,14 @@ def p2(s, d):
     return G.edges(s, d).where("source = 'region:0' AND relation = 'in_region_inverse'").select("owner", "target", "evidence", "score")
 
 
+@query("P3_second_hop_filter", GRAPH + ", front AS (SELECT target AS entity FROM edges WHERE source = 'region:1' AND relation = 'in_region_inverse') SELECT owner, source, target, evidence FROM edges WHERE relation = 'supplier_in_nation_inverse' AND source IN (SELECT entity FROM front)")
+def p3(s, d):
+    """Edges of the second relation whose source the first hop reached."""
+    e = G.edges(s, d)
+    front = e.where("source = 'region:1' AND relation = 'in_region_inverse'").select(F.col("target").alias("source"))
+    return rel(e, "supplier_in_nation_inverse").join(front, "source", "left_semi").select("owner", "source", "target", "evidence")
+
+
 @query("P4_optional_target", GRAPH + ", q AS (SELECT * FROM (VALUES ('region:0', NULL), ('region:1', 'nation:1'), ('region:2', 'nation:0')) t(source, wanted)) SELECT q.source, e.target FROM q JOIN edges e ON e.source = q.source AND e.relation = 'in_region_inverse' WHERE q.wanted IS NULL OR q.wanted = e.target")
 def p4(s, d):
     q = s.createDataFrame([("region:0", None), ("region:1", "nation:1"), ("region:2", "nation:0")], "source string, wanted string")
@@ -267,10 +284,9 @@ def p10(s, d):
 
 for _strategy, _expr in (("subject", "head"), ("edge", "concat_ws(chr(31), head, forward, tail)"), ("relation_domain", "split_part(forward, '_', 1)")):
 
-    @query(f"P11_owner_{_strategy}" if _strategy == "relation_domain" else f"P11_owner_{_strategy}_hash", GRAPH + f"SELECT source, relation, target, 'o' || {bucket(_expr, 5)} AS owner FROM edges WHERE relation IN ('in_nation', 'in_nation_inverse', 'in_region')")
+    @query(f"P11_owner_{_strategy}" if _strategy == "relation_domain" else f"P11_owner_{_strategy}_hash", GRAPH + f"SELECT source, relation, target, 'o' || {bucket(_expr, 5)} AS owner FROM edges")
     def p11(s, d, strategy=_strategy):
-        t = G.with_inverses(G.triples(s, d)).where("relation IN ('in_nation', 'in_nation_inverse', 'in_region')")
-        return t.withColumn("owner", G.owner_by(strategy, 5))
+        return G.with_inverses(G.triples(s, d)).withColumn("owner", G.owner_by(strategy, 5))
 
 
 @query("P12_domain", GRAPH + "SELECT DISTINCT relation, regexp_replace(replace(relation, '_', '.'), '[.][^.]*$', '') AS domain, split_part(relation, '_', 1) AS first FROM edges")
@@ -317,11 +333,14 @@ def p17(s, d):
     return x.groupBy(F.substring(F.sha2("x", 256), 1, 4).alias("prefix")).agg(F.count("*").alias("ids")).where("ids > 1")
 
 
-@query("P18_handle_resolve", GRAPH + "SELECT evidence, source, relation, target FROM edges WHERE relation = 'in_region' AND evidence % 2 = 0")
+@query("P18_handle_resolve", GRAPH + ORDER_PATHS + "SELECT query_id, a.source, a.relation AS relation_1, a.target AS mid, b.relation AS relation_2, b.target FROM paths JOIN edges a ON a.evidence = left_evidence JOIN edges b ON b.evidence = right_evidence")
 def p18(s, d):
+    """The handles of all order paths, as edges again; the handles of a relation are looked for among its edges."""
     e = G.edges(s, d)
-    wanted = rel(e, "in_region").where("evidence % 2 = 0").select("evidence")
-    return wanted.join(e, "evidence").select("evidence", "source", "relation", "target")
+    side = lambda r, c, n: rel(e, r).select(F.col("evidence").alias(c), F.col("source").alias(f"s_{n}"), F.col("relation").alias(f"relation_{n}"), F.col("target").alias(f"t_{n}"))
+    p = order_paths(s, d).select("query_id", "left_evidence", "right_evidence")
+    out = p.join(side("placed_by", "left_evidence", 1), "left_evidence").join(side("in_nation", "right_evidence", 2), "right_evidence")
+    return out.select("query_id", F.col("s_1").alias("source"), "relation_1", F.col("t_1").alias("mid"), "relation_2", F.col("t_2").alias("target"))
 
 
 @query("P20_prioritised_cap", GRAPH + ", x AS (SELECT *, CASE WHEN relation = 'in_region_inverse' THEN 0 WHEN relation = 'in_nation_inverse' THEN 1 ELSE 2 END AS p FROM edges) SELECT owner, source, relation, target FROM (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY p, source, relation, target) AS r FROM x) WHERE r <= 100")

@@ -15,14 +15,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import TYPE_ALIASES
 from ..sources.graph import INVERSE
 
 Triple = tuple[str, str, str]
 
 #: Relations that state a type.
 TYPE_RELATIONS = {"frontier": ("is a", "is_a", "type", "instance of", "has type")}
-#: Plural and person words of a type, by its canonical name.
-TYPE_ALIASES = {"film": "movie", "films": "movie", "movies": "movie", "person": "actor", "people": "actor", "actors": "actor"}
 
 
 def is_variable(label: str, mode: str = "contains") -> bool:
@@ -100,15 +99,15 @@ class Hops:
 
 
 def two_hops(graph: list[Triple]) -> Hops:
-    """F16: a graph of two edges as source, relation, relation; edges walked backwards take the inverse relation. Of two possible
-    directions the one whose first hop goes forward is taken."""
+    """F16: a graph of two edges as source, relation, relation; edges walked backwards take the inverse relation. The far end may be
+    a constant or a variable other than the middle. Of two possible directions the one whose first hop goes forward is taken."""
     if len(graph) != 2:
         raise ValueError("two edges are needed")
     tries = []
     for a, b in ((graph[0], graph[1]), (graph[1], graph[0])):
         for first in ((a[0], a[1], a[2]), (a[2], inverse(a[1]), a[0])):
             for second in ((b[0], b[1], b[2]), (b[2], inverse(b[1]), b[0])):
-                if not is_variable(first[0]) and is_variable(first[2]) and first[2] == second[0] and is_variable(second[2]):
+                if not is_variable(first[0]) and is_variable(first[2]) and first[2] == second[0] and second[2] != second[0]:
                     tries.append(Hops(first[0], first[1], second[1]))
     if not tries:
         raise ValueError("not a chain from a constant over two variables")
@@ -144,9 +143,12 @@ def match(graph: list[Triple], edges: DataFrame, distinct_nodes: bool = False) -
                 names.setdefault(n, f"v{len(names)}")
     todo = list(graph)
     todo.sort(key=lambda e: is_variable(e[0]) and is_variable(e[2]))
-    out, bound = None, set()
+    out, bound, constants = None, set(), set()
     while todo:
-        i = next((i for i, (s, _, t) in enumerate(todo) if out is None or s in bound or t in bound or not (is_variable(s) and is_variable(t))), None)
+        shares = lambda e: any(n in bound for n in (e[0], e[2]) if is_variable(n))
+        meets = lambda e: any(n in constants for n in (e[0], e[2]))
+        # edges with a bound variable first, so that parts which meet in a constant only are joined when nothing else is left
+        i = next((i for test in (shares, meets) for i, e in enumerate(todo) if out is None or test(e)), None)
         if i is None:
             raise ValueError("the pattern is in several parts")
         s, r, t = todo.pop(i)
@@ -156,20 +158,21 @@ def match(graph: list[Triple], edges: DataFrame, distinct_nodes: bool = False) -
                 e = e.where(F.col(c) == n)
         if s == t and is_variable(s):
             e = e.where("source = target")
-        cols = list(dict.fromkeys((names[n], c) for c, n in (("source", s), ("target", t)) if is_variable(n)))
         seen: dict[str, str] = {}
-        for name, c in cols:
-            seen.setdefault(name, c)
+        for c, n in (("source", s), ("target", t)):
+            if is_variable(n):
+                seen.setdefault(names[n], c)
         e = e.select(*(F.col(c).alias(name) for name, c in seen.items()), F.col("score").cast("long").alias("s"))
-        shared = [n for n in seen if n in bound]
+        on = [names[n] for n in dict.fromkeys((s, t)) if n in bound]
         if out is None:
             out = e.withColumnRenamed("s", "score")
+        elif on:
+            out = out.join(e, on).withColumn("score", F.col("score") + F.col("s")).drop("s")
         else:
-            # parts without a common variable meet only through constants, whose bindings are one query's
-            joined = out.join(e, shared) if shared else out.join(e)
-            out = joined.withColumn("score", F.col("score") + F.col("s")).drop("s")
-        bound |= set(seen)
-        bound |= {n for n in (s, t) if is_variable(n)}
+            # both sides hang on one constant: all combinations of their bindings are the answer itself
+            out = out.crossJoin(e).withColumn("score", F.col("score") + F.col("s")).drop("s")
+        for n in (s, t):
+            (bound if is_variable(n) else constants).add(n)
     if distinct_nodes and len(names) > 1:
         cols = F.array(*names.values())
         out = out.where(F.size(F.array_distinct(cols)) == len(names))
@@ -203,23 +206,38 @@ def classify_sparql(text: str) -> str:
     return "two_hop"
 
 
-#: Question words that stand for a relation, looked for in this order.
-QUESTION_TEMPLATES = (("acted", "starred_actors"), ("actor", "starred_actors"), ("star", "starred_actors"), ("direct", "directed_by"), ("wrote", "written_by"), ("writer", "written_by"), ("language", "in_language"), ("genre", "has_genre"), ("type", "has_genre"), ("year", "release_year"), ("when", "release_year"))
-
-
-def relation_of_phrase(text: str) -> str | None:
-    """the first template that the phrase contains."""
-    low = text.lower()
-    return next((r for word, r in QUESTION_TEMPLATES if word in low), None)
-
-
 #: Fixed value: the functions of a two-relation program, in order.
 PROGRAM_SHAPE = ("Find", "Relate", "FilterConcept", "Relate", "FilterConcept", "What")
 
 
+#: Fixed value: how many inputs each of them has.
+PROGRAM_INPUTS = (1, 2, 1, 2, 1, 0)
+
+
+def program_rejection(program) -> str | None:
+    """why a program is no chain of two relations; None for one that is."""
+    if not isinstance(program, list):
+        return "program_not_list"
+    if not all(isinstance(p, dict) for p in program):
+        return "program_step_not_object"
+    functions = tuple(p.get("function") for p in program)
+    if functions != PROGRAM_SHAPE:
+        for name, count in (("Relate", 2), ("Find", 1)):
+            if functions.count(name) != count:
+                return f"{'relate' if name == 'Relate' else 'anchor'}_count:{functions.count(name)}"
+        return "unsupported_operator_or_shape" if functions[-1] == "What" else f"terminal:{functions[-1]}"
+    if any(p.get("dependencies") != ([i - 1] if i else []) for i, p in enumerate(program)):
+        return "not_single_dependency_chain"
+    for p, n in zip(program, PROGRAM_INPUTS, strict=True):
+        if not isinstance(p.get("inputs"), list) or len(p["inputs"]) != n:
+            return f"bad_inputs:{p['function']}"
+    if any(p["inputs"][1] not in ("forward", "backward") for p in program if p["function"] == "Relate"):
+        return "bad_relation_direction"
+    return None
+
+
 def is_chain_program(program: list[dict]) -> bool:
-    """the shape, and that each step depends on the one before."""
-    return tuple(p["function"] for p in program) == PROGRAM_SHAPE and all(p["dependencies"] == ([] if i == 0 else [i - 1]) for i, p in enumerate(program))
+    return program_rejection(program) is None
 
 
 def graph_from_text(text: str) -> list[Triple]:

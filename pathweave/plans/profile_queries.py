@@ -127,9 +127,7 @@ def a16(s, d):
 @query("A17_exact_match", GRAPH + ", r AS (SELECT source AS id, list_distinct(list(target)) AS got FROM edges WHERE relation = 'has_part' GROUP BY source), g AS (SELECT source AS id, list_distinct(list(target)) AS gold FROM edges WHERE relation = 'has_part' AND score > 3 GROUP BY source) SELECT count(*) AS n, CAST(sum(CAST(len(got) = len(gold) AND len(list_intersect(got, gold)) = len(gold) AS INTEGER)) AS BIGINT) AS exact, round(avg(len(list_intersect(got, gold)) / len(gold)), 9) AS coverage FROM r JOIN g USING (id)")
 def a17(s, d):
     e = rel(G.edges(s, d), "has_part")
-    x = e.groupBy("source").agg(F.collect_set("target").alias("got"), F.collect_set(F.when(F.col("score") > 3, F.col("target"))).alias("gold")).where(F.size("gold") > 0)
-    both = F.size(F.array_intersect("got", "gold"))
-    return x.agg(F.count("*").alias("n"), F.sum(((F.size("got") == F.size("gold")) & (both == F.size("gold"))).cast("int")).cast("long").alias("exact"), F.round(F.avg(both / F.size("gold")), 9).alias("coverage"))
+    return O.coverage(e.select(F.col("source").alias("id"), F.col("target").alias("answer"), F.lit(True).alias("got"), (F.col("score") > 3).alias("gold")))
 
 
 @query("A18_latency", "SELECT event_type, round(avg(value), 6) AS mean, (list(value ORDER BY value))[CAST(round_even(0.5 * (count(value) - 1), 0) AS BIGINT) + 1] AS p50, (list(value ORDER BY value))[CAST(round_even(0.95 * (count(value) - 1), 0) AS BIGINT) + 1] AS p95 FROM events GROUP BY event_type")
@@ -222,8 +220,7 @@ def w5(s, d):
 
 @query("W6_positional_score", GRAPH + "SELECT owner, source, CAST(1 + (dense_rank() OVER (PARTITION BY owner ORDER BY source) - 1) % 9 AS INTEGER) AS positional FROM edges WHERE relation = 'in_nation'")
 def w6(s, d):
-    e = rel(G.edges(s, d), "in_nation")
-    return e.select("owner", "source", (1 + (F.dense_rank().over(W.partitionBy("owner").orderBy("source")) - 1) % 9).alias("positional"))
+    return O.positional_scores(rel(G.edges(s, d), "in_nation")).select("owner", "source", "positional")
 
 
 @query("W7_round_robin", GRAPH + ", x AS (SELECT source, relation, target, row_number() OVER (PARTITION BY relation ORDER BY evidence) AS rn FROM edges) SELECT source, relation, target FROM x ORDER BY rn, relation LIMIT 50")
@@ -291,6 +288,31 @@ def l8(s, d):
     return rel(e, "placed_by_inverse").join(o, "target").orderBy("degree", "source", "target").limit(25).select("source", "target", "degree")
 
 
+_L8 = ", o AS (SELECT source, count(*) AS degree FROM edges GROUP BY source), f AS (SELECT relation, count(*) AS selectivity FROM edges GROUP BY relation)"
+
+
+@query("L8_selectivity_scorer", GRAPH + _L8 + ", p AS (SELECT a.source AS query_id, a.target AS mid, b.relation, b.target FROM edges a JOIN edges b ON a.target = b.source WHERE a.relation = 'in_region_inverse' AND b.relation IN ('in_nation_inverse', 'supplier_in_nation_inverse')) SELECT query_id, mid, relation, p.target, CAST(rank AS INTEGER) AS rank FROM (SELECT p.*, row_number() OVER (PARTITION BY query_id ORDER BY selectivity, degree, mid, relation, p.target) AS rank FROM p JOIN f USING (relation) JOIN o ON o.source = p.target) p WHERE rank <= 5")
+def l8_selectivity(s, d):
+    """Paths by how rare the second relation is, then by the degree of the end."""
+    e = G.edges(s, d)
+    first = rel(e, "in_region_inverse").select(F.col("source").alias("query_id"), F.col("target").alias("mid"))
+    second = e.where("relation IN ('in_nation_inverse', 'supplier_in_nation_inverse')").select(F.col("source").alias("mid"), "relation", "target")
+    degree = e.groupBy(F.col("source").alias("target")).agg(F.count("*").alias("degree"))
+    rare = e.groupBy("relation").agg(F.count("*").alias("selectivity"))
+    p = first.join(second, "mid").join(rare, "relation").join(degree, "target")
+    return P.ranked(p, 5, [(c, True) for c in ("selectivity", "degree", "mid", "relation", "target")]).select("query_id", "mid", "relation", "target", "rank")
+
+
+@query("L8_positional_scorer", GRAPH + ", a AS (SELECT source, target, row_number() OVER (PARTITION BY source ORDER BY target) - 1 AS i FROM edges WHERE relation = 'in_region_inverse'), b AS (SELECT source, target, row_number() OVER (PARTITION BY source ORDER BY target) - 1 AS j FROM edges WHERE relation = 'supplier_in_nation_inverse') SELECT query_id, mid, target, CAST(rank AS INTEGER) AS rank FROM (SELECT a.source AS query_id, a.target AS mid, b.target, row_number() OVER (PARTITION BY a.source ORDER BY (i * 31 + j) % 9 DESC, i * 31 + j, a.target, b.target) AS rank FROM a JOIN b ON a.target = b.source) WHERE rank <= 5")
+def l8_positional(s, d):
+    """Paths by the synthetic score of their position: 1 + position modulo 9, the highest first."""
+    e = G.edges(s, d)
+    at = lambda r, n: rel(e, r).select("source", "target", (F.row_number().over(W.partitionBy("source").orderBy("target")) - 1).alias(n))
+    a = at("in_region_inverse", "i").select(F.col("source").alias("query_id"), F.col("target").alias("mid"), "i")
+    p = a.join(at("supplier_in_nation_inverse", "j").withColumnRenamed("source", "mid"), "mid").withColumn("position", F.col("i") * 31 + F.col("j")).withColumn("late", F.col("position") % 9)
+    return P.ranked(p, 5, [("late", False), ("position", True), ("mid", True), ("target", True)]).select("query_id", "mid", "target", "rank")
+
+
 @query("L9_topk_sweep", GRAPH + REGION_PATHS + f", r AS (SELECT query_id, min(rank) AS best FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {RANK}) AS rank FROM paths) WHERE left_evidence % 7 = 0 AND right_evidence % 5 = 0 GROUP BY query_id) SELECT CAST(k AS INTEGER) AS k, count(*) AS n, CAST(sum(CAST(best <= k AS INTEGER)) AS BIGINT) AS hits FROM r, (SELECT unnest([4, 8, 16, 32]) AS k) GROUP BY k")
 def l9(s, d):
     r = P.ranked(region_paths(s, d), None).where("left_evidence % 7 = 0 AND right_evidence % 5 = 0").groupBy("query_id").agg(F.min("rank").alias("best"))
@@ -392,17 +414,6 @@ def v11(s, d):
 # ---- functions ---------------------------------------------------------------------------------------------------------
 
 
-@query("F1_normalise", "SELECT p_partkey, regexp_replace(trim(lower('  ' || p_name || '   X')), '\\s+', ' ', 'g') AS label FROM part")
-def f1(s, d):
-    return G.table(s, d, "part").select("p_partkey", X.normalize_text(F.concat(F.lit("  "), "p_name", F.lit("   X"))).alias("label"))
-
-
-@query("F2_unknown", "SELECT p_partkey, contains(x, 'UNKNOWN') AS variable FROM (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'UNKNOWN part ' || p_partkey ELSE p_name END AS x FROM part)")
-def f2(s, d):
-    x = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("UNKNOWN part "), "p_partkey")).otherwise(F.col("p_name"))
-    return G.table(s, d, "part").select("p_partkey", X.is_unknown(x).alias("variable"))
-
-
 _PAD_KEY = b"graph key".ljust(64, b"\0")
 _IN, _OUT = (bytes(b ^ m for b in _PAD_KEY).hex() for m in (0x36, 0x5C))
 
@@ -418,63 +429,26 @@ def f4(s, d):
     return G.table(s, d, "part").select("p_partkey", X.projection_64(h).alias("prefix"), X.limbs(h)[1].alias("limb"))
 
 
-@query("F5_relation_buckets", "SELECT p_partkey, array_to_string(list_distinct_ordered, ' ') AS buckets FROM (SELECT p_partkey, list_transform(list_filter(range(1, len(w) + 1), lambda i: list_position(w, w[i]) = i), lambda i: 'tok:' || w[i]) || list_transform(list_filter(range(1, len(w)), lambda i: list_position(list_transform(range(1, len(w)), lambda j: w[j] || '_' || w[j + 1]), w[i] || '_' || w[i + 1]) = i), lambda i: 'bigram:' || w[i] || '_' || w[i + 1]) AS list_distinct_ordered FROM (SELECT p_partkey, regexp_extract_all(lower(p_type), '[a-z0-9]+') AS w FROM part))")
-def f5(s, d):
-    return G.table(s, d, "part").select("p_partkey", F.array_join(X.relation_buckets(F.col("p_type")), " ").alias("buckets"))
-
-
-@query("F6_entity_buckets", "SELECT p_partkey, array_to_string(list_sort(list_distinct(list_transform(w, lambda t: 'tok:' || t) || list_transform(range(1, len(w)), lambda i: 'bigram:' || w[i] || '_' || w[i + 1]))), ' ') AS buckets FROM (SELECT p_partkey, list_filter(regexp_extract_all(lower('the ' || p_name), '[a-z0-9]+'), lambda t: t NOT IN ('a', 'an', 'the')) AS w FROM part)")
-def f6(s, d):
-    return G.table(s, d, "part").select("p_partkey", F.array_join(X.entity_buckets(F.concat(F.lit("the "), "p_name")), " ").alias("buckets"))
-
-
-@query("F9_l2", "WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(sqrt(list_sum(list_transform(range(1, len(embedding) + 1), lambda i: (embedding[i]::DOUBLE - v[i]::DOUBLE) * (embedding[i]::DOUBLE - v[i]::DOUBLE)))), 6) AS distance FROM embeddings, q")
-def f9(s, d):
-    e = G.table(s, d, "embeddings")
-    one = e.where("vec_id = 0").select(F.col("embedding").alias("v"))
-    return e.join(F.broadcast(one)).select("vec_id", F.round(X.l2_distance(F.col("embedding"), F.col("v")), 6).alias("distance"))
-
-
-@query("F14_bucket_vote", "WITH b AS (SELECT p_brand, unnest(list_distinct(regexp_extract_all(lower(p_type), '[a-z0-9]+'))) AS tok FROM part), c AS (SELECT tok, p_brand, count(*) AS n FROM b GROUP BY ALL) SELECT tok, p_brand AS best, n FROM (SELECT *, row_number() OVER (PARTITION BY tok ORDER BY n DESC, p_brand) AS r FROM c) WHERE r = 1")
-def f14(s, d):
-    b = G.table(s, d, "part").select("p_brand", F.explode(F.array_distinct(X.tokens(F.col("p_type")))).alias("tok"))
-    c = b.groupBy("tok", "p_brand").agg(F.count("*").alias("n"))
-    return c.groupBy("tok").agg(F.min(F.struct((-F.col("n")).alias("m"), "p_brand")).alias("x")).select("tok", F.col("x.p_brand").alias("best"), (-F.col("x.m")).alias("n"))
-
-
 @query("F22_evidence_contains", "SELECT doc_id, contains(lower(text), 'license') OR contains(lower(text), 'rights') AS hit FROM documents")
 def f22(s, d):
     return G.table(s, d, "documents").select("doc_id", X.evidence_contains(F.col("text"), F.array(F.lit("License"), F.lit("RIGHTS"))).alias("hit"))
 
 
-@query("F24_reused_node", GRAPH + ORDER_PATHS + "SELECT query_id, len(list_distinct([query_id, mid, mid, target])) < 4 AS reused FROM paths")
+@query("F24_reused_node", GRAPH + "SELECT a.source AS first, b.target AS last, count(*) AS paths, a.source = b.target AS reused FROM edges a JOIN edges b ON a.target = b.source WHERE a.relation = 'in_region' AND b.relation = 'in_region_inverse' GROUP BY ALL")
 def f24(s, d):
-    return order_paths(s, d).select("query_id", X.reuses_node(F.array("query_id", "mid", "mid", "target")).alias("reused"))
+    """Paths from nation to nation by their region: those that come back to where they began use a node twice."""
+    p = P.fixed_chain(G.edges(s, d), "in_region", "in_region_inverse")
+    each = p.select(F.col("query_id").alias("first"), F.col("target").alias("last"), X.reuses_node(F.array("query_id", "mid", "target")).alias("reused"))
+    return each.groupBy("first", "last", "reused").agg(F.count("*").alias("paths"))
 
 
-@query("F28_digest", GRAPH + "SELECT relation, sha256(string_agg(evidence::VARCHAR, ',' ORDER BY evidence)) AS digest FROM edges WHERE relation IN ('in_region', 'supplier_in_nation') GROUP BY relation")
-def f28(s, d):
-    e = G.edges(s, d).where("relation IN ('in_region', 'supplier_in_nation')")
-    return e.groupBy("relation").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("evidence")).cast("array<string>"), ","), 256).alias("digest"))
-
-
-@query("F7_embed", None)
-def f7(s, d):
-    return G.table(s, d, "part").select("p_partkey", X.hash_embedding(F.col("p_name"), 16).alias("embedding"))
+_JSON = """'{"evidence":' || evidence || ',"owner":"' || owner || '","relation":"' || relation || '","score":' || score || ',"source":"' || source || '","target":"' || target || '"}'"""
 
 
-@query("F8_simhash", None)
-def f8(s, d):
-    return G.table(s, d, "embeddings").select("vec_id", X.simhash_bands(F.col("embedding"), 64).alias("bands"))
-
-
-@query("F12_routing", None)
-def f12(s, d):
-    """Vectors that share an LSH band with a query vector (every one whose id is divisible by 20), with their distance as the penalty."""
-    v = G.table(s, d, "embeddings").select("vec_id", "embedding", F.explode(X.simhash_bands(F.col("embedding"), 64)).alias("band"))
-    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "band")
-    hit = q.join(v, "band").dropDuplicates(["query_id", "vec_id"])
-    return hit.select("query_id", "vec_id", X.l2_distance(F.col("q"), F.col("embedding")).alias("penalty"))
+@query("F28_digest", GRAPH + f"SELECT relation, count(*) AS n, CAST(sum(('0x' || substr(sha256({_JSON}), 1, 15))::BIGINT::HUGEINT) % 2305843009213693951 AS BIGINT) AS digest FROM edges GROUP BY relation")
+def f28(s, d):
+    """A digest of every relation's edges as canonical JSON, whatever their order."""
+    return O.table_digest(G.edges(s, d), ["relation"])
 
 
 @query("R1_closure", "WITH RECURSIVE up AS (SELECT DISTINCT 'nation:' || n_nationkey AS child, 'region:' || n_regionkey AS parent FROM nation UNION SELECT DISTINCT 'region:' || n_regionkey, 'world' FROM nation), r AS (SELECT child AS node, child AS ancestor FROM up UNION SELECT parent, parent FROM up UNION SELECT r.node, up.parent FROM r JOIN up ON up.child = r.ancestor) SELECT node, ancestor FROM r")

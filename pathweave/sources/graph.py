@@ -1,4 +1,9 @@
-"""The knowledge graph as one edge table: owner, source, relation, target, evidence, score."""
+"""The knowledge graph as one edge table: owner, source, relation, target, evidence, score.
+
+Edges are a union of branches, one for each relation and direction, and each branch names its relation as a literal. So a
+filter on ``relation`` folds to true or false in every branch, and what is left reads the one table that holds that relation.
+``prepare`` stores the finished edges once, by relation and in order of source; ``edges`` then reads that layout.
+"""
 
 from __future__ import annotations
 
@@ -28,13 +33,9 @@ def inverse_of(relation: Column) -> Column:
 
 
 def with_inverses(triples: DataFrame) -> DataFrame:
-    """Every triple and its inverse, from one scan. Other columns ride along."""
-    rest = [c for c in triples.columns if c not in ("source", "relation", "target")]
-    both = F.array(
-        F.struct(F.col("source"), F.col("relation"), F.col("target")),
-        F.struct(F.col("target").alias("source"), inverse_of(F.col("relation")).alias("relation"), F.col("source").alias("target")),
-    )
-    return triples.select(*rest, F.explode(both).alias("t")).select(*rest, "t.source", "t.relation", "t.target")
+    """Every triple and its inverse, as two branches that filters reach. Other columns ride along."""
+    back = {"source": F.col("target"), "relation": inverse_of(F.col("relation")), "target": F.col("source")}
+    return triples.unionByName(triples.select(*(back[c].alias(c) if c in back else F.col(c) for c in triples.columns)))
 
 
 def owner_by(strategy: str, n: int) -> Column:
@@ -51,20 +52,26 @@ def evidence_handle() -> Column:
     return F.conv(F.substring(F.sha2(F.concat_ws("|", "source", "relation", "target"), 256), 1, 12), 16, 10).cast("long") + 1
 
 
+#: Table, kind and key of the source, relation, kind and key of the target, and whether a pair may stand in several rows.
+FACTS = [
+    ("customer", "customer", "c_custkey", "in_nation", "nation", "c_nationkey", False),
+    ("supplier", "supplier", "s_suppkey", "supplier_in_nation", "nation", "s_nationkey", False),
+    ("nation", "nation", "n_nationkey", "in_region", "region", "n_regionkey", False),
+    ("orders", "order", "o_orderkey", "placed_by", "customer", "o_custkey", False),
+    ("lineitem", "order", "l_orderkey", "has_part", "part", "l_partkey", True),
+    ("lineitem", "order", "l_orderkey", "supplied_by", "supplier", "l_suppkey", True),
+    ("events", "user", "user_id", "performed", "event", "event_type", True),
+]
+
+
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forward triples of the star schema, distinct."""
-    t = lambda name: table(spark, sf_dir, name)
+    """Forward triples of the star schema, distinct: primary keys stand once, other pairs are made distinct as plain keys."""
     label = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
-    parts = [
-        ("customer", "customer", "c_custkey", "in_nation", "nation", "c_nationkey"),
-        ("supplier", "supplier", "s_suppkey", "supplier_in_nation", "nation", "s_nationkey"),
-        ("nation", "nation", "n_nationkey", "in_region", "region", "n_regionkey"),
-        ("orders", "order", "o_orderkey", "placed_by", "customer", "o_custkey"),
-        ("lineitem", "order", "l_orderkey", "has_part", "part", "l_partkey"),
-        ("lineitem", "order", "l_orderkey", "supplied_by", "supplier", "l_suppkey"),
-        ("events", "user", "user_id", "performed", "event", "event_type"),
-    ]
-    rows = [t(name).select(label(k1, c1).alias("source"), F.lit(rel).alias("relation"), label(k2, c2).alias("target")).distinct() for name, k1, c1, rel, k2, c2 in parts]
+    rows = []
+    for name, kind_1, key_1, relation, kind_2, key_2, repeats in FACTS:
+        pairs = table(spark, sf_dir, name).select(F.col(key_1).alias("_1"), F.col(key_2).alias("_2"))
+        pairs = pairs.distinct() if repeats else pairs
+        rows.append(pairs.select(label(kind_1, "_1").alias("source"), F.lit(relation).alias("relation"), label(kind_2, "_2").alias("target")))
     return reduce(DataFrame.unionByName, rows)
 
 
@@ -73,8 +80,38 @@ def finish(rows: DataFrame, owners: int = 3, strategy: str = "subject") -> DataF
     return rows.withColumn("owner", owner_by(strategy, owners)).withColumn("evidence", evidence_handle()).withColumn("score", (1 + F.col("evidence") % 9).cast("int")).select([f.name for f in EDGE])
 
 
+def _conf(sf_dir: str) -> str:
+    return f"pathweave.graph.{sf_dir}"
+
+
+def prepare(spark: SparkSession, sf_dir: str, path: str | None = None) -> str:
+    """Stores the whole graph by relation, in order of source, and lets ``edges`` of this session read it. Returns the folder.
+
+    Ranges over (relation, source) split large relations over many files and keep small ones in one; a file's statistics
+    then skip all but the row groups of a wanted source.
+    """
+    if path is None:
+        import uuid
+
+        from ..streaming.store import shared_dir
+
+        path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
+    rows = finish(with_inverses(triples(spark, sf_dir)))
+    rows.repartitionByRange("relation", "source").sortWithinPartitions("relation", "source").write.partitionBy("relation").parquet(path)
+    spark.conf.set(_conf(sf_dir), path)
+    return path
+
+
+def forget(spark: SparkSession, sf_dir: str) -> None:
+    """``edges`` computes from the tables again."""
+    spark.conf.unset(_conf(sf_dir))
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole graph with inverse edges."""
+    """The whole graph with inverse edges: the prepared layout where this session has one, else computed from the tables."""
+    path = spark.conf.get(_conf(sf_dir), None)
+    if path:
+        return spark.read.schema(EDGE).parquet(path).select([f.name for f in EDGE])
     return finish(with_inverses(triples(spark, sf_dir)))
 
 

@@ -16,11 +16,13 @@ ORACLE: dict[str, str] = {}
 
 
 def answer_stream(queries: DataFrame, edges: DataFrame, out: str, checkpoint: str, k: int):
-    """Each micro-batch of queries (query_id, source, relation_1, relation_2) is one batch plan against the static edges.
+    """Each micro-batch of queries (query_id, source, relation_1, relation_2) is one batch plan against the static edges. Returns the started query."""
+    return _answering(queries, edges, out, checkpoint, k).trigger(availableNow=True).start()
 
-    X2 / X3: ids that the sink already holds are left out, and a batch writes to a folder of its own number, so that a batch
-    that is run again after a failure replaces itself. Returns the started query.
-    """
+
+def _answering(queries: DataFrame, edges: DataFrame, out: str, checkpoint: str, k: int):
+    """Ids that the sink already holds are left out, and a batch writes to a folder of its own number, so that a batch
+    that is run again after a failure replaces itself."""
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -32,7 +34,7 @@ def answer_stream(queries: DataFrame, edges: DataFrame, out: str, checkpoint: st
             fresh = fresh.join(done, "query_id", "left_anti")
         P.ranked(P.two_hop(edges, fresh), k).select("query_id", "rank", "mid", "target", "score", F.lit(number).cast("long").alias("batch_number")).write.mode("overwrite").parquet(target)
 
-    return queries.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return queries.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
 RESULT = "query_id string, rank int, mid string, target string, score long, batch_number long"
@@ -70,6 +72,33 @@ def x2_stream_dedup(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/out")
 
 
+REQUEST = "query_id string, source string, relation_1 string, relation_2 string"
+
+
+def serve(spark, requests: str, edges: DataFrame, out: str, checkpoint: str, k: int):
+    """A query that stays: each file of requests (JSON lines) that is moved into the folder is answered as one batch. Returns the started query."""
+    lines = spark.readStream.schema(REQUEST).json(requests)
+    return _answering(lines, edges, out, checkpoint, k).trigger(processingTime="200 milliseconds").start()
+
+
+def x4_request_loop(spark, sf_dir: str) -> DataFrame:
+    """Two lots of requests, of nations with even and odd numbers, to a running loop: each nation's region and the nations in it."""
+    folder = f"{shared_dir(spark)}/requests-{uuid.uuid4().hex}"
+    n = G.table(spark, sf_dir, "nation")
+    label = F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string"))
+    asked = n.select("n_nationkey", label.alias("query_id"), label.alias("source"), F.lit("in_region").alias("relation_1"), F.lit("in_region_inverse").alias("relation_2"))
+    spark.createDataFrame([], REQUEST).write.mode("append").json(f"{folder}/in")
+    run = serve(spark, f"{folder}/in", G.edges(spark, sf_dir), f"{folder}/out", f"{folder}/state", 3)
+    try:
+        for odd in (0, 1):
+            asked.where(F.col("n_nationkey") % 2 == odd).drop("n_nationkey").write.mode("append").json(f"{folder}/in")
+            run.processAllAvailable()
+    finally:
+        run.stop()
+    return spark.read.schema(RESULT).parquet(f"{folder}/out/batch=*").select("query_id", "rank", "mid", "target", "score")
+
+
+QUERIES["X4_request_loop"] = x4_request_loop
 QUERIES["X1_stream_two_hop"] = x1_stream_two_hop
 QUERIES["X2_stream_dedup"] = x2_stream_dedup
 ORACLE["X2_stream_dedup"] = "SELECT DISTINCT event_id, event_type FROM events"
@@ -82,3 +111,13 @@ def _oracle() -> str:
 
 
 ORACLE["X1_stream_two_hop"] = _oracle()
+
+
+def _loop_oracle() -> str:
+    from ..plans.oracle import GRAPH, RANK, REGION_PATHS
+
+    paths = REGION_PATHS.replace("in_nation_inverse", "in_region_inverse").replace("a.relation = 'in_region_inverse'", "a.relation = 'in_region'")
+    return GRAPH + paths + f"SELECT query_id, CAST(rank AS INTEGER) AS rank, mid, target, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {RANK}) AS rank FROM paths) WHERE rank <= 3"
+
+
+ORACLE["X4_request_loop"] = _loop_oracle()

@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame
 
 
 def shared_dir(spark) -> str:
-    """The folder named in spark.checkpoint.dir; a local one only where none is set, as in tests."""
+    """The folder named in spark.checkpoint.dir. Without one, a temporary folder where driver and executors are one process, and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         found = "file://" + tempfile.mkdtemp(prefix="pathweave-")

@@ -9,6 +9,7 @@ from pathweave.operators import tables as O
 from pathweave.plans import planner as L
 from pathweave.sources import graph as G
 
+#: The edges of the small graph that answers are known for, and its best four paths of each query.
 RT, DW, TW = "referred_to", "diagnosed_with", "treated_with"
 ROWS = [
     ("a", "alice", RT, "bob", 5), ("a", "bob", DW, "cancer", 7), ("a", "bob", TW, "drug_x", 4), ("a", "carol", RT, "dave", 2), ("a", "dave", DW, "flu", 6),
@@ -114,5 +115,36 @@ def test_parsers():
     assert L.graph_from_text('Sure: [["a", "r", "UNKNOWN x"]] done') == [("a", "r", "UNKNOWN x")]
     with pytest.raises(ValueError):
         L.graph_from_text("[__import__('os')]")
-    assert L.relation_of_phrase("what genre was it") == "has_genre"
     assert not L.is_chain_program([{"function": "Find", "dependencies": []}])
+    assert L.two_hops([("a", "r", "UNKNOWN x"), ("UNKNOWN x", "s", "b")]) == L.Hops("a", "r", "s")  # a constant at the far end
+
+
+def test_pattern_parts_meet_late_or_fail(edges):
+    # listed so that a product would come first if edges were taken as they stand
+    graph = [("alice", RT, "UNKNOWN x"), ("carol", RT, "UNKNOWN y"), ("UNKNOWN x", DW, "UNKNOWN z"), ("UNKNOWN y", DW, "UNKNOWN z")]
+    got = {(r["v0"], r["v1"], r["v2"]) for r in L.match(graph, edges).collect()}
+    hop = lambda s, r: {t for _, a, b, t, _ in ROWS if (a, b) == (s, r)}
+    assert got == {(x, y, z) for x in hop("alice", RT) for y in hop("carol", RT) for z in hop(x, DW) & hop(y, DW)}
+    plan = L.match(graph, edges)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cross" not in plan
+    with pytest.raises(ValueError, match="parts"):
+        L.match([("UNKNOWN a", RT, "UNKNOWN b"), ("UNKNOWN c", DW, "UNKNOWN d")], edges)
+
+
+def test_induced_subgraph_is_the_greedy_one(spark):
+    rng = random.Random(4)
+    rows = sorted({(f"n{rng.randrange(30)}", rng.choice("rs"), f"n{rng.randrange(30)}") for _ in range(60)})
+    near, count = {}, {}
+    for s, _, t in rows:
+        for a, b in ((s, t), (t, s)):
+            near.setdefault(a, set()).add(b)
+            count[a] = count.get(a, 0) + 1
+    chosen = set()
+    for n in sorted(near, key=lambda n: (-count[n], n)):
+        if len(chosen | {n} | near[n]) <= 12:
+            chosen |= {n} | near[n]
+    for n in sorted(near):
+        if len(chosen) < 12:
+            chosen.add(n)
+    got = {tuple(r) for r in O.induced_subgraph(spark.createDataFrame(rows, "source string, relation string, target string"), 12).collect()}
+    assert got == {r for r in rows if {r[0], r[2]} <= chosen}
