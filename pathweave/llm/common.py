@@ -154,6 +154,32 @@ def pieces(sizes: list[int], limit: int) -> Iterator[slice]:
         yield slice(start, len(sizes))
 
 
+def packed(values: np.ndarray) -> bytes:
+    """An array of numbers as its byte planes under zstd: small numbers leave whole planes empty."""
+    if not len(values):
+        return b""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
+    return len(values).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(planes), "zstd", asbytes=True)
+
+
+def unpacked(blob: bytes, kind: type) -> np.ndarray:
+    """What ``packed`` got."""
+    if not blob:
+        return np.zeros(0, kind)
+    n, width = int.from_bytes(blob[:8], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(memoryview(blob)[8:], n * width, "zstd", asbytes=True), np.uint8).reshape(width, n)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(n)
+
+
+def rising(values: np.ndarray) -> bytes:
+    """Sorted unsigned numbers as packed differences."""
+    return packed(np.diff(values, prepend=values.dtype.type(0)))
+
+
+def risen(blob: bytes, kind: type) -> np.ndarray:
+    return np.cumsum(unpacked(blob, kind), dtype=kind)
+
+
 def record(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
 

@@ -9,14 +9,15 @@ sweep before (customers one by one up to 64 of a dish, then by Poisson steps), a
 over the sweeps after burn-in. Levels follow one another: pairs are first seated under the shares of words in their own range, their
 tables seat the words, whose tables seat the spellings; then probabilities come down again and each level is sampled anew under them.
 
-Pairs are dealt by a hash of the preceding word; those of a preceding word with over 1/2048 of all tokens by a hash of both words, its
-totals being added up in the driver sweep by sweep (at most 2,049 words). The restaurant of all words is dealt by words in the same way.
-Byte restaurants of two and three bytes live where their last two bytes are dealt to; those of one byte and the root (at most
-65,536 dishes) live in the driver, which gets the sampled tables of their children. Texts are dealt to chunks by a hash; a
-chunk asks each range of words once for each distinct word and each range of pairs once for each distinct pair, a range of pairs asks each
-range of words once for each distinct word, a range of words asks each range of contexts once for each
-distinct 4-gram, and answers come back in the order of the questions. So no key, however frequent, is asked for more
-than once by a chunk, and nothing the size of the corpus is broadcast.
+The corpus is read once, in chunks of some megabytes, each kept as the places of its tokens among its distinct words. Numbers of ranges grow
+with the corpus. Pairs are dealt by a hash of the preceding word; those of a preceding word with over half a range's share of the tokens by a
+hash of both words, its totals being added up in the driver sweep by sweep (at most two words for each range). The restaurant of all words
+is dealt by words in the same way. Byte restaurants of two and three bytes live where their last two bytes are dealt to; those of one byte
+and the root (at most 65,536 dishes) live in the driver, which gets the sampled tables of their children. A chunk asks each range of words
+once for each distinct word and each range of pairs once for each distinct pair, a range of pairs asks each range of words once for
+each distinct word, a range of words asks each range of contexts once for each distinct 4-gram, and answers come back in the order of the
+questions. So no key, however frequent, is asked for more than once by a chunk, and nothing the size of the corpus is broadcast. Questions
+and answers are exchanged as byte planes under zstd; log probabilities are rounded to 2^-16.
 
 Edge cases: null and empty texts are one end symbol; a null id counts as held out; repeated rows count as often as they stand;
 without training rows spellings are uniform; an empty table gives an empty result.
@@ -28,19 +29,17 @@ import gc
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, fold, id_and_text, materialise, mix, read_table, release, word_hashes
+from .common import U, fold, id_and_text, materialise, mix, packed, read_table, release, rising, risen, unpacked, word_hashes
 
 END = 10
-CHUNK_BYTES = 4 << 20
-WORD_RANGES, CONTEXT_RANGES = 256, 256
+CHUNK_BYTES, RANGE_BYTES = 8 << 20, 16 << 20
+LEAST_RANGES, MOST_CONTEXT_RANGES = 32, 256
 SWEEPS, BURN_IN, EXACT_SEATS = 6, 2, 64
 KEPT = SWEEPS - BURN_IN
-PAIR_RANGES = 256
-#: A preceding word with more than this share of the tokens has its followers dealt one by one.
-HOT_SHARE = 1 / 2048
 THETA = 1.0
 
 
@@ -55,10 +54,14 @@ def grams(spelled: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return joined[at - 1] << 24 | joined[at - 2] << 16 | joined[at - 3] << 8 | joined[at], sizes
 
 
-def context_range(keys: np.ndarray) -> np.ndarray:
+def range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
+    """Which of some ranges of 64-bit hashes: rising with the hash."""
+    return ((hashes >> U(32)) * U(ranges) >> U(32)).astype(np.int64)
+
+
+def context_range(keys: np.ndarray, ranges: int) -> np.ndarray:
     """Which range holds the restaurants of a gram: a hash of the last two bytes of its context."""
-    pair = (keys >> np.uint32(16)).astype(np.uint64)
-    return ((pair * U(0x9E3779B97F4A7C15)) >> U(56)).astype(np.int64) * CONTEXT_RANGES >> 8
+    return range_of((keys >> np.uint32(16)).astype(np.uint64) * U(0x9E3779B97F4A7C15), ranges)
 
 
 def seats(count: np.ndarray, base: np.ndarray, strength: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
@@ -169,8 +172,8 @@ def lower_model(keys: np.ndarray, count: np.ndarray, asked: np.ndarray, p1: np.n
     return np.log10(np.maximum(mean / (SWEEPS - BURN_IN), 1e-300)), up, sent / (SWEEPS - BURN_IN)
 
 
-_ASK = pa.schema([("range", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("sizes", pa.binary()), ("spelled", pa.binary())])
-_ASK_DDL = "range int, chunk long, keys binary, counts binary, sizes binary, spelled binary"
+_ASK = pa.schema([("range", pa.int32()), ("chunk", pa.int64()), ("tokens", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("sizes", pa.binary()), ("spelled", pa.binary())])
+_ASK_DDL = "range int, chunk long, tokens long, keys binary, counts binary, sizes binary, spelled binary"
 _TOLD = pa.schema([("range", pa.int32()), ("chunk", pa.int64()), ("counts", pa.binary()), ("told", pa.binary())])
 _TOLD_DDL = "range int, chunk long, counts binary, told binary"
 _LOW = U(0xFFFFFFFF)
@@ -182,6 +185,15 @@ def _cuts(ranges: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(start.tolist(), np.append(start, len(ranges))[1:].tolist(), strict=True))
 
 
+def _fixed(log: np.ndarray) -> bytes:
+    """Log probabilities with 16 binary places."""
+    return packed(np.round(log * 65536).astype(np.int32))
+
+
+def _logs(blob: bytes) -> np.ndarray:
+    return unpacked(blob, np.int32) / 65536
+
+
 def _words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct word hashes of a chunk, the place of each word in them, words in each text, where each first occurs."""
     words = [word_hashes(t) for t in texts]
@@ -189,40 +201,70 @@ def _words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return w, at, np.array([len(x) for x in words], np.int64), first
 
 
-def ask_words(table: pa.Table) -> pa.Table:
-    texts = [t.encode().lower() for t in table["text"].to_pylist()]
-    train = np.array(table["train"].to_pylist(), bool)
-    w, at, n, first = _words_of(texts)
-    count = np.bincount(at[np.repeat(train, n)], minlength=len(w)).astype(np.uint32)
-    every = [x for t in texts for x in t.split()]
-    spelled = [every[i] for i in first.tolist()]
-    ranges, chunk = (w >> U(56)).astype(np.int64) * WORD_RANGES >> 8, table["chunk"][0].as_py()
-    rows = [{"range": int(ranges[a]), "chunk": chunk, "keys": w[a:b].tobytes(), "counts": count[a:b].tobytes(), "sizes": np.array([len(x) for x in spelled[a:b]], np.uint32).tobytes(), "spelled": b"".join(spelled[a:b])} for a, b in _cuts(ranges)]
-    return pa.Table.from_pylist(rows, schema=_ASK)
+def read_chunks(ranges: int):
+    """For each chunk of (doc_id, text, train) rows: one row of range -1 with its documents and tokens, and what it asks the ranges of words."""
+
+    def asked(chunk: int, docs: list, texts: list[bytes], train: list[bool]) -> pa.RecordBatch:
+        w, at, n, first = _words_of(texts)
+        teach = np.array(train, bool)
+        count = np.bincount(at[np.repeat(teach, n)], minlength=len(w)).astype(np.uint32)
+        every = [x for t in texts for x in t.split()]
+        spelled = [every[i] for i in first.tolist()]
+        of = range_of(w, ranges)
+        known = np.array([d is not None for d in docs], np.uint8)
+        rows = [{"range": -1, "chunk": chunk, "tokens": int(n[teach].sum()), "keys": packed(np.array([d or 0 for d in docs], np.int64)), "counts": packed(known << 1 | teach), "sizes": packed(n.astype(np.uint32)), "spelled": packed(at.astype(np.uint32))}]
+        rows += [{"range": int(of[a]), "chunk": chunk, "keys": rising(w[a:b]), "counts": packed(count[a:b]), "sizes": packed(np.array([len(x) for x in spelled[a:b]], np.uint32)), "spelled": packed(np.frombuffer(b"".join(spelled[a:b]), np.uint8))} for a, b in _cuts(of)]
+        return pa.RecordBatch.from_pylist(rows, schema=_ASK)
+
+    def read(batches):
+        # a task that is run again gives its chunks the same numbers
+        chunk, size, held = TaskContext.get().partitionId() << 32, 0, ([], [], [])
+        for batch in batches:
+            for row in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("train").to_pylist(), strict=True):
+                text = row[1].encode().lower()
+                for column, v in zip(held, (row[0], text, row[2]), strict=True):
+                    column.append(v)
+                size += len(text) + 64
+                if size >= CHUNK_BYTES:
+                    yield asked(chunk, *held)
+                    chunk, size, held = chunk + 1, 0, ([], [], [])
+        if held[0]:
+            yield asked(chunk, *held)
+
+    return read
+
+
+class Chunk:
+    """A chunk's row: ids of its documents, which teach, words in each, and the place of each token among its distinct words."""
+
+    def __init__(self, row: dict) -> None:
+        flags = unpacked(row["counts"], np.uint8)
+        self.ids = [int(d) if f & 2 else None for d, f in zip(unpacked(row["keys"], np.int64), flags, strict=True)]
+        self.train, self.n, self.at = (flags & 1).astype(bool), unpacked(row["sizes"], np.uint32).astype(np.int64), unpacked(row["spelled"], np.uint32)
 
 
 def _gathered(table: pa.Table, kind: type) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     """Keys as asked, sorted distinct keys, their summed counts, where each first stands among all."""
-    keys = [np.frombuffer(b, kind) for b in table["keys"].to_pylist()]
-    counts = [np.frombuffer(b, np.uint32) for b in table["counts"].to_pylist()]
+    keys = [risen(b, kind) for b in table["keys"].to_pylist()]
+    counts = [unpacked(b, np.uint32) for b in table["counts"].to_pylist()]
     unique, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
     return keys, unique, np.bincount(at, weights=np.concatenate(counts), minlength=len(unique)).astype(np.int64), first
 
 
 def _spellings(table: pa.Table, first: np.ndarray) -> list[bytes]:
-    sizes = np.concatenate([np.frombuffer(b, np.uint32) for b in table["sizes"].to_pylist()]).astype(np.int64)
-    joined, ends = b"".join(table["spelled"].to_pylist()), np.cumsum(sizes)
+    sizes = np.concatenate([unpacked(b, np.uint32) for b in table["sizes"].to_pylist()]).astype(np.int64)
+    joined, ends = b"".join(unpacked(b, np.uint8).tobytes() for b in table["spelled"].to_pylist()), np.cumsum(sizes)
     return [joined[e - n : e] for e, n in zip(ends[first].tolist(), sizes[first].tolist(), strict=True)]
 
 
-def _range_grams(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _range_grams(table: pa.Table, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a range of words: distinct grams in order of (context range, key), the place
     of each gram of each word in them, grams in each word. The empty spelling comes last."""
     if table.num_rows:
         _, _, _, first = _gathered(table, U)
     each, sizes = grams([*(_spellings(table, first) if table.num_rows else []), b""])
     g, at = np.unique(each, return_inverse=True)
-    order = np.argsort(context_range(g), kind="stable")
+    order = np.argsort(context_range(g, ranges), kind="stable")
     place = np.empty(len(g), np.int64)
     place[order] = np.arange(len(g))
     return g[order], place[at], sizes
@@ -236,10 +278,10 @@ def _halves(table: pa.Table) -> tuple[pa.Table, pa.Table]:
 
 def _customers(asked: pa.Table, offset: int, size: int) -> tuple[list[np.ndarray], np.ndarray]:
     """The places in a range of words that each range of pairs asks for, and the customers of every word: tables of pairs."""
-    places = [np.frombuffer(b, np.uint32).astype(np.int64) - offset for b in asked["keys"].to_pylist()]
+    places = [risen(b, np.uint32).astype(np.int64) - offset for b in asked["keys"].to_pylist()]
     total = np.zeros(size, np.int64)
     for at, b in zip(places, asked["counts"].to_pylist(), strict=True):
-        total[at] += np.frombuffer(b, np.uint32)
+        total[at] += unpacked(b, np.uint32)
     return places, total
 
 
@@ -255,18 +297,17 @@ def seatings(count: np.ndarray, base: np.ndarray, restaurant: np.ndarray, size:
             yield t
 
 
-def pair_range(key: np.ndarray, hot: np.ndarray) -> np.ndarray:
+def pair_range(key: np.ndarray, hot: np.ndarray, ranges: int) -> np.ndarray:
     """Which range holds a pair (preceding word << 32 | word); ``hot``: sorted preceding words whose followers are spread."""
     before = key >> U(32)
     spread = lookup(hot, before) >= 0
-    return (mix(np.where(spread, key, before) + U(1)) >> U(56)).astype(np.int64) * PAIR_RANGES >> 8
+    return range_of(mix(np.where(spread, key, before) + U(1)), ranges)
 
 
-def _pairs_of(table: pa.Table, ids: np.ndarray, end: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs of a chunk in order of (range, pair), their ranges, the place of each token's pair in them, the text of each token,
-    the place of each word, words in each text. ``ids``: of the chunk's distinct words; ``end`` and ``end + 1`` are the end and start of a text."""
-    w, at, n, _ = _words_of([t.encode().lower() for t in table["text"].to_pylist()])
-    assert len(ids) == len(w)
+def _pairs_of(chunk: Chunk, ids: np.ndarray, end: int, hot: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of a chunk in order of (range, pair), their ranges, the place of each token's pair in them, the text of each token.
+    ``ids``: of the chunk's distinct words; ``end`` and ``end + 1`` are the end and start of a text."""
+    n, at = chunk.n, chunk.at
     stop = np.cumsum(n + 1) - 1
     inner = np.ones(int((n + 1).sum()), bool)
     inner[stop] = False
@@ -276,19 +317,19 @@ def _pairs_of(table: pa.Table, ids: np.ndarray, end: int, hot: np.ndarray) -> tu
     before[1:] = word[:-1]
     before[stop - n] = end + 1
     key, place = np.unique(before << U(32) | word, return_inverse=True)
-    ranges = pair_range(key, hot)
-    order = np.argsort(ranges, kind="stable")
+    of = pair_range(key, hot, ranges)
+    order = np.argsort(of, kind="stable")
     back = np.empty(len(key), np.int64)
     back[order] = np.arange(len(key))
-    return key[order], ranges[order], back[place], np.repeat(np.arange(len(n)), n + 1), at, n
+    return key[order], of[order], back[place], np.repeat(np.arange(len(n)), n + 1)
 
 
 def _gathered_pairs(table: pa.Table, only: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Pairs as asked, sorted distinct pairs, their summed counts. ``only``: preceding words to keep."""
     keys, counts = [], []
     for before, word, count in zip(table["keys"].to_pylist(), table["sizes"].to_pylist(), table["counts"].to_pylist(), strict=True):
-        key = np.cumsum(np.frombuffer(before, np.uint32).astype(U)) << U(32) | np.frombuffer(word, np.uint32).astype(U)
-        n = np.frombuffer(count, np.uint32)
+        key = risen(before, np.uint32).astype(U) << U(32) | unpacked(word, np.uint32).astype(U)
+        n = unpacked(count, np.uint32)
         keep = slice(None) if only is None else lookup(only, key >> U(32)) >= 0
         keys.append(key[keep])
         counts.append(n[keep])
@@ -296,14 +337,14 @@ def _gathered_pairs(table: pa.Table, only: np.ndarray | None = None) -> tuple[li
     return keys, unique, np.bincount(at, weights=np.concatenate(counts), minlength=len(unique)).astype(np.int64)
 
 
-def seat_pairs(key: np.ndarray, count: np.ndarray, hot: np.ndarray, seed: int) -> np.ndarray:
+def seat_pairs(key: np.ndarray, count: np.ndarray, hot: np.ndarray, ranges: int, seed: int) -> np.ndarray:
     """First seating of one range of pairs: the parent is the share of each word among the range's tables."""
     seen = np.flatnonzero(count > 0)
     tables = np.zeros(len(key), np.int64)
     if len(seen):
         r, of = np.unique(key[seen] >> U(32), return_inverse=True)
         _, dish = np.unique(key[seen] & _LOW, return_inverse=True)
-        spread = np.where(lookup(hot, r) >= 0, PAIR_RANGES, 1)
+        spread = np.where(lookup(hot, r) >= 0, ranges, 1)
         t, discount, rng = np.ones(len(seen)), discount_of(count[seen]), np.random.default_rng([seed, 3])
         for _ in range(SWEEPS):
             total = np.bincount(of, weights=t) * spread
@@ -366,69 +407,78 @@ def score(docs: DataFrame, train_when) -> DataFrame:
     rows = id_and_text(docs).withColumn("train", train_when)
     size = rows.agg(F.sum(F.octet_length("text")).alias("b"), F.sum(F.col("train").cast("long")).alias("docs")).collect()[0]
     train_docs = size["docs"] or 0
-    chunks = max(1, -(-(size["b"] or 0) // CHUNK_BYTES))
-    # equal ids may have different texts: both go into the hash
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
-    words = materialise(dealt.groupBy("chunk").applyInArrow(ask_words, _ASK_DDL), "pitman-yor-words")
+    ranges = max(LEAST_RANGES, -(-(size["b"] or 0) // RANGE_BYTES))
+    context_ranges = min(ranges, MOST_CONTEXT_RANGES)
+    read = materialise(rows.mapInArrow(read_chunks(ranges), _ASK_DDL), "pitman-yor-read")
+    chunks = materialise(read.where("range = -1"), "pitman-yor-chunks")
+    words = materialise(read.where("range >= 0"), "pitman-yor-words")
+    release(read)
+    n = (chunks.agg(F.sum("tokens").alias("n")).collect()[0]["n"] or 0) + train_docs
+    often = n / (2 * ranges)
 
     def word_totals(table: pa.Table) -> pa.Table:
-        _, _, total, _ = _gathered(table.select(["keys", "counts"]), U)
-        return pa.table({"range": table["range"][:1], "size": pa.array([len(total)]), "v": pa.array([int((total > 0).sum())]), "n": pa.array([int(total.sum())]), "once": pa.array([int((total == 1).sum())]), "twice": pa.array([int((total == 2).sum())]), "at": pa.array([(at := np.flatnonzero(total > HOT_SHARE * total.sum())).tobytes()], pa.binary()), "counts": pa.array([total[at].tobytes()], pa.binary())})
-
-    by_range = words.select("range", "keys", "counts").groupBy("range").applyInArrow(word_totals, "range int, size long, v long, n long, once long, twice long, at binary, counts binary").collect()  # at most 256 rows
-    sums = {c: sum(r[c] for r in by_range) for c in ("v", "n", "once", "twice")}
-    n, v = sums["n"] + train_docs, sums["v"] + (train_docs > 0)
+        _, _, total, _ = _gathered(table, U)
+        at = np.flatnonzero(total > often)
+        return pa.table({"range": table["range"][:1], "size": pa.array([len(total)]), "v": pa.array([int((total > 0).sum())]), "once": pa.array([int((total == 1).sum())]), "twice": pa.array([int((total == 2).sum())]), "at": pa.array([at.tobytes()], pa.binary()), "counts": pa.array([total[at].tobytes()], pa.binary())})
+
+    # a row from each range, and at most two frequent words for each
+    by_range = words.select("range", "keys", "counts").groupBy("range").applyInArrow(word_totals, "range int, size long, v long, once long, twice long, at binary, counts binary").collect()
+    sums = {c: sum(r[c] for r in by_range) for c in ("v", "once", "twice")}
+    v = sums["v"] + (train_docs > 0)
     discount = float(np.clip((sums["once"] + 0.5) / (sums["once"] + 2 * sums["twice"] + 1), 0.05, 0.95))
-    sizes_of = np.zeros(WORD_RANGES, np.int64)
+    sizes_of = np.zeros(ranges, np.int64)
     for r in by_range:
         sizes_of[r["range"]] = r["size"]
     #: Words are numbered by range and hash; the end of a text is the last word of the last range.
     offsets = np.cumsum(sizes_of) - sizes_of
     end = int(sizes_of.sum())
+    if end >= (1 << 32) - 2:
+        raise ValueError("over 2^32 distinct words")
 
     def number(table: pa.Table) -> pa.Table:
         keys, unique, count, _ = _gathered(table, U)
         first = offsets[table["range"][0].as_py()]
         place = [np.searchsorted(unique, k) for k in keys]
-        return pa.Table.from_arrays([table["range"], table["chunk"], pa.array([count[i].astype(np.uint32).tobytes() for i in place], pa.binary()), pa.array([(i + first).astype(np.uint32).tobytes() for i in place], pa.binary())], schema=_TOLD)
+        return pa.Table.from_arrays([table["range"], table["chunk"], pa.array([packed(count[i].astype(np.uint32)) for i in place], pa.binary()), pa.array([rising((i + first).astype(np.uint32)) for i in place], pa.binary())], schema=_TOLD)
 
     numbered = materialise(words.select("range", "chunk", "keys", "counts").groupBy("range").applyInArrow(number, _TOLD_DDL), "pitman-yor-numbers")
-    found = sorted((int(i + offsets[r["range"]]), int(c)) for r in by_range for i, c in zip(np.frombuffer(r["at"], np.int64), np.frombuffer(r["counts"], np.int64), strict=True) if c > HOT_SHARE * n)
+    found = sorted((int(i + offsets[r["range"]]), int(c)) for r in by_range for i, c in zip(np.frombuffer(r["at"], np.int64), np.frombuffer(r["counts"], np.int64), strict=True))
     hot = np.array([*(i for i, _ in found), end + 1], U)
     hot_customers = np.array([*(c for _, c in found), train_docs], float)
 
     def ids_of(answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and counts of a chunk's distinct words."""
         by = sorted(zip(answers["range"].to_pylist(), answers["counts"].to_pylist(), answers["told"].to_pylist(), strict=True))
-        ids = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(b, np.uint32) for _, _, b in by)])
-        return ids, np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(b, np.uint32).astype(np.int64) for _, b, _ in by)])
+        ids = np.concatenate([np.zeros(0, np.uint32), *(risen(b, np.uint32) for _, _, b in by)])
+        return ids, np.concatenate([np.zeros(0, np.int64), *(unpacked(b, np.uint32).astype(np.int64) for _, b, _ in by)])
 
     def ask_pairs(mine: pa.Table, answers: pa.Table) -> pa.Table:
         if not mine.num_rows:
             return pa.Table.from_pylist([], schema=_ASK)
-        key, ranges, place, text, _, _ = _pairs_of(mine, ids_of(answers)[0], end, hot)
-        count = np.bincount(place[np.array(mine["train"].to_pylist(), bool)[text]], minlength=len(key)).astype(np.uint32)
+        chunk = Chunk(mine.to_pylist()[0])
+        key, of, place, text = _pairs_of(chunk, ids_of(answers)[0], end, hot, ranges)
+        count = np.bincount(place[chunk.train[text]], minlength=len(key)).astype(np.uint32)
         before, word = (key >> U(32)).astype(np.uint32), (key & _LOW).astype(np.uint32)
-        rows = [{"range": int(ranges[a]), "chunk": mine["chunk"][0].as_py(), "keys": np.diff(before[a:b], prepend=np.uint32(0)).tobytes(), "counts": count[a:b].tobytes(), "sizes": word[a:b].tobytes()} for a, b in _cuts(ranges)]
+        rows = [{"range": int(of[a]), "chunk": mine["chunk"][0].as_py(), "keys": rising(before[a:b]), "counts": packed(count[a:b]), "sizes": packed(word[a:b])} for a, b in _cuts(of)]
         return pa.Table.from_pylist(rows, schema=_ASK)
 
-    pairs = materialise(dealt.groupBy("chunk").cogroup(numbered.groupBy("chunk")).applyInArrow(ask_pairs, _ASK_DDL).drop("spelled"), "pitman-yor-pairs")
+    pairs = materialise(chunks.groupBy("chunk").cogroup(numbered.groupBy("chunk")).applyInArrow(ask_pairs, _ASK_DDL).drop("spelled", "tokens"), "pitman-yor-pairs")
 
     def first_seating(table: pa.Table) -> pa.Table:
         mine = table["range"][0].as_py()
         _, key, count = _gathered_pairs(table)
-        tables = seat_pairs(key, count, hot, mine)
+        tables = seat_pairs(key, count, hot, ranges, mine)
         word, at = np.unique(key & _LOW, return_inverse=True)
         up = np.bincount(at, weights=tables, minlength=len(word)).astype(np.uint32)
         spread = lookup(hot, key >> U(32))
         hot_tables = np.bincount(spread[spread >= 0], weights=tables[spread >= 0], minlength=len(hot))
-        ranges = np.searchsorted(offsets, word.astype(np.int64), side="right") - 1
-        rows = [{"range": int(ranges[a]), "chunk": -1 - mine, "keys": word[a:b].astype(np.uint32).tobytes(), "counts": up[a:b].tobytes()} for a, b in _cuts(ranges)]
+        of = np.searchsorted(offsets, word.astype(np.int64), side="right") - 1
+        rows = [{"range": int(of[a]), "chunk": -1 - mine, "keys": rising(word[a:b].astype(np.uint32)), "counts": packed(up[a:b])} for a, b in _cuts(of)]
         stats = np.array([(count == 1).sum(), (count == 2).sum(), tables.sum()], np.int64)
         return pa.Table.from_pylist([*rows, {"range": -1, "chunk": -1 - mine, "keys": stats.tobytes(), "counts": hot_tables.tobytes()}], schema=_ASK)
 
     seated = materialise(pairs.groupBy("range").applyInArrow(first_seating, _ASK_DDL), "pitman-yor-seated")
-    # a row from each of at most 256 ranges
+    # a row from each range
     told = seated.where("range = -1").select("keys", "counts").collect()
     once, twice, word_customers = np.sum([np.frombuffer(r["keys"], np.int64) for r in told], axis=0) if told else (0, 0, 0)
     pair_discount = float(np.clip((once + 0.5) / (once + 2 * twice + 1), 0.05, 0.95))
@@ -438,7 +488,7 @@ def score(docs: DataFrame, train_when) -> DataFrame:
     def ask_grams(table: pa.Table) -> pa.Table:
         """Customers of the spelling model: the tables of words, first seated under the range's own shares of bytes."""
         mine, others = _halves(table)
-        g, at, sizes = _range_grams(mine)
+        g, at, sizes = _range_grams(mine, context_ranges)
         _, count = _customers(others, int(offsets[table["range"][0].as_py()]), len(sizes))
         of, seen = np.repeat(np.arange(len(sizes)), sizes), count > 0
         byte = (g[at] & np.uint32(255)).astype(np.int64)
@@ -448,12 +498,12 @@ def score(docs: DataFrame, train_when) -> DataFrame:
         for tables[seen] in seatings(count[seen], base[seen], np.zeros(int(seen.sum()), np.int64), 1, discount, [table["range"][0].as_py(), 6], np.array([float(v)])):
             pass
         customers = np.bincount(at, weights=tables[of], minlength=len(g)).astype(np.uint32)
-        ranges = context_range(g)
-        rows = [{"range": int(ranges[a]), "chunk": table["range"][0].as_py(), "keys": g[a:b].tobytes(), "counts": customers[a:b].tobytes()} for a, b in _cuts(ranges)]
+        to = context_range(g, context_ranges)
+        rows = [{"range": int(to[a]), "chunk": table["range"][0].as_py(), "keys": rising(g[a:b]), "counts": packed(customers[a:b])} for a, b in _cuts(to)]
         # one more row: the tables themselves
         return pa.Table.from_pylist([*rows, {"range": -1, "chunk": int(tables.sum()), "keys": b"", "counts": b""}], schema=_ASK)
 
-    grams_asked = materialise(asked.groupBy("range").applyInArrow(ask_grams, _ASK_DDL).drop("sizes", "spelled"), "pitman-yor-grams")
+    grams_asked = materialise(asked.groupBy("range").applyInArrow(ask_grams, _ASK_DDL).drop("sizes", "spelled", "tokens"), "pitman-yor-grams")
     contexts = grams_asked.where("range >= 0")
     word_tables = np.array([float(grams_asked.where("range = -1").agg(F.sum("chunk").alias("t")).collect()[0]["t"] or 0)])
 
@@ -481,7 +531,7 @@ def score(docs: DataFrame, train_when) -> DataFrame:
     def tell_grams(table: pa.Table) -> pa.Table:
         keys, unique, count, _ = _gathered(table, np.uint32)
         p, _, _ = lower_model(unique, count, unique, p1_final, table["range"][0].as_py())
-        told = [p[np.searchsorted(unique, k)].astype(np.float32).tobytes() for k in keys]
+        told = [_fixed(p[np.searchsorted(unique, k)]) for k in keys]
         return pa.table({"word_range": table["chunk"].cast(pa.int32()), "range": table["range"], "told": pa.array(told, pa.binary())})
 
     drop_shuffles(docs)
@@ -491,8 +541,8 @@ def score(docs: DataFrame, train_when) -> DataFrame:
         """The range, what ranges of pairs ask it, at which places, customers and log10 probabilities of the spellings of its words."""
         at_range = table["range"][0].as_py()
         mine, others = _halves(table)
-        g, at, sizes = _range_grams(mine)
-        logp = np.frombuffer(b"".join(b for _, b in sorted(zip(answers["range"].to_pylist(), answers["told"].to_pylist(), strict=True))), np.float32).astype(float)
+        g, at, sizes = _range_grams(mine, context_ranges)
+        logp = np.concatenate([_logs(b) for _, b in sorted(zip(answers["range"].to_pylist(), answers["told"].to_pylist(), strict=True))])
         assert len(logp) == len(g)
         places, count = _customers(others, int(offsets[at_range]), len(sizes))
         return at_range, others, places, count, np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=logp[at], minlength=len(sizes))
@@ -520,7 +570,7 @@ def score(docs: DataFrame, train_when) -> DataFrame:
         # beyond the range of doubles the spelling alone counts
         back = np.log10((THETA + discount * np.mean(word_totals_kept)) / (THETA + word_customers))
         log = np.where(mean > 0, np.log10(np.maximum(mean / KEPT, 1e-300)), spelling + back)
-        return pa.Table.from_arrays([others["range"], pa.array([-1 - c for c in others["chunk"].to_pylist()], pa.int64()), pa.array([b""] * others.num_rows, pa.binary()), pa.array([log[i].astype(np.float32).tobytes() for i in places], pa.binary())], schema=_TOLD)
+        return pa.Table.from_arrays([others["range"], pa.array([-1 - c for c in others["chunk"].to_pylist()], pa.int64()), pa.array([b""] * others.num_rows, pa.binary()), pa.array([_fixed(log[i]) for i in places], pa.binary())], schema=_TOLD)
 
     drop_shuffles(docs)
     told_words = materialise(both.applyInArrow(tell_words, _TOLD_DDL), "pitman-yor-told")
@@ -529,8 +579,8 @@ def score(docs: DataFrame, train_when) -> DataFrame:
     def pairs_given(table: pa.Table, answers: pa.Table, only: np.ndarray | None) -> tuple[list[np.ndarray], np.ndarray, PairRange]:
         """Pairs as asked, log10 probabilities of the words of all distinct pairs, and the pairs' restaurants."""
         keys, key, count = _gathered_pairs(table, only)
-        logp = np.concatenate([np.frombuffer(b, np.float32) for _, b in sorted(zip(answers["range"].to_pylist(), answers["told"].to_pylist(), strict=True))]).astype(float)
-        word = np.unique(np.concatenate([np.frombuffer(b, np.uint32) for b in table["sizes"].to_pylist()]))
+        logp = np.concatenate([_logs(b) for _, b in sorted(zip(answers["range"].to_pylist(), answers["told"].to_pylist(), strict=True))])
+        word = np.unique(np.concatenate([unpacked(b, np.uint32) for b in table["sizes"].to_pylist()]))
         assert len(word) == len(logp)
         log = logp[np.searchsorted(word, (key & _LOW).astype(np.uint32))]
         return keys, log, PairRange(key, count, 10.0**log, pair_discount, table["range"][0].as_py(), hot, hot_customers, hot_tables)
@@ -539,7 +589,7 @@ def score(docs: DataFrame, train_when) -> DataFrame:
         return pa.table({"t": pa.array([pairs_given(table, answers, hot)[2].hot_totals().tobytes()], pa.binary())})
 
     both_pairs = pairs.withColumnRenamed("chunk", "asker").groupBy("range").cogroup(told_words.groupBy(F.col("chunk").cast("int")))
-    # 4 numbers for each hot word from each of at most 256 ranges, added up as they come
+    # 4 numbers for each hot word (at most two for each range) from each range, added up as they come
     hot_kept = np.zeros((KEPT, len(hot)))
     for r in both_pairs.applyInArrow(tables_of_hot, "t binary").toLocalIterator():
         hot_kept += np.frombuffer(r["t"], float).reshape(KEPT, len(hot))
@@ -550,9 +600,9 @@ def score(docs: DataFrame, train_when) -> DataFrame:
         keys, log, restaurants = pairs_given(table, answers, None)
         p = restaurants.predict(hot_kept)
         # beyond the range of doubles the parent alone counts
-        out = np.where(p > 0, np.log10(np.maximum(p, 1e-300)), log).astype(np.float32)
-        told = [out[np.searchsorted(restaurants.key, k)].tobytes() for k in keys]
-        return pa.Table.from_arrays([pa.array([WORD_RANGES + r for r in table["range"].to_pylist()], pa.int32()), table["asker"], pa.array([b""] * table.num_rows, pa.binary()), pa.array(told, pa.binary())], schema=_TOLD)
+        out = np.where(p > 0, np.log10(np.maximum(p, 1e-300)), log)
+        told = [_fixed(out[np.searchsorted(restaurants.key, k)]) for k in keys]
+        return pa.Table.from_arrays([pa.array([ranges + r for r in table["range"].to_pylist()], pa.int32()), table["asker"], pa.array([b""] * table.num_rows, pa.binary()), pa.array(told, pa.binary())], schema=_TOLD)
 
     told_pairs = materialise(both_pairs.applyInArrow(tell_pairs, _TOLD_DDL), "pitman-yor-told-pairs")
     release(pairs, told_words)
@@ -562,18 +612,20 @@ def score(docs: DataFrame, train_when) -> DataFrame:
     def add_up(mine: pa.Table, answers: pa.Table) -> pa.Table:
         if not mine.num_rows:
             return pa.Table.from_pylist([], schema=out)
-        from_words = np.array(answers["range"].to_pylist(), np.int64) < WORD_RANGES
+        from_words = np.array(answers["range"].to_pylist(), np.int64) < ranges
+        chunk = Chunk(mine.to_pylist()[0])
         ids, count = ids_of(answers.filter(pa.array(from_words)))
-        key, _, place, text, at, n_w = _pairs_of(mine, ids, end, hot)
+        key, _, place, text = _pairs_of(chunk, ids, end, hot, ranges)
         of_pairs = answers.filter(pa.array(~from_words))
-        logp = np.concatenate([np.frombuffer(b, np.float32) for _, b in sorted(zip(of_pairs["range"].to_pylist(), of_pairs["told"].to_pylist(), strict=True))]).astype(float)
+        logp = np.concatenate([_logs(b) for _, b in sorted(zip(of_pairs["range"].to_pylist(), of_pairs["told"].to_pylist(), strict=True))])
         assert len(logp) == len(key)
-        doc, size = np.repeat(np.arange(len(n_w)), n_w), len(n_w)
-        base = np.bincount(doc, weights=np.log10(count[at] + 0.1), minlength=size) + np.log10(train_docs + 0.1) - (n_w + 1) * rest
-        known = np.bincount(doc, weights=count[at] > 0, minlength=size).astype(np.int64) + (train_docs > 0)
-        return pa.Table.from_arrays([mine["doc_id"], mine["train"], pa.array(n_w + 1), pa.array(known), pa.array(np.full(size, n)), pa.array(base), pa.array(np.bincount(text, weights=logp[place], minlength=size))], schema=out)
+        n_w, docs_here = chunk.n, len(chunk.n)
+        doc = np.repeat(np.arange(docs_here), n_w)
+        base = np.bincount(doc, weights=np.log10(count[chunk.at] + 0.1), minlength=docs_here) + np.log10(train_docs + 0.1) - (n_w + 1) * rest
+        known = np.bincount(doc, weights=count[chunk.at] > 0, minlength=docs_here).astype(np.int64) + (train_docs > 0)
+        return pa.Table.from_arrays([pa.array(chunk.ids, pa.int64()), pa.array(chunk.train), pa.array(n_w + 1), pa.array(known), pa.array(np.full(docs_here, n)), pa.array(base), pa.array(np.bincount(text, weights=logp[place], minlength=docs_here))], schema=out)
 
-    return dealt.groupBy("chunk").cogroup(numbered.unionByName(told_pairs).groupBy("chunk")).applyInArrow(add_up, "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return chunks.groupBy("chunk").cogroup(numbered.unionByName(told_pairs).groupBy("chunk")).applyInArrow(add_up, "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op9_pitman_yor(spark, sf_dir: str) -> DataFrame:
