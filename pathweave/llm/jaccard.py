@@ -11,7 +11,7 @@ components so far is tested, in blocks of bounded size: bitmaps say which nodes
 nodes come with their exact sets, and a block returns no more links than join its components. So pairs never become rows
 there. Crowds with the same largest component, as the many shingles of one cluster of copies have, are tested together, each node once
 with the list of its crowds; and a largest component is not held against itself. Two documents in one component need no further
-test, so no link is lost.
+test, so no link is lost. Joins of tables that grow with the corpus are merge joins at every size, so that plans do not change with it.
 
 Edge cases: null and empty texts have no shingles and link with nothing; a text of fewer words than a shingle is one shingle;
 a row with a null id has a null component and links with nothing; rows that share an id count with their own texts; an
@@ -246,7 +246,7 @@ def crowd_rows(met: DataFrame, pairs: DataFrame, grown: DataFrame, labelled: Dat
     both = pairs.union(pairs.select("b", "a")).join(grown.withColumnRenamed("gid", "a"), "a", "left_semi")
     around = both.select(F.col("a").alias("crowd"), F.lit(True).alias("around"), F.lit(False).alias("core"), F.col("b").alias("gid"))
     own = grown.select(F.col("gid").alias("crowd"), F.lit(True).alias("around"), F.lit(True).alias("core"), "gid")
-    return under.union(around).union(own).join(labelled, "gid").select("crowd", "around", "core", "node", "component", "n")
+    return under.union(around).union(own).join(labelled.hint("merge"), "gid").select("crowd", "around", "core", "node", "component", "n")
 
 
 def placed_in_blocks(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -255,7 +255,7 @@ def placed_in_blocks(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     sums = rows.groupBy("crowd", "around", "component").agg(F.count("*").alias("c"))
     crowds = sums.groupBy("crowd", "around").agg(F.max(F.struct("c", "component")).alias("x"), F.count("*").alias("components")).where("components > 1")
     crowds = crowds.select("crowd", "around", F.col("x.component").alias("main"), F.when(F.col("around"), F.col("crowd")).otherwise(F.col("x.component")).alias("home"))
-    kept = rows.join(crowds, ["crowd", "around"]).groupBy("home", "around", "main", "node", "component", "n").agg(F.max("core").alias("core"), F.collect_list(F.hash("crowd")).alias("crowds"))
+    kept = rows.join(crowds.hint("merge"), ["crowd", "around"]).groupBy("home", "around", "main", "node", "component", "n").agg(F.max("core").alias("core"), F.collect_list(F.hash("crowd")).alias("crowds"))
     kept = materialise(kept, "jaccard-crowds")
     is_main = F.col("component") == F.col("main")
     count = lambda when, what: F.sum(F.when(when, what).otherwise(F.lit(0)))
@@ -286,7 +286,7 @@ def late_links(rows: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, p
             some[j] = True
         return table.select(columns).take(pa.array(np.sort(block.order[some]))).cast(schema)
 
-    sifted = materialise(placed.join(nodes.select("node", "bits"), "node").select(*columns, "bits").groupBy(*_TWO).applyInArrow(sift, ddl), "jaccard-sifted")
+    sifted = materialise(placed.join(nodes.select("node", "bits").hint("merge"), "node").select(*columns, "bits").groupBy(*_TWO).applyInArrow(sift, ddl), "jaccard-sifted")
     release(kept)
     sets = shingle_sets(sifted.select("node").distinct(), nodes, docs, words)
 
@@ -316,14 +316,14 @@ def late_links(rows: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, p
                     label[label == label[x]] = label[h]
         return pa.Table.from_arrays([pa.array([int(x[s]) for x in links], pa.int64()) for s in (0, 1)], schema=_PAIR)
 
-    late = materialise(sifted.join(sets, "node").select(*columns, "members").groupBy(*_TWO).applyInArrow(join_up, "a long, b long"), "jaccard-late")
+    late = materialise(sifted.join(sets.hint("merge"), "node").select(*columns, "members").groupBy(*_TWO).applyInArrow(join_up, "a long, b long"), "jaccard-late")
     release(sifted, sets)
     return late
 
 
 def shingle_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """node, members (sorted hashes) of the wanted nodes, from the texts of their documents; other texts are not exchanged."""
-    used = materialise(wanted.join(nodes.select("node", "doc_id", "digest"), "node"), "jaccard-used")
+    used = materialise(wanted.join(nodes.select("node", "doc_id", "digest").hint("merge"), "node"), "jaccard-used")
     built = pa.schema([("node", pa.int64()), ("members", pa.binary())])
 
     def build(batches):
@@ -337,7 +337,7 @@ def shingle_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, words: in
             yield record(out, built)
 
     texts = IdFilter(used.select("doc_id")).rows(id_and_text(docs), "doc_id")
-    sets = materialise(texts.join(used, "doc_id").select("node", "text", "digest").mapInArrow(build, "node long, members binary").dropDuplicates(["node"]), "jaccard-sets")
+    sets = materialise(texts.join(used.hint("merge"), "doc_id").select("node", "text", "digest").mapInArrow(build, "node long, members binary").dropDuplicates(["node"]), "jaccard-sets")
     release(used)
     return sets
 
@@ -352,7 +352,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, pe
             yield record({"a": [r[0] for r in rows], "b": [r[1] for r in rows]}, schema)
 
     side = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}"))
-    left = materialise(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(bound, "a long, b long"), "jaccard-candidates")
+    left = materialise(pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").mapInArrow(bound, "a long, b long"), "jaccard-candidates")
     sets = shingle_sets(left.select(F.col("a").alias("node")).union(left.select("b")).distinct(), nodes, docs, words)
 
     def compare(batches):
@@ -365,7 +365,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, pe
                     rows.append((a, b))
             yield record({"a": [r[0] for r in rows], "b": [r[1] for r in rows]}, schema)
 
-    links = materialise(left.join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b").mapInArrow(compare, "a long, b long"), "jaccard-links")
+    links = materialise(left.join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")).hint("merge"), "a").join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")).hint("merge"), "b").mapInArrow(compare, "a long, b long"), "jaccard-links")
     release(left, sets)
     return links
 
@@ -399,7 +399,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     grouped = nodes.groupBy("n", "key").agg(F.min("node").alias("gid"), F.count("*").alias("members"))
     crowded = materialise(grouped.where("members > 1"), "jaccard-groups")
     members = materialise(nodes.select("node", "n", "key").join(crowded.select("n", "key", "gid"), ["n", "key"], "left").select("node", "n", F.coalesce("gid", "node").alias("gid")), "jaccard-members")
-    heads = nodes.join(members.where("gid = node").select("node"), "node", "left_semi").select(F.col("node").alias("gid"), "n", "prefix")
+    heads = nodes.join(members.where("gid = node").select("node").hint("merge"), "node", "left_semi").select(F.col("node").alias("gid"), "n", "prefix")
     size = heads.agg(F.sum(F.octet_length("prefix")).alias("b")).collect()[0]["b"] or 0
     met = materialise(meetings(dealt(heads, max(64, size // 8 // 250_000)), percent), "jaccard-met")
     # first round: representatives
@@ -408,16 +408,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     links = verified(pairs.union(inside), nodes, docs, words, percent)
     found = materialise(components(links), "jaccard-found")
     # second round: what is still in different components, under crowded shingles, within groups, and between members of groups that met
-    labelled = materialise(members.join(found, "node", "left").select("node", "gid", F.coalesce("component", "node").alias("component"), "n"), "jaccard-labelled")
+    labelled = materialise(members.join(found.hint("merge"), "node", "left").select("node", "gid", F.coalesce("component", "node").alias("component"), "n"), "jaccard-labelled")
     late = late_links(crowd_rows(met, pairs, crowded.select("gid"), labelled), nodes, docs, words, percent)
     release(met, members, crowded, labelled, found)
     final = materialise(components(links.union(late)), "jaccard-final")
     release(links, late)
-    known = nodes.select("node", "digest", F.col("doc_id").alias("first")).join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    known = nodes.select("node", "digest", F.col("doc_id").alias("first")).join(final.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = known.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = materialise(known.join(ids, "component").select("digest", "component_id"), "jaccard-named")
+    named = materialise(known.join(ids.hint("merge"), "component").select("digest", "component_id"), "jaccard-named")
     release(nodes, final)
-    out = sizes.where(F.col("doc_id").isNotNull() & (F.col("n") > 0)).join(named, "digest", "left").select("doc_id", "n", "component_id")
+    out = sizes.where(F.col("doc_id").isNotNull() & (F.col("n") > 0)).join(named.hint("merge"), "digest", "left").select("doc_id", "n", "component_id")
     alone = sizes.where(F.col("doc_id").isNull() | (F.col("n") == 0)).select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return out.unionByName(alone).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
 
