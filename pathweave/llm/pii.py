@@ -1,7 +1,8 @@
 """Personal data, with information-theoretic sanitisation of what surrounds it.
 
 Base detectors find e-mail addresses, IP addresses, payment cards and phone numbers. Their values are the protected
-entities. Terms of the documents that hold an entity disclose it where corpus co-occurrence says so: with p estimated over all documents,
+entities, and so are the parts that several values share: mail domains, /24 networks, the first six digits of cards and the first five of
+phone numbers, as few values stand in several texts. Terms of the documents that hold an entity disclose it where corpus co-occurrence says so: with p estimated over all documents,
 PMI(term; entity) = log p(t, e) / (p(t) p(e)) reaches ``alpha`` times the entity's own information -log p(e), and both
 occur together in at least ``min_support`` distinct texts, so that copies of one text prove nothing. Every occurrence of such a
 term in a document that holds the entity becomes a ``term`` span, unless a base span touches it; base spans always stay.
@@ -9,7 +10,7 @@ term in a document that holds the entity becomes a ``term`` span, unless a base
 
 Counts cover the whole corpus: words are counted where a fixed-size Bloom filter says that they may be candidates, and a
 join makes that exact. Edge cases: a null or empty text has no spans; a null id is kept; repeated rows get equal
-results; an empty table gives an empty result.
+results; an empty table gives an empty result; very long texts and runs of digits take linear time; equal spans count once.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from .common import U, byte_values, id_and_text, materialise, mix, pieces, prefi
 
 KINDS = ("email", "ip", "card", "phone")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
@@ -48,6 +49,29 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def dotted_quads(text: str):
+    """Start and end of four numbers joined by dots, from the left, each at most 255. Whole runs of digits and dots are read at once, so
+    that long ones take linear time; of more than four numbers in a run every four are a match."""
+    for m in _DOTTED.finditer(text):
+        parts = m.group().split(".") if m.end() - m.start() > 6 else ()
+        at = m.start()
+        for k in range(0, len(parts) - 3, 4):
+            four = parts[k : k + 4]
+            end = at + sum(map(len, four)) + 3
+            if all(len(p) < 4 and int(p) <= 255 or int(p.lstrip("0")[:4] or 0) <= 255 for p in four):
+                yield at, end
+            at = end + 1
+
+
+def shared_part(kind: str, value: str) -> str:
+    """What several values of a kind have in common: the domain of an address, the network, the beginning of a number."""
+    if kind == "email":
+        return "@" + value.rsplit("@", 1)[1].lower()
+    if kind == "ip":
+        return value.rsplit(".", 1)[0] + "."
+    return f"{kind}:{_NOT_DIGIT.sub('', value)[: 6 if kind == 'card' else 5]}"
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) by kind as listed, then start. Each kind is matched from the left without overlaps; a match that
     fails its check is dropped without another try inside it."""
@@ -64,7 +88,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
         at = text.find("@", m.end() if m else at + 1)
     if _DIGIT.search(text):
         if "." in text:
-            out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(len(p) < 4 and int(p) <= 255 or int(p.lstrip("0")[:4] or 0) <= 255 for p in m.group().split("."))]
+            out += [("ip", a, b) for a, b in dotted_quads(text)]
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 16:
                 d = _NOT_DIGIT.sub("", m.group())
@@ -112,6 +136,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 for doc, text in zip(ids[part], texts[part], strict=True):
                     spans = base_spans(text)
                     entities = {_hash(_NOT_DIGIT.sub("", text[a:b]) if kind in ("card", "phone") else text[a:b].lower()) for kind, a, b in spans}
+                    entities |= {_hash(shared_part(kind, text[a:b])) for kind, a, b in spans}
                     terms, start, end = terms_outside(text, spans) if spans else (np.zeros(0, np.int64),) * 3
                     out["doc_id"].append(doc)
                     out["text_key"].append(_hash(text) if spans else 0)

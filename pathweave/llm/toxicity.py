@@ -1,15 +1,17 @@
 """Toxicity by weak supervision.
 
-Many voters look at a text: lexicon voters (one word each) and pattern voters (one word beginning each), found by their
-odds among labelled rows. A generative label model estimates each voter's rates of firing on toxic and on clean texts
-without looking at labels again (EM over a latent class), damps voters that fire together more than the class explains,
-and yields a posterior for each sampled text. A linear classifier over hashed word and beginning features is then
-trained on those posteriors and scores every whole text.
+Many voters look at a text: a given lexicon of insults, and lexicon voters (one word each) and pattern voters (a word beginning, or one
+that many words of the text share) found by their odds among labelled rows. A generative label model estimates each voter's rates
+of firing on toxic and on clean texts without looking at labels again (EM over a latent class), damps voters that fire
+together more than the class explains (so that correlated voters count together, but never less than the strongest of them alone), and
+yields a posterior for each sampled text. A linear classifier over hashed features is then trained on those posteriors and
+scores every whole text.
 
 Only rows whose fold is not 0 teach. The training sample is bounded (``per_class`` rows of each label, chosen by a hash of
-the id); voters are bounded by ``max_voters``. Edge cases: null and empty texts get the score of a text without features;
-null labels and labels without a document teach nothing; of repeated labels the largest counts; without both classes in
-the labelled rows every score is 0; repeated rows and ids get equal results.
+the id) and weighs as the labelled rows do, so that scores do not move with the size of the input; voters are bounded by
+``max_voters``. Edge cases: null and empty texts get the score of a text without features; null labels and labels without a
+document teach nothing; of repeated labels the largest counts; of rows that share an id one feature set, the least, teaches; without both
+classes in the labelled rows every score is 0; repeated rows and ids get equal results; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,11 +26,21 @@ from pyspark.sql import functions as F
 from .common import U, byte_values, fold, id_and_text, mix, prefix_sums, read_table, record, run_hashes, word_bounds
 from .language import sample_by_hash
 
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS = (4, 5, 6, 7)
+#: A beginning that two words share, and one in so many words, is a pattern too.
+OFTEN = 50
+_TWICE, _OFTEN = U(0x7477696365), U(0x6F6674656E)
+#: Insults in the languages at hand, as voters that need no labels.
+LEXICON = (
+    "idiot moron stupid loser scum trash pathetic worthless disgusting clown fool dumb jerk imbecile filth "
+    "dumm trottel abschaum widerlich erbärmlich versager stupide débile ordure minable dégoûtant "
+    "idiota estúpido imbécil basura patético asqueroso"
+).split()
 
 
 def features(text: bytes) -> np.ndarray:
-    """Distinct 64-bit hashes of the lower-case words and of their first 4, 5 and 6 bytes; punctuation at the ends goes."""
+    """Distinct 64-bit hashes of the lower-case words, of their first 4 to 7 bytes, and of such beginnings that two words or a fiftieth of
+    all words have; punctuation at the ends goes."""
     text = text.lower().translate(_EDGES)
     starts, ends = word_bounds(text)
     if not len(starts):
@@ -37,10 +49,16 @@ def features(text: bytes) -> np.ndarray:
     parts = [run_hashes(sums, starts, ends)]
     for n in BEGINNINGS:
         long = ends - starts > n
-        parts.append(mix(run_hashes(sums, starts[long], starts[long] + n) ^ U(n)))
+        h, count = np.unique(mix(run_hashes(sums, starts[long], starts[long] + n) ^ U(n)), return_counts=True)
+        parts += [h, mix(h[count > 1] ^ _TWICE), mix(h[(count > 1) & (count * OFTEN >= len(starts))] ^ _OFTEN)]
     return np.unique(np.concatenate(parts))
 
 
+def word_feature(word: str) -> np.uint64:
+    raw = word.lower().encode()
+    return run_hashes(prefix_sums(byte_values(raw)), np.array([0]), np.array([len(raw)]))[0]
+
+
 #: ASCII punctuation separates words here.
 _EDGES = bytes(32 if chr(i) in "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~" else i for i in range(256))
 
@@ -58,9 +76,10 @@ class LabelModel:
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         """A silent voter abstains; that none fires at all is one more vote."""
-        fire = self.damping * (np.log(self.on_toxic) - np.log(self.on_clean))
+        fire = np.log(self.on_toxic) - np.log(self.on_clean)
         none = votes.sum(axis=1) == 0
-        z = np.log(self.prior / (1 - self.prior)) + votes @ fire + none * self.none_fires
+        strongest = (votes * fire).max(axis=1, initial=0.0)
+        z = np.log(self.prior / (1 - self.prior)) + np.maximum(strongest, votes @ (self.damping * fire)) + none * self.none_fires
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -111,14 +130,15 @@ def fit_linear(rows: list[np.ndarray], dims: int, target: np.ndarray, rounds: in
     return w, b
 
 
-def calibrate(z: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[float, float]:
-    """Scale and shift of a score so that its sigmoid is a probability (Platt's targets, Newton steps with a small ridge)."""
+def calibrate(z: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 100) -> tuple[float, float]:
+    """Scale and shift of a score so that its sigmoid is a probability among the rows that the sample stands for (Platt's targets, weighted
+    Newton steps with a small ridge)."""
     target = np.where(y, (y.sum() + 1) / (y.sum() + 2), 1 / ((~y).sum() + 2))
     x, beta = np.stack([z, np.ones(len(z))], axis=1), np.array([1.0, 0.0])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        step = np.linalg.solve(h, x.T @ (p - target) + 1e-3 * (beta - [1.0, 0.0]))
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+        step = np.linalg.solve(h, x.T @ (weight * (p - target)) + 1e-3 * (beta - [1.0, 0.0]))
         beta = beta - step / max(1.0, np.abs(step).max() / 2)
         if np.abs(step).max() < 1e-8:
             break
@@ -156,22 +176,8 @@ class Classifier:
 NOTHING = Classifier(np.zeros(0, U), np.zeros(0), -30.0)
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500, max_voters: int = 600, min_rows: int = 6, min_odds: float = 3.0) -> Classifier:
-    marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("h", pa.binary())])
-
-    def hashed(batches):
-        for batch in batches:
-            yield record({"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "h": [features(t.encode()).tobytes() for t in batch.column("text").to_pylist()]}, schema)
-
-    # the bounded sample, as hashes; rows in id order, so that the fit does not depend on partitions
-    # (the sample holds at most twice per_class ids of each label, so it may be broadcast at any size of input)
-    sample = sample_by_hash(marks.where(fold("doc_id", 5) != 0), "toxic", per_class, "toxic", total=2 * per_class)
-    got = id_and_text(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text").mapInArrow(hashed, "doc_id long, toxic int, h binary").toArrow().sort_by("doc_id")
-    y = np.array(got["toxic"].to_pylist(), np.int64)
-    x = [np.frombuffer(b, U) for b in got["h"].to_pylist()]
-    if not len(y) or y.min() == y.max():
-        return NOTHING
+def fit(x: list[np.ndarray], y: np.ndarray, weight: np.ndarray, max_voters: int = 600, min_rows: int = 6, min_odds: float = 3.0, lexicon: list[str] = LEXICON) -> Classifier:
+    """The classifier for rows of feature hashes with labels; ``weight``: how many labelled rows each stands for."""
     every = np.concatenate(x)
     names, inverse = np.unique(every, return_inverse=True)
     label = np.repeat(y, [len(r) for r in x])
@@ -180,7 +186,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500, max_voters:
     odds = np.log((pos + 0.5) / ((y == 1).sum() + 1)) - np.log((neg + 0.5) / ((y != 1).sum() + 1))
     # a lower bound of the odds, so that rare words need more rows; half of it is enough for words that no clean row has
     bound = odds - 1.64 * np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
-    good = np.flatnonzero((pos >= min_rows) & ((bound >= min_odds) | ((neg == 0) & (bound >= min_odds / 2))))
+    given = np.isin(names, np.array([word_feature(w) for w in lexicon], U)) & (odds > 0) & (pos > 0)
+    good = np.flatnonzero(given | ((pos >= min_rows) & ((bound >= min_odds) | ((neg == 0) & (bound >= min_odds / 2)))))
     good = good[np.lexsort((names[good], -pos[good]))][: 4 * max_voters]
     if not len(good):
         return NOTHING
@@ -197,13 +204,37 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500, max_voters:
     on, total = np.bincount(inverse, weights=hard, minlength=len(names)), pos + neg
     base = soft.mean()
     seen = (total >= 4) & (np.abs(on - total * base) > 6 * np.sqrt(total * base * (1 - base)))
+    seen[good] = True
     place = np.cumsum(seen) - 1
     found = [place[i[seen[i]]] for i in (np.searchsorted(names, r) for r in x)]
     w, b = fit_linear(found, int(seen.sum()), soft)
-    scale, shift = calibrate(b + np.array([w[f].sum() for f in found]), y == 1)
+    scale, shift = calibrate(b + np.array([w[f].sum() for f in found]), y == 1, weight)
     return Classifier(names[seen], scale * w, scale * b + shift, votes.shape[1], model)
 
 
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500, **voters) -> Classifier:
+    marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    marks = marks.where(fold("doc_id", 5) != 0)
+    schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("h", pa.binary())])
+
+    def hashed(batches):
+        for batch in batches:
+            yield record({"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "h": [features(t.encode()).tobytes() for t in batch.column("text").to_pylist()]}, schema)
+
+    # the sample holds at most per_class ids of each label, so it may be broadcast at any size of input; one row of each id teaches
+    sample = sample_by_hash(marks, "toxic", per_class, "toxic", total=2 * per_class)
+    rows = id_and_text(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text").mapInArrow(hashed, "doc_id long, toxic int, h binary")
+    # in id order, so that the fit does not depend on partitions
+    got = rows.groupBy("doc_id", "toxic").agg(F.min("h").alias("h")).toArrow().sort_by("doc_id")
+    y = np.array(got["toxic"].to_pylist(), np.int64)
+    x = [np.frombuffer(b, U) for b in got["h"].to_pylist()]
+    if not len(y) or y.min() == y.max():
+        return NOTHING
+    counts = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
+    weight = np.array([counts[t] / (y == t).sum() for t in y.tolist()])
+    return fit(x, y, weight / weight.mean(), **voters)
+
+
 def score(docs: DataFrame, model: Classifier) -> DataFrame:
     """doc_id, score for every text; the model is as small as its sample is bounded."""
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
