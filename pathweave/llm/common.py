@@ -51,12 +51,15 @@ def fold(doc_id, n: int):
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; one is set only where none is (tests)."""
+    """The shared folder of the session. One is set only where none is and driver and executors are one process (tests); on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     own = spark.sparkContext.getCheckpointDir()
     if own is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         own = "file://" + tempfile.mkdtemp(prefix="pathweave-")

@@ -16,6 +16,7 @@ take any from others; rows that share an id do not remove each other; an empty t
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 
 import numpy as np
@@ -30,23 +31,52 @@ WINDOW, GRAM = 50, 16
 
 
 class FingerprintIndex:
-    """Sorted immutable runs in the shared folder: anchor, content, doc_id (the smallest), n (occurrences)."""
+    """Sorted immutable runs in a shared folder: anchor, content, doc_id (the smallest), occurrences. A manifest names the runs of each
+    level, so that a later session opens the index and goes on with new documents."""
 
     schema = "anchor long, content long, doc_id long, occurrences long"
 
-    def __init__(self, spark: SparkSession, fanout: int = 2) -> None:
+    def __init__(self, spark: SparkSession, fanout: int = 2, root: str | None = None) -> None:
         self.spark, self.fanout = spark, fanout
-        self.root = f"{checkpoint_dir(spark)}/fingerprints-{uuid.uuid4().hex}"
+        self.root = root.rstrip("/") if root else f"{checkpoint_dir(spark)}/fingerprints-{uuid.uuid4().hex}"
         self.levels: dict[int, list[str]] = {}
         self._next = 0
 
+    @classmethod
+    def open(cls, spark: SparkSession, root: str, fanout: int = 2) -> FingerprintIndex:
+        """The index that ``root`` holds, or an empty one."""
+        out = cls(spark, fanout, root)
+        fs, path = out._file()
+        if fs.exists(path):
+            held = json.loads(spark.read.text(path.toString(), wholetext=True).collect()[0][0])
+            out.levels, out._next = {int(k): v for k, v in held["levels"].items()}, held["next"]
+        return out
+
+    def _file(self, name: str = "manifest.json"):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def _save(self) -> None:
+        """Written beside the old manifest and moved over it: a run counts once it is named there."""
+        fs, new = self._file(f"manifest-{uuid.uuid4().hex}")
+        stream = fs.create(new)
+        stream.write(bytearray(json.dumps({"levels": self.levels, "next": self._next}).encode()))
+        stream.close()
+        _, path = self._file()
+        fs.delete(path, False)
+        fs.rename(new, path)
+
     def runs(self) -> list[DataFrame]:
-        return [self.spark.read.schema(self.schema).parquet(p) for level in self.levels.values() for p in level]
+        return [self._read(p) for level in self.levels.values() for p in level]
+
+    def _read(self, name: str) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.root}/{name}")
 
-    def _write(self, rows: DataFrame, level: int) -> None:
-        path, self._next = f"{self.root}/{level}-{self._next}", self._next + 1
-        rows.sortWithinPartitions("anchor", "content").write.parquet(path)
-        self.levels.setdefault(level, []).append(path)
+    def _write(self, rows: DataFrame, level: int) -> str:
+        name, self._next = f"{level}-{self._next}-{uuid.uuid4().hex[:8]}", self._next + 1
+        rows.sortWithinPartitions("anchor", "content").write.parquet(f"{self.root}/{name}")
+        self.levels.setdefault(level, []).append(name)
+        return name
 
     @staticmethod
     def merged(runs: list[DataFrame]) -> DataFrame:
@@ -56,16 +86,21 @@ class FingerprintIndex:
         return rows.groupBy("anchor", "content").agg(F.min("doc_id").alias("doc_id"), F.sum("occurrences").alias("occurrences"))
 
     def append(self, rows: DataFrame) -> DataFrame:
-        """Adds a batch's distinct fingerprints as a run, and compacts levels that are full. Returns the run as written."""
-        self._write(rows, 0)
-        written = self.spark.read.schema(self.schema).parquet(self.levels[0][-1])
-        return written
+        """Adds a batch's distinct fingerprints as a run. Returns the run as written; ``compact`` follows once nothing reads it."""
+        name = self._write(rows, 0)
+        self._save()
+        return self._read(name)
 
     def compact(self) -> None:
+        """Merges levels that are full into one run of the next level, and then drops their runs."""
         level = 0
         while len(self.levels.get(level, [])) >= self.fanout:
-            paths = self.levels.pop(level)
-            self._write(self.merged([self.spark.read.schema(self.schema).parquet(p) for p in paths]), level + 1)
+            names = self.levels.pop(level)
+            self._write(self.merged([self._read(n) for n in names]), level + 1)
+            self._save()
+            for n in names:
+                fs, path = self._file(n)
+                fs.delete(path, True)
             level += 1
 
 

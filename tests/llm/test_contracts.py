@@ -173,6 +173,22 @@ def test_scores_do_not_move_with_the_share_of_the_sample():
     assert rare.score(plain) < even.score(plain) < 0.5 and math.isfinite(rare.score(b"")) and even.score(b"vileword here") > 0.5
 
 
+def test_index_is_opened_again_and_compacted(spark, tmp_path):
+    from pathweave.llm.substring_index import FingerprintIndex, classes_of
+
+    batch = lambda *rows: spark.createDataFrame(rows, FingerprintIndex.schema)
+    root = f"file://{tmp_path}/index"
+    first = FingerprintIndex.open(spark, root)
+    first.append(batch((1, 10, 5, 1), (2, 20, 6, 1)))
+    again = FingerprintIndex.open(spark, root)
+    fresh = again.append(batch((1, 10, 9, 1), (3, 30, 9, 2)))
+    assert {tuple(r) for r in classes_of(again, fresh).collect()} == {(1, 10, 5, 1), (3, 30, 9, 1)}
+    again.compact()
+    last = FingerprintIndex.open(spark, root)
+    assert {k: len(v) for k, v in last.levels.items()} == {1: 1}
+    assert {tuple(r) for r in last.runs()[0].collect()} == {(1, 10, 5, 2), (2, 20, 6, 1), (3, 30, 9, 2)}
+
+
 def test_lexicon_votes_without_support():
     y = np.array([1, 1] + [0] * 60)
     x = [toxicity.features(t) for t in [b"you idiot there", b"an idiot again"] + [f"plain words {i}".encode() for i in range(60)]]
