@@ -40,8 +40,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts are long: the session's Arrow batches hold at most so many rows, as an executor's tasks keep several batches in and outside the JVM."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def id_and_text(docs: DataFrame) -> DataFrame:
     """Only doc_id and text (null: empty), so that extra columns cannot clash with the operators' own."""
+    short_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
@@ -133,6 +141,7 @@ class IdFilter:
     def rows(self, table: DataFrame, column: str, among: bool = True) -> DataFrame:
         """Rows whose id may be among the filter's, or with ``among=False`` all others (null ids too)."""
         shared, at = self.shared, table.columns.index(column)
+        short_batches(table.sparkSession)
 
         def pick(batches):
             bits = np.frombuffer(shared.value, np.uint8)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, byte_values, id_and_text, materialise, mix, pieces, prefix_sums, read_table, record, run_hashes, word_bounds
+from .common import IdFilter, U, byte_values, id_and_text, materialise, mix, pieces, prefix_sums, read_table, record, run_hashes, word_bounds
 
 KINDS = ("email", "ip", "card", "phone")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -301,15 +301,19 @@ def sanitise(docs: DataFrame, alpha: float = 0.8, min_support: int = 3) -> DataF
         return pd.Series(out, dtype=object)
 
     # one document may have several rows under one id: the text's own key decides
-    lists = spans.groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("_key").cast("string"), "_spans"))).alias("_by_key"))
-    joined = docs.join(lists, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    lists = materialise(spans.groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("_key").cast("string"), "_spans"))).alias("_by_key")), "pii-spans")
+    # texts of documents without spans are not exchanged
+    some = IdFilter(lists.select("_id"))
+    none = some.rows(docs, "doc_id", among=False)
+    joined = some.rows(docs, "doc_id").unionByName(none.where(F.col("doc_id").isNull())).join(lists, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
 
     @F.pandas_udf("string")
     def own_key(text):
         return text.map(lambda t: None if t is None else str(_hash(t)))
 
     key = F.when(F.col("_by_key").isNotNull(), own_key("text"))
-    return joined.withColumn("_k", key).withColumn("_s", F.col("_by_key")[F.col("_k")]).withColumn("text", F.when(F.col("_s").isNotNull(), replaced("text", "_s")).otherwise(F.col("text"))).select(*docs.columns)
+    done = joined.withColumn("_k", key).withColumn("_s", F.col("_by_key")[F.col("_k")]).withColumn("text", F.when(F.col("_s").isNotNull(), replaced("text", "_s")).otherwise(F.col("text"))).select(*docs.columns)
+    return done.unionByName(none.where(F.col("doc_id").isNotNull()))
 
 
 def replace_spans(text: str, spans: list[tuple[str, int, int]]) -> str:
