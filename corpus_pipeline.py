@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathweave.llm import decontaminate, jaccard, language, packing, pii
-from pathweave.llm.common import materialise, read_table
+from pathweave.llm.common import IdFilter, materialise, read_table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -23,15 +23,22 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one with the smallest id, and one of repeated rows; rows without an id stay."""
-    heads = jaccard.near_duplicates(docs, words=5, percent=80).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.where(F.col("doc_id").isNotNull()).join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull())).select(*COLUMNS)
+    found = materialise(jaccard.near_duplicates(docs, words=5, percent=80).select("doc_id", "component_id"), "pipeline-classes")
+    heads = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    losers = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
+    again = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    # only documents that may go, or stand several times, are exchanged
+    unsure = IdFilter(losers.union(again))
+    kept = unsure.rows(docs, "doc_id").join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.unionByName(unsure.rows(docs, "doc_id", among=False)).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, exactly or nearly, go."""
-    found = decontaminate.matches(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+    found = materialise(decontaminate.matches(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "pipeline-contaminated")
+    some = IdFilter(found)
+    kept = some.rows(docs, "doc_id").join(found, "doc_id", "left_anti")
+    return kept.unionByName(some.rows(docs, "doc_id", among=False)).select(*COLUMNS)
 
 
 def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
