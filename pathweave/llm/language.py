@@ -6,7 +6,7 @@ ambiguous when the two nearest codewords are close.
 
 The classifiers are fitted on a bounded sample: ``per_language`` rows of each language, or fewer where ``total`` rows would be
 passed, chosen by a hash of id and text; of over ``max_keys`` label values the most frequent are learned. Every text is
-predicted whole, at most 256 texts at a time, so that memory does not depend on how short texts are. Edge cases: a null, empty
+predicted whole, at most 64 texts at a time, so that memory does not depend on how short texts are. Edge cases: a null, empty
 or letterless text is ``und`` with score 0; null languages teach nothing; with no labelled row at all every text is ``und``;
 with one language every text with a letter gets it with score 1; of equally near codewords the first language by name wins;
 repeated rows and ids get equal results; other columns are not read.
@@ -32,8 +32,8 @@ HAS_LETTER = r"\p{L}"
 
 
 def few(texts: list[bytes]) -> Iterator[slice]:
-    """Slices of at most 256 texts and about half a megabyte: what one call of ``gram_features`` takes."""
-    return pieces([len(t) + (1 << 11) for t in texts], 1 << 19)
+    """Slices of at most 64 texts and about half a megabyte: what one call of ``gram_features`` takes."""
+    return pieces([len(t) + (1 << 13) for t in texts], 1 << 19)
 
 
 def gram_features(texts: list[bytes]) -> np.ndarray:
