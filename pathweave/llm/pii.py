@@ -130,16 +130,16 @@ def scan(docs: DataFrame) -> DataFrame:
 
     def find(batches):
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+            ids, texts, keys = (batch.column(c).to_pylist() for c in ("doc_id", "text", "text_key"))
             for part in pieces([len(t) for t in texts], 1 << 22):
                 out = {f.name: [] for f in _SCAN}
-                for doc, text in zip(ids[part], texts[part], strict=True):
+                for doc, text, key in zip(ids[part], texts[part], keys[part], strict=True):
                     spans = base_spans(text)
                     entities = {_hash(_NOT_DIGIT.sub("", text[a:b]) if kind in ("card", "phone") else text[a:b].lower()) for kind, a, b in spans}
                     entities |= {_hash(shared_part(kind, text[a:b])) for kind, a, b in spans}
                     terms, start, end = terms_outside(text, spans) if spans else (np.zeros(0, np.int64),) * 3
                     out["doc_id"].append(doc)
-                    out["text_key"].append(_hash(text) if spans else 0)
+                    out["text_key"].append(key if spans else 0)
                     out["base"].append(",".join(f"{k}:{a}:{b}" for k, a, b in spans))
                     out["counts"].append([sum(k == kind for k, _, _ in spans) for kind in KINDS])
                     out["entities"].append(sorted(entities))
@@ -147,7 +147,7 @@ def scan(docs: DataFrame) -> DataFrame:
                     out["places"].append(np.concatenate([start, end]).astype(np.int32).tobytes())
                 yield record(out, _SCAN)
 
-    return id_and_text(docs).mapInArrow(find, _SCAN_DDL)
+    return id_and_text(docs).withColumn("text_key", F.xxhash64("text")).mapInArrow(find, _SCAN_DDL)
 
 
 BLOOM_BITS = 23
@@ -301,18 +301,14 @@ def sanitise(docs: DataFrame, alpha: float = 0.8, min_support: int = 3) -> DataF
         return pd.Series(out, dtype=object)
 
     # one document may have several rows under one id: the text's own key decides
-    lists = materialise(spans.groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("_key").cast("string"), "_spans"))).alias("_by_key")), "pii-spans")
+    spans = materialise(spans, "pii-spans")
     # texts of documents without spans are not exchanged
-    some = IdFilter(lists.select("_id"))
+    some = IdFilter(spans.select("_id"))
     none = some.rows(docs, "doc_id", among=False)
-    joined = some.rows(docs, "doc_id").unionByName(none.where(F.col("doc_id").isNull())).join(lists, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-
-    @F.pandas_udf("string")
-    def own_key(text):
-        return text.map(lambda t: None if t is None else str(_hash(t)))
-
-    key = F.when(F.col("_by_key").isNotNull(), own_key("text"))
-    done = joined.withColumn("_k", key).withColumn("_s", F.col("_by_key")[F.col("_k")]).withColumn("text", F.when(F.col("_s").isNotNull(), replaced("text", "_s")).otherwise(F.col("text"))).select(*docs.columns)
+    mine = some.rows(docs, "doc_id").unionByName(none.where(F.col("doc_id").isNull()))
+    # a merge join at every size: the filter's and the replacing workers never stand in one task
+    joined = mine.join(spans.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left")
+    done = joined.withColumn("text", F.when(F.col("_spans").isNotNull(), replaced("text", "_spans")).otherwise(F.col("text"))).select(*docs.columns)
     return done.unionByName(none.where(F.col("doc_id").isNotNull()))
 
 
