@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import crc, id_and_text, materialise, pieces, read_table, record
+from .common import crc, held, id_and_text, materialise, pieces, read_table, record
 
 CAPACITY = 2048
 END_ID = 0
@@ -113,13 +113,8 @@ class Encoder:
         return [b"".join([get(p) if len(p) < 64 else own[p] for p in parts]) for parts in split]
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return held(f"encoder of {path}", lambda: Encoder(path))
 
 
 _PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary()), ("chunk", pa.int64()), ("rank_in_chunk", pa.int64())])
