@@ -64,13 +64,13 @@ FACTS = [
 ]
 
 
-def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forward triples of the star schema, distinct: primary keys stand once, other pairs are made distinct as plain keys."""
+def triples(spark: SparkSession, sf_dir: str, once: bool = True) -> DataFrame:
+    """Forward triples of the star schema, distinct: primary keys stand once, other pairs are made distinct as plain keys, unless not ``once``."""
     label = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
     rows = []
     for name, kind_1, key_1, relation, kind_2, key_2, repeats in FACTS:
         pairs = table(spark, sf_dir, name).select(F.col(key_1).alias("_1"), F.col(key_2).alias("_2"))
-        pairs = pairs.distinct() if repeats else pairs
+        pairs = pairs.distinct() if repeats and once else pairs
         rows.append(pairs.select(label(kind_1, "_1").alias("source"), F.lit(relation).alias("relation"), label(kind_2, "_2").alias("target")))
     return reduce(DataFrame.unionByName, rows)
 
@@ -115,6 +115,25 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finish(with_inverses(triples(spark, sf_dir)))
 
 
+#: 2^21 words of 64 bits, whatever the number of handles.
+_HANDLE_WORDS = 21
+
+
+def edges_by_handle(spark: SparkSession, sf_dir: str, handles: DataFrame) -> DataFrame:
+    """(source, relation, target, evidence) of every edge, of any relation, whose handle may be in handles(evidence): all that are, and some others.
+
+    48 bits do not keep millions of edges apart, so a handle of one relation can name an edge of another. All edges are asked,
+    against a bitmap of a fixed size by the handle's low bits; only what it lets through is exchanged, by handle, and made distinct.
+    """
+    word, bit = F.expr(f"evidence & {(1 << _HANDLE_WORDS) - 1}"), F.expr(f"shiftleft(1L, cast(shiftright(evidence, {_HANDLE_WORDS}) & 63 as int))")
+    words = handles.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    rows = edges(spark, sf_dir) if spark.conf.get(_conf(sf_dir), None) else finish(with_inverses(triples(spark, sf_dir, once=False)))
+    # never null, so that no filter hashes every edge a second time
+    rows = rows.select("source", "relation", "target", F.coalesce("evidence", F.lit(0)).alias("evidence")).withColumn("_word", word)
+    near = rows.join(F.broadcast(words), "_word").where(F.col("_bits").bitwiseAND(bit) != 0)
+    return near.select("source", "relation", "target", "evidence").repartition("evidence").distinct()
+
+
 def kind_of(c: str) -> Column:
     """The type of an entity: what stands before the colon."""
     return F.substring_index(F.col(c), ":", 1)
