@@ -64,3 +64,12 @@ def test_routing_deals_no_pairs_and_leaves_out_what_has_no_vector(spark, tmp_pat
     assert rows(got.toPandas()) == rows(con.sql(ORACLE_SQL["F12_routing"]).df())
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Aggregate" not in plan and "hashpartitioning" not in plan
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_logs_take_no_file_a_user(spark, tmp_path, monkeypatch):
+    from pathweave.plans import source_queries
+
+    monkeypatch.setattr(source_queries, "folder", lambda s: f"{tmp_path}/logs")
+    assert QUERIES["S19_log_metrics"](spark, SF).count() > 0
+    assert list(tmp_path.rglob("part-*")) and not list(tmp_path.rglob("user_id=*"))
