@@ -73,3 +73,12 @@ def test_logs_take_no_file_a_user(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(source_queries, "folder", lambda s: f"{tmp_path}/logs")
     assert QUERIES["S19_log_metrics"](spark, SF).count() > 0
     assert list(tmp_path.rglob("part-*")) and not list(tmp_path.rglob("user_id=*"))
+
+
+def test_pairs_of_one_label_are_made_by_many_tasks(spark, tmp_path):
+    spark.range(400).selectExpr("id AS p_partkey", "' One Name' AS p_name", "concat('b', id % 3) AS p_brand").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    got = QUERIES["J14_alignment"](spark, str(tmp_path))
+    assert rows(got.toPandas()) == rows(con.sql(ORACLE_SQL["J14_alignment"]).df())
+    assert sum(any(True for _ in part) for part in got.rdd.glom().collect() if part) > 1
