@@ -9,7 +9,8 @@ term in a document that holds the entity becomes a ``term`` span, unless a base
 ``sanitise`` replaces every span by a placeholder of its kind.
 
 Counts cover the whole corpus: words are counted where a fixed-size Bloom filter says that they may be candidates, and a
-join makes that exact. Edge cases: a null or empty text has no spans; a null id is kept; repeated rows get equal
+join makes that exact. Terms that are too common among the documents with entities to disclose any of them are no candidates, so that the
+partial counts of tasks do not grow with the whole vocabulary. Edge cases: a null or empty text has no spans; a null id is kept; repeated rows get equal
 results; an empty table gives an empty result; very long texts and runs of digits take linear time; equal spans count once.
 """
 
@@ -158,8 +159,8 @@ def _bloom_slots(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (h >> U(64 - BLOOM_BITS)).astype(np.int64), (h & U((1 << BLOOM_BITS) - 1)).astype(np.int64)
 
 
-def term_frequencies(docs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """term, n_term: in how many documents each candidate term occurs as a word.
+def term_frequencies(docs: DataFrame, candidates: DataFrame, column: str = "text") -> DataFrame:
+    """term, n_term: in how many documents each candidate term occurs as a word; ``column`` holds texts, or hashes of terms as bytes.
 
     The hash of the term is tested first, against a filter of 2^23 bits whatever the number of candidates.
     """
@@ -191,9 +192,9 @@ def term_frequencies(docs: DataFrame, candidates: DataFrame) -> DataFrame:
             total.clear()
 
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for part in pieces([len(t) for t in texts], 1 << 20):
-                h = np.concatenate([np.unique(quick_hashes(t.encode())) for t in texts[part]])
+            rows = batch.column(0).to_pylist()
+            for part in pieces([len(t) for t in rows], 1 << 20):
+                h = np.concatenate([np.unique(quick_hashes(t.encode()) if isinstance(t, str) else np.frombuffer(t, np.int64)) for t in rows[part]])
                 a, b = _bloom_slots(h)
                 keys, n = np.unique(h[table[a] & table[b]], return_counts=True)
                 total.update(dict(zip(keys.tolist(), n.tolist(), strict=True)))
@@ -201,10 +202,22 @@ def term_frequencies(docs: DataFrame, candidates: DataFrame) -> DataFrame:
                     yield from sums()
         yield from sums()
 
-    seen = id_and_text(docs).select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+    seen = docs.select(column).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
     return candidates.join(seen, "term").select("term", "n_term")
 
 
+def possible_terms(pairs: DataFrame, entities: DataFrame, rows: DataFrame, total: int, alpha: float) -> DataFrame:
+    """term: those of the pairs that may disclose an entity, as far as the scanned documents tell.
+
+    The test on PMI holds only if n_term <= n_pair (total / n_entity)^(1 - alpha). A term stands in no fewer of all documents than of those that
+    hold an entity, so one that stands in more of these than its largest bound passes the test with no entity, and all texts need not be read for it.
+    """
+    bound = F.col("n_pair") * F.pow(F.lit(float(max(total, 1))) / F.col("n_entity"), F.lit(1.0 - alpha))
+    bounds = materialise(pairs.join(entities, "entity").groupBy("term").agg(F.max(bound).alias("most")), "pii-bounds")
+    # a little above the bound, as both tests are rounded
+    return bounds.join(term_frequencies(rows, bounds.select("term"), "terms"), "term").where(F.col("n_term") <= F.col("most") * (1 + 1e-6)).select("term")
+
+
 def term_places(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Byte offsets at which words start and end without ASCII punctuation at their ends; words of punctuation only are left out."""
     starts, ends = word_bounds(raw)
@@ -243,7 +256,8 @@ def disclosures(docs: DataFrame, scanned: DataFrame, alpha: float = 0.8, min_sup
     pairs = by_text.groupBy("entity", "term").agg(F.sum("n").alias("n_pair"), F.count("*").alias("support")).where(F.col("support") >= min_support).drop("support")
     pairs = materialise(pairs, "pii-pairs")
     total = id_and_text(docs).agg(F.count("*").alias("n")).collect()[0]["n"]
-    frequencies = term_frequencies(docs, pairs.select("term").distinct())
+    terms = materialise(possible_terms(pairs, entities, rows, total, alpha), "pii-terms")
+    frequencies = term_frequencies(id_and_text(docs), terms)
     log = F.log
     p = lambda c: F.col(c) / F.lit(float(max(total, 1)))
     pmi = log(p("n_pair")) - log(p("n_term")) - log(p("n_entity"))

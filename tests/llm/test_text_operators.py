@@ -416,3 +416,37 @@ def test_disclosing_terms_count_and_go_in_whole_documents(spark):
     rows += [(10 + i, f"wrote mail signed number{i}") for i in range(300)]
     out = by_id(pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")))
     assert [out[i]["text"] for i in range(3)] == [f"<TERM> <TERM>, wrote {fill(i, 0)} mail <EMAIL> {fill(i, 1)} signed <TERM>" for i in range(3)]
+
+
+def test_terms_too_common_to_disclose_are_not_counted_in_all_texts(spark, monkeypatch):
+    """All pairs as by brute force, and only terms that scanned documents leave possible are counted in all texts."""
+    rng = random.Random(17)
+    people = [f"user{i}@site{i % 4}.org" for i in range(12)]
+    rows = [(i, f"{words(rng, 6)} secret{i % 12} shared{i % 4} common {people[i % 12]} own{i}") for i in range(120)]
+    rows += [(1000 + i, f"{words(rng, 5)} common plain{i % 40}" + f" secret{i % 12}" * (i % 9 == 0)) for i in range(800)]
+    counted, frequencies = {}, pii.term_frequencies
+
+    def spy(docs, candidates, *column):
+        counted[(column or ("text",))[0]] = {r["term"] for r in candidates.collect()}
+        return frequencies(docs, candidates, *column)
+
+    monkeypatch.setattr(pii, "term_frequencies", spy)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    texts = {i: set(pii.quick_hashes(t.encode()).tolist()) for i, t in rows}
+    inside, held = {}, {}
+    for i, t in rows:
+        spans = pii.base_spans(t)
+        inside[i] = set(pii.terms_outside(t, spans)[0].tolist())
+        for kind, a, b in spans:
+            for e in (t[a:b].lower(), pii.shared_part(kind, t[a:b])):
+                held.setdefault(pii._hash(e), set()).add(i)
+    for alpha in (0.5, 0.8, 0.95):
+        got = {(r["entity"], r["term"]) for r in pii.disclosures(frame, pii.scan(frame), alpha).collect()}
+        want, n_term = set(), lambda t: sum(t in own for own in texts.values())
+        for e, ids in held.items():
+            for t in set().union(*(inside[i] for i in ids)):
+                n = sum(t in inside[i] for i in ids)
+                if n >= 3 and np.log(n) + np.log(len(rows)) - np.log(n_term(t)) - np.log(len(ids)) >= -alpha * np.log(len(ids) / len(rows)):
+                    want.add((e, t))
+        assert got == want and want
+        assert {t for _, t in want} <= counted["text"] and (pii.quick_hashes(b"common")[0] in counted["text"]) == (alpha < 0.8)
