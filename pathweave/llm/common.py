@@ -36,35 +36,13 @@ if TaskContext.get() is not None:
     give_memory_back()
 
 
-_HELD: dict = {}
-_HELD_BY: list = [None]
-
-
-def stage_of_task() -> int | None:
-    context = TaskContext.get()
-    return context.stageId() if context is not None else None
-
-
-def held(name: str, make):
-    """An object that takes long to make, such as a tokenizer: a worker keeps it for the tasks of one stage."""
-    drop_held()
-    if name not in _HELD:
-        _HELD[name] = make()
-    return _HELD[name]
-
-
-def drop_held() -> None:
-    """Workers outlive their stages too: what one held for another stage goes back to the system."""
-    stage = stage_of_task()
-    if _HELD_BY[0] != stage:
-        _HELD_BY[0] = stage
-        if _HELD:
-            _HELD.clear()
-            gc.collect()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (AttributeError, OSError):
-                pass  # another C library
+def trim_memory() -> None:
+    """Small objects that a worker has dropped leave its heap for the system."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -187,7 +165,6 @@ class IdFilter:
 
 def pieces(sizes: list[int], limit: int) -> Iterator[slice]:
     """Consecutive slices whose sizes sum to about ``limit``; at least one element each."""
-    drop_held()
     start, total = 0, 0
     for i, n in enumerate(sizes):
         if i > start and total + n > limit:

@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections import defaultdict
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import crc, held, id_and_text, materialise, pieces, read_table, record
+from .common import crc, id_and_text, materialise, pieces, read_table, record, trim_memory
 
 CAPACITY = 2048
 END_ID = 0
@@ -76,14 +77,19 @@ class Encoder:
     """
 
     def __init__(self, path: str, ranks: bool = True) -> None:
+        self.path = path
+        self.ranks, self.added = (ranks and rank_encoder(path)) or (None, [])
+        self.cache: dict[str, bytes] = {}
+
+    @cached_property
+    def tokenizer(self):
+        """The tokenizer itself, which few texts need where there are ranks."""
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.ranks, self.added = (ranks and rank_encoder(path)) or (None, [])
-        self.cache: dict[str, bytes] = {}
+        return Tokenizer.from_file(self.path)
 
     def _slowly(self, parts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
@@ -113,10 +119,6 @@ class Encoder:
         return [b"".join([get(p) if len(p) < 64 else own[p] for p in parts]) for parts in split]
 
 
-def encoder(path: str) -> Encoder:
-    return held(f"encoder of {path}", lambda: Encoder(path))
-
-
 _PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary()), ("chunk", pa.int64()), ("rank_in_chunk", pa.int64())])
 _DDL = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, chunk long, rank_in_chunk long"
 
@@ -126,23 +128,29 @@ def cut(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, keep_ids
     capacity are cut; their first piece takes what does not fill a whole one."""
 
     def pieces_of(batches):
-        chunk, seen = TaskContext.get().partitionId(), defaultdict(int)
-        for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for part in pieces([len(t) for t in texts], 1 << 20):
-                out = {f.name: [] for f in _PIECE}
-                for doc, raw in zip(ids[part], encoder(tokenizer_path).encode(texts[part]), strict=True):
-                    raw += END_ID.to_bytes(4, "little")
-                    n = len(raw) // 4
-                    at, length = 0, n % capacity or min(n, capacity)
-                    k = 0
-                    while at < n:
-                        own = raw[4 * at : 4 * (at + length)]
-                        for name, v in (("doc_id", doc), ("piece", k), ("start", at), ("length", length), ("ids_crc32", crc(own)), ("ids", own if keep_ids else None), ("chunk", chunk), ("rank_in_chunk", seen[length])):
-                            out[name].append(v)
-                        seen[length] += 1
-                        at, k, length = at + length, k + 1, capacity
-                yield record(out, _PIECE)
+        chunk, seen, own = TaskContext.get().partitionId(), defaultdict(int), None
+        try:
+            for batch in batches:
+                own = own or Encoder(tokenizer_path)
+                ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+                for part in pieces([len(t) for t in texts], 1 << 20):
+                    out = {f.name: [] for f in _PIECE}
+                    for doc, raw in zip(ids[part], own.encode(texts[part]), strict=True):
+                        raw += END_ID.to_bytes(4, "little")
+                        n = len(raw) // 4
+                        at, length = 0, n % capacity or min(n, capacity)
+                        k = 0
+                        while at < n:
+                            cut_ids = raw[4 * at : 4 * (at + length)]
+                            for name, v in (("doc_id", doc), ("piece", k), ("start", at), ("length", length), ("ids_crc32", crc(cut_ids)), ("ids", cut_ids if keep_ids else None), ("chunk", chunk), ("rank_in_chunk", seen[length])):
+                                out[name].append(v)
+                            seen[length] += 1
+                            at, k, length = at + length, k + 1, capacity
+                    yield record(out, _PIECE)
+        finally:
+            # tasks take the workers in turn, those of earlier stages too: what waits for its next task holds no encoder
+            own = None
+            trim_memory()
 
     return id_and_text(docs).mapInArrow(pieces_of, _DDL)
 

@@ -165,6 +165,23 @@ def test_packing_is_whole_and_tight(docs, rows, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+def test_workers_hold_no_encoder_between_tasks(spark):
+    frame = spark.createDataFrame([(i, f"word{i} <|endoftext|> other") for i in range(40)], "doc_id long, text string").repartition(8)
+    assert packing.cut(frame, packing.default_tokenizer()).count() == 40
+
+    def encoders(batches):
+        import gc
+
+        import pyarrow as pa
+
+        n = sum(type(x).__name__ == "Encoder" for x in gc.get_objects())
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_pydict({"n": [n]})
+
+    assert not any(r["n"] for r in spark.range(8).repartition(8).mapInArrow(encoders, "n long").collect())
+
+
 def test_plan_uses_every_piece_once():
     rng = np.random.default_rng(2)
     counts = np.bincount(rng.integers(1, 101, 5000), minlength=101)
