@@ -82,3 +82,17 @@ def test_pairs_of_one_label_are_made_by_many_tasks(spark, tmp_path):
     got = QUERIES["J14_alignment"](spark, str(tmp_path))
     assert rows(got.toPandas()) == rows(con.sql(ORACLE_SQL["J14_alignment"]).df())
     assert sum(any(True for _ in part) for part in got.rdd.glom().collect() if part) > 1
+
+
+def test_pairs_of_labels_pass_no_driver(spark, tmp_path, monkeypatch):
+    from pathweave.plans import graph_queries
+
+    monkeypatch.setattr(graph_queries, "CHUNK", 4)
+    part = spark.range(600).selectExpr("id DIV 2 * 17 AS p_partkey", "CASE WHEN id % 50 = 7 THEN NULL WHEN id % 3 = 0 THEN ' One Name' WHEN id % 3 = 1 THEN 'one name ' ELSE concat('n', id) END AS p_name", "CASE WHEN id % 50 = 9 THEN NULL ELSE concat('b', id % 5) END AS p_brand")
+    part.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    got = QUERIES["J14_alignment"](spark, str(tmp_path))
+    assert rows(got.toPandas()) == rows(con.sql(ORACLE_SQL["J14_alignment"]).df())
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
